@@ -53,7 +53,7 @@ def per_text(
 
     ``score`` returns one list for each field of ``fields``.
     """
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
