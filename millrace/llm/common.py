@@ -100,3 +100,19 @@ def numbered(df: DataFrame, order: list[str], name: str, label: str) -> DataFram
     )
     place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return at.join(F.broadcast(offsets), "__part").withColumn(name, place).drop("__part", "__at", "__before")
+
+
+class Memo(dict):
+    """What ``make`` gives for a chunk of text, remembered for chunks of at most 64 bytes; emptied when full."""
+
+    def __init__(self, make: Callable[[bytes], object], most: int = 400_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, chunk: bytes) -> object:
+        value = self.make(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = value
+        return value

@@ -34,7 +34,6 @@ WALKS, MOST_TABLES = 6, 64  # walks, and samples of each at most
 RARE = 0.02  # share of the items that may have a word for it to count as rare
 #: Items are searched for in blocks of so many words, so that what the executors get is bounded.
 BLOCK_WORDS = 2_000_000
-MEMO = 400_000
 _MARKS = b".,;:!?\"'()[]{}<>|*%&$#@~`^=+-_/\\"
 
 
@@ -110,10 +109,10 @@ class Index:
                 self.marks[counted[k]] |= np.uint64(1 << g.bit)
             self.groups.append(g)
             self._build(g, members, recall)
-        self.memo: dict[bytes, int] = {}
+        self.memo: common.Memo | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "rng": None}
+        return self.__dict__ | {"memo": None, "rng": None}
 
     # -- embedding
 
@@ -181,29 +180,22 @@ class Index:
 
     # -- search
 
-    def encode(self, text: bytes) -> list[int]:
-        """Vocabulary numbers of the words of a text; -1 for chunks that hold marks only."""
-        chunks, memo, vocab = text.split(), self.memo, self.vocab
-        codes = list(map(memo.get, chunks))
-        if None in codes:
-            if len(memo) > MEMO:
-                memo.clear()
-            for i, c in enumerate(codes):
-                if c is None:
-                    w = normalise(chunks[i])
-                    c = codes[i] = vocab.get(w, 0) if w else -1
-                    if len(chunks[i]) <= 64:
-                        memo[chunks[i]] = c
-        return codes
+    def _code(self, chunk: bytes) -> int:
+        """The vocabulary number of a word; -1 for a chunk that holds marks only."""
+        w = normalise(chunk)
+        return self.vocab.get(w, 0) if w else -1
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text: (item_id, edit distance, words of the item, word where the stretch ends) of each item that
         leaks into it, by its best match. The texts of a batch are searched as one sequence; matches keep to one text."""
-        codes = [self.encode(t) for t in texts]
-        flat = np.fromiter(chain.from_iterable(codes), dtype=np.int64, count=sum(map(len, codes)))
+        if self.memo is None:
+            self.memo = common.Memo(self._code)
+        chunks = [t.split() for t in texts]
+        lengths = list(map(len, chunks))
+        flat = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(chunks)), dtype=np.int64, count=sum(lengths))
         real = flat >= 0
         before = np.concatenate([[0], np.cumsum(real)])
-        bounds = before[np.cumsum([0, *map(len, codes)])]  # where each text begins among the words
+        bounds = before[np.cumsum([0, *lengths])]  # where each text begins among the words
         ids = flat[real]
         best: list[dict] = [{} for _ in texts]
         marks = self.marks[ids]

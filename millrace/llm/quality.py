@@ -10,6 +10,7 @@ trained on a bounded sample of documents with it. True labels are used nowhere.
 from __future__ import annotations
 
 import zlib
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,6 @@ from . import common
 MAX_FIT = 8000
 BITS = 14
 KEEP = 0.5
-MEMO = 400_000
 _STOP = frozenset(
     w.encode()
     for w in (
@@ -30,7 +30,7 @@ _STOP = frozenset(
         "de la le les et des en un une que du qui der die und den das ist von zu mit el los las y por con para su se es al"
     ).split()
 )
-LABELLERS = ("marks", "capitals", "bars", "repeats", "function_words", "sentences", "lines")
+LABELLERS = ("marks", "capitals", "stutter", "bars", "repeats", "function_words", "sentences", "lines")
 
 
 class _Words:
@@ -39,9 +39,9 @@ class _Words:
     MARK, CAPS, BAR, STOP, END = 1, 2, 4, 8, 16
 
     def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo = common.Memo(self._code)
 
-    def __call__(self, raw: bytes) -> int:
+    def _code(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "ignore")
         letters = [c for c in word if c.isalpha()]
         core = raw.strip(b".,;:!?\"'()").lower()
@@ -62,16 +62,7 @@ class _Words:
         return (zlib.crc32(f"{size}{runs}".encode()) & ((1 << BITS) - 1)) << 5 | flags
 
     def codes(self, chunks: list[bytes]) -> np.ndarray:
-        found = list(map(self.memo.get, chunks))
-        if None in found:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            for i, c in enumerate(found):
-                if c is None:
-                    c = found[i] = self(chunks[i])
-                    if len(chunks[i]) <= 64:
-                        self.memo[chunks[i]] = c
-        return np.fromiter(found, dtype=np.int64, count=len(found))
+        return np.fromiter(map(self.memo.__getitem__, chunks), dtype=np.int64, count=len(chunks))
 
 
 def votes(text: bytes, words: _Words) -> tuple[int, ...]:
@@ -86,6 +77,7 @@ def votes(text: bytes, words: _Words) -> tuple[int, ...]:
     out = [between(share(_Words.MARK), 0.05, 0.3), between(share(_Words.CAPS), 0.1, 0.4)]
     if n < 8:
         return (*out, *(-1,) * (len(LABELLERS) - 2))
+    out.append(between(sum(map(eq, chunks, chunks[1:])) / n, 0.05, 0.2))
     out.append(between(share(_Words.BAR), 0.02, 0.2))
     long = [c for c in chunks if len(c) >= 6]
     repeated = 1 - len(set(long)) / len(long) if len(long) >= 20 else 0.5
@@ -117,24 +109,23 @@ def _unpack(code: int) -> tuple[int, ...]:
 def expectation_maximisation(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray, float]:
     """(posterior of good for each combination, table[labeller, class, vote], share of good).
 
-    Starts from the majority of the votes; labellers are taken as independent given the class, and
-    abstaining as a third vote. The two classes are told apart by the start alone.
+    Starts from the number of bad votes. Labellers are taken as independent given the class; one
+    that abstains says nothing. Which class is the good one is told by the start alone.
     """
     codes = sorted(counts)
-    table = np.full((len(LABELLERS), 2, 3), 1 / 3)
+    table = np.full((len(LABELLERS), 2, 3), 0.5)  # votes: abstain (always 1), bad, good
     if not codes:
         return {}, table, 0.5
     v = np.array([_unpack(c) for c in codes]) + 1  # 0 abstains, 1 bad, 2 good
     n = np.array([counts[c] for c in codes], dtype=float)
-    good, bad = (v == 2).sum(1), (v == 1).sum(1)
-    post = np.clip((good + 1.0) / (good + 4.0 * bad + 2.0), 0.02, 0.98)
+    post = 0.95 * 0.25 ** (v == 1).sum(1)  # each labeller votes bad on rare and strong grounds only
     prior = 0.5
     for _ in range(rounds):
         prior = float((n * post).sum() / n.sum())
         for k in range(len(LABELLERS)):
             for c, weight in enumerate((1 - post, post)):
-                seen = np.bincount(v[:, k], weights=n * weight, minlength=3) + 0.5
-                table[k, c] = seen / seen.sum()
+                seen = np.bincount(v[:, k], weights=n * weight, minlength=3)[1:] + 0.5
+                table[k, c] = [1, *(seen / seen.sum())]
         log = np.log(np.clip([[1 - prior], [prior]], 1e-9, 1)) + sum(np.log(table[k][:, v[:, k]]) for k in range(len(LABELLERS)))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         if np.abs(new - post).max() < 1e-9:
@@ -146,8 +137,8 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 200) -> tuple
 class Scorer:
     """Logistic scorer: mean weight of a text's word shapes, and weights of doc-level buckets."""
 
-    #: Doc-level buckets follow the shapes: repetition in tenths, share of capitals in tenths.
-    SIZE = (1 << BITS) + 22
+    #: Doc-level buckets follow the shapes: repetition, share of capitals and stutter, in tenths.
+    SIZE = (1 << BITS) + 33
 
     def __init__(self, weights: np.ndarray | None = None, bias: float = 0.0):
         self.weights = np.zeros(self.SIZE) if weights is None else weights
@@ -165,7 +156,8 @@ class Scorer:
         repeated = int(10 * (1 - len(set(long)) / len(long))) if len(long) >= 20 else 0
         caps = int(10 * np.count_nonzero(codes & _Words.CAPS) / len(chunks))
         top = 1 << BITS
-        return np.append(buckets, [top + repeated, top + 11 + caps]), np.append(np.sqrt(n / len(chunks)), [0.5, 0.5])
+        stutter = int(10 * sum(map(eq, chunks, chunks[1:])) / len(chunks))
+        return np.append(buckets, [top + repeated, top + 11 + caps, top + 22 + stutter]), np.append(np.sqrt(n / len(chunks)), [0.5] * 3)
 
     def score(self, text: bytes, words: _Words) -> float:
         ids, values = self.features(text, words)

@@ -28,7 +28,6 @@ ANCHORS = {
 }
 CHAIN, DISTANCE = 3, 1
 _MARKS = b".,;:!?\"'()[]{}<>|*%&$#@~`^=+-_/\\"
-MEMO = 400_000
 
 
 def _words() -> frozenset[bytes]:
@@ -39,7 +38,8 @@ class Spotter:
     """Signature sets of texts, with a bounded memory of word hashes."""
 
     def __init__(self, chain: int = CHAIN, distance: int = DISTANCE):
-        self.chain, self.distance, self.anchors, self.memo = chain, distance, _words(), {}
+        self.chain, self.distance, self.anchors = chain, distance, _words()
+        self.memo = common.Memo(self._code)
 
     def _code(self, raw: bytes) -> int:
         """A word's hash; odd for anchors; 0 for chunks without letters or digits."""
@@ -52,17 +52,8 @@ class Spotter:
     def signatures(self, text: bytes) -> np.ndarray:
         """Sorted distinct uint32. In a text without a complete chain every word is a signature;
         a text without words has none."""
-        chunks, memo = text.split(), self.memo
-        codes = list(map(memo.get, chunks))
-        if None in codes:
-            if len(memo) > MEMO:
-                memo.clear()
-            for i, c in enumerate(codes):
-                if c is None:
-                    c = codes[i] = self._code(chunks[i])
-                    if len(chunks[i]) <= 64:
-                        memo[chunks[i]] = c
-        words = np.fromiter(codes, dtype=np.uint64, count=len(codes))
+        chunks = text.split()
+        words = np.fromiter(map(self.memo.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
         words = words[words != 0]
         if not len(words):
             return np.empty(0, dtype=np.uint32)

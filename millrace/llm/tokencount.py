@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Chunks remembered by one Python worker at most.
+#: Pre-tokens whose merges one Python worker remembers at most.
 MEMO = 400_000
 #: Chunks the shortcut may handle: letters, digits and ASCII marks; others go to the library whole.
 _PLAIN = regex.compile(r"[\p{L}\p{N}\x21-\x7E]+")
@@ -83,8 +83,7 @@ class Counter:
 
         self.tok, self.whole, self.split = Tokenizer.from_file(path), whole, pre_token_pattern(path)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, int] = {}
-        self.merged: dict[str, int] = {}
+        self.memo, self.merged = common.Memo(self.chunk), {}
 
     def _merge(self, pre_token: str) -> int:
         n = self.merged.get(pre_token)
@@ -102,20 +101,7 @@ class Counter:
         return sum(1 if p in self.whole else self._merge(p) for p in pre_tokens)
 
     def text(self, raw: bytes) -> int:
-        chunks, memo = raw.split(), self.memo
-        counts = list(map(memo.get, chunks))
-        if None in counts:
-            for i, n in enumerate(counts):
-                if n is None:
-                    n = memo.get(chunks[i])
-                    if n is None:
-                        n = self.chunk(chunks[i])
-                        if len(chunks[i]) <= 64:
-                            if len(memo) >= MEMO:
-                                memo.clear()
-                            memo[chunks[i]] = n
-                    counts[i] = n
-        return sum(counts)
+        return sum(map(self.memo.__getitem__, raw.split()))
 
 
 _counters: dict[str, Counter] = {}

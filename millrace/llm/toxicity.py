@@ -23,7 +23,8 @@ from . import common
 BITS = 18
 #: Documented bounds of the fit: confirmed toxic texts, unlabelled texts. All else covers all data.
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
-MEMBERS, EPOCHS, BATCH, RATE, DECAY = 3, 12, 500, 0.05, 1e-4
+MAX_BUCKETS, LEAST_Z = 4000, 4.0
+MEMBERS, EPOCHS, BATCH, RATE, DECAY = 3, 40, 500, 0.02, 1e-4
 _MARKS = b".,;:!?\"'()[]{}<>|*%&$#@~`^=+-_/\\"
 MEMO = 200_000
 _memo: dict[bytes, tuple[int, ...]] = {}
@@ -74,8 +75,8 @@ def _pack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.empty(0, np.int32), np.concatenate([[0], ends]).astype(np.int64)
 
 
-def _one(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, seed: int, size: int) -> tuple[np.ndarray, float]:
-    rng = np.random.default_rng(seed)
+def _one(pos: list[np.ndarray], unl: list[np.ndarray], scale: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
+    rng, size = np.random.default_rng(seed), len(scale)
     w, b = rng.normal(0, 1e-3, size), -1.0
     mw, vw, mb, vb, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     steps = max(1, len(unl) // BATCH)
@@ -85,7 +86,7 @@ def _one(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, seed: int,
             up = [pos[i] for i in np.array_split(porder, steps)[s]] or [pos[porder[s % len(pos)]]]
             uu = [unl[i] for i in order[s * BATCH : (s + 1) * BATCH]]
             flat, ends = _pack(up + uu)
-            z = b + np.add.reduceat(np.append(w[flat], 0.0), ends[:-1]) * (np.diff(ends) > 0)
+            z = b + np.add.reduceat(np.append((w * scale)[flat], 0.0), ends[:-1]) * (np.diff(ends) > 0)
             p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             n_p, n_u = len(up), len(uu)
             minus = np.log1p(np.exp(np.clip(z, -35, 35)))  # logistic loss of calling it clean
@@ -97,33 +98,57 @@ def _one(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, seed: int,
             else:  # the estimate is below zero: undo the over-fitting of the negative part
                 g[:n_p] = prior * p[:n_p] / n_p
                 g[n_p:] = -p[n_p:] / n_u
-            gw = np.bincount(flat, weights=np.repeat(g, np.diff(ends)), minlength=size) + DECAY * w
+            gw = np.bincount(flat, weights=np.repeat(g, np.diff(ends)), minlength=size) * scale + DECAY * w
             gb, t = g.sum(), t + 1
             mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             c1, c2 = 1 - 0.9**t, 1 - 0.999**t
             w -= RATE * (mw / c1) / (np.sqrt(vw / c2) + 1e-8)
             b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return w, b
+    return w * scale, b
+
+
+def screen(pos: list[np.ndarray], unl: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets whose share among positives differs from that among unlabelled texts by ``LEAST_Z`` standard errors,
+    the ``MAX_BUCKETS`` most different ones, and how many standard errors. Words that say nothing would only add
+    noise to long texts; the others are scaled by their difference, so that the clearest ones are learnt first."""
+    size = 1 << BITS
+    n_p, n_u = len(pos), len(unl)
+    in_p, in_u = np.bincount(np.concatenate(pos), minlength=size), np.bincount(np.concatenate(unl), minlength=size)
+    share = (in_p + in_u + 1) / (n_p + n_u + 2)
+    z = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    z[in_p + in_u < 3] = 0
+    best = np.argsort(-z, kind="stable")[:MAX_BUCKETS]
+    kept = np.sort(best[z[best] >= LEAST_Z])
+    return kept, z[kept]
+
+
+def _cut(scores: np.ndarray, prior: float) -> float:
+    """Where unlabelled scores (ascending) part into clean and toxic: in the widest gap among those that call
+    between 0.8 and 1.1 times the prior toxic."""
+    n = len(scores)
+    low, high = n - 1 - int(1.1 * prior * n), n - 1 - int(0.8 * prior * n)
+    low, high = max(0, min(low, n - 2)), max(1, min(high, n - 1))
+    gaps = np.diff(scores[low : high + 1])
+    k = low + int(gaps.argmax())
+    return float((scores[k] + scores[k + 1]) / 2)
 
 
 def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, members: int = MEMBERS) -> Model:
-    """Averages ``members`` scorers. Buckets seen in fewer than three texts are left out. Without positives or
-    unlabelled texts nothing can be learnt: the scorer gives the prior to all."""
+    """Averages ``members`` scorers over the screened buckets. Without positives, unlabelled texts or buckets
+    that tell them apart, nothing can be learnt: the scorer gives the prior to all."""
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     weights = np.zeros(1 << BITS)
-    if not pos or not unl:
+    kept, z = screen(pos, unl) if pos and len(unl) > 1 else (np.empty(0, dtype=np.int64), np.empty(0))
+    if not len(kept):
         return Model(weights, np.log(prior / (1 - prior)))
-    seen = np.bincount(np.concatenate(pos + unl), minlength=1 << BITS)
-    kept = np.flatnonzero(seen >= 3)
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     narrow = lambda rows: [(x := place[r])[x >= 0] for r in rows]
     p, u = narrow(pos), narrow(unl)
-    made = [_one(p, u, prior, seed, max(1, len(kept))) for seed in range(members)]
-    if len(kept):
-        weights[kept] = np.mean([w for w, _ in made], axis=0)
-    return Model(weights, float(np.mean([b for _, b in made])))
+    made = [_one(p, u, np.minimum(z, 30) / 10, prior, seed) for seed in range(members)]
+    weights[kept] = np.mean([w for w, _ in made], axis=0)
+    return Model(weights, -_cut(np.sort([float(weights[r].sum()) for r in unl]), prior))
 
 
 def fold(key: Column) -> Column:
