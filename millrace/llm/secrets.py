@@ -26,10 +26,11 @@ _MAY = {
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
 }
-#: Entropy kinds: candidate pattern, window, least entropy in bits. A candidate holds digits and letters.
+#: Entropy kinds: pattern of whole runs of the class, window, least entropy in bits. Runs are matched without
+#: going back, so that texts of one very long run take linear time; a candidate holds digits and letters.
 ENTROPY = {
-    "entropy_hex": (r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{16,}(?![0-9A-Za-z])", 16, 2.8),
-    "entropy_base64": (r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}", 20, 3.7),
+    "entropy_hex": (r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])", 16, 2.8),
+    "entropy_base64": (r"[A-Za-z0-9+/_-]{20,}+", 20, 3.7),
 }
 #: Candidates that are no secrets: documented examples, sequences, one symbol repeated.
 ALLOWED = (
@@ -121,7 +122,10 @@ def spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> tuple[dict[str, C
         pattern, window, least = ENTROPY[kind]
         listed = F.lit("|".join(f"(?:{a})" for a in allowed) or "(?!)")
         scored = F.transform(
-            F.filter(_located(text, pattern, 0, window), lambda s: ~F.rlike(s["found"], listed)),
+            F.filter(
+                _located(text, pattern, 0, window),
+                lambda s: F.rlike(s["found"], F.lit("[0-9]")) & F.rlike(s["found"], F.lit("[A-Za-z]")) & ~F.rlike(s["found"], listed),
+            ),
             lambda s: F.struct(s["start"].alias("at"), high_entropy(s["found"], window, least).alias("h")),
         )
         over = F.transform(

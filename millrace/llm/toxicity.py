@@ -11,7 +11,6 @@ order, are averaged.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +25,24 @@ MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
 MAX_BUCKETS, LEAST_Z = 4000, 4.0
 MEMBERS, EPOCHS, BATCH, RATE, DECAY = 3, 40, 500, 0.02, 1e-4
 _MARKS = b".,;:!?\"'()[]{}<>|*%&$#@~`^=+-_/\\"
-MEMO = 200_000
-_memo: dict[bytes, tuple[int, ...]] = {}
 
 
-def _features(raw: bytes) -> tuple[int, ...]:
-    """Buckets of a word and of its beginnings of 4 to 6 letters."""
+def _features(raw: bytes) -> bytes:
+    """Buckets (int32) of a word and of its beginnings of 4 to 6 letters."""
     word = raw.strip(_MARKS).lower().decode("utf-8", "ignore")
     if not word:
-        return ()
+        return b""
     mask = (1 << BITS) - 1
     starts = {f"{n}^{word[:n]}" for n in (4, 5, 6) if len(word) > n}
-    return tuple(zlib.crc32(x.encode()) & mask for x in (word, *sorted(starts)))
+    return np.array([zlib.crc32(x.encode()) & mask for x in (word, *starts)], dtype=np.int32).tobytes()
+
+
+_memo = common.Memo(_features, 200_000)
 
 
 def features(text: bytes) -> np.ndarray:
     """The distinct buckets of a whole text, ascending."""
-    words = set(text.split())
-    found = []
-    for w in words:
-        f = _memo.get(w)
-        if f is None:
-            f = _features(w)
-            if len(w) <= 64:
-                if len(_memo) >= MEMO:
-                    _memo.clear()
-                _memo[w] = f
-        found.append(f)
-    ids = set(chain.from_iterable(found))
-    out = np.fromiter(ids, dtype=np.int32, count=len(ids))
-    out.sort()
-    return out
+    return np.unique(np.frombuffer(b"".join(map(_memo.__getitem__, set(text.split()))), dtype=np.int32))
 
 
 class Model:
