@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Base kinds in their order. Pattern, group that must be long enough, least length.
+#: For access and hex the length stands in the pattern: their matches are whole runs, so shorter ones only get skipped.
 BASE = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]+", 0, 24),
+    "access": (r"AKIA[A-Z0-9]{16,}+", 0, 20),
+    "hex": (r"[0-9a-f]{24,}+", 0, 24),
 }
 #: A cheap test that every text with a match passes.
 _MAY = {
@@ -45,13 +46,17 @@ def _located(text: Column, pattern: str, group: int, least: int) -> Column:
 
     The pieces between matches and the matches themselves are measured and added up.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.length(F.get(gaps, i)).alias("gap"), m.alias("found"), (F.length(F.get(tested, i)) >= least).alias("keep")
+    # Zipped, each array is made once; the last gap stands behind the last match and is left over.
+    matches = F.zip_with(found, tested, lambda m, g: F.struct(m.alias("found"), (F.length(g) >= least).alias("keep")))
+    steps = F.filter(
+        F.zip_with(
+            matches,
+            F.split(text, pattern, -1),
+            lambda m, gap: F.struct(F.length(gap).alias("gap"), m["found"].alias("found"), m["keep"].alias("keep")),
         ),
+        lambda s: s["found"].isNotNull(),
     )
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
@@ -153,13 +158,15 @@ def secret_report(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     """``keep``, n_assign, n_access, n_hex, base_sha256, spans for every row; a null text is empty and has no spans."""
     body = F.coalesce(F.col(text), F.lit(""))
     base, more = spans(body)
-    found = docs.select(*keep, *[base[k].alias(f"__{k}") for k in BASE], more.alias("__more"))
-    both = F.concat(*[F.col(f"__{k}") for k in BASE])
+    # Exploding an array of one keeps the optimizer from copying the spans into every column made of them.
+    made = F.struct(*[base[k].alias(k) for k in BASE], more.alias("more"))
+    found = docs.select(*keep, F.explode(F.array(made)).alias("__s"))
+    both = F.concat(*[F.col(f"__s.{k}") for k in BASE])
     return found.select(
         *keep,
-        *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE],
+        *[F.size(f"__s.{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_listed(both), 256).alias("base_sha256"),
-        _listed(F.concat(both, "__more")).alias("spans"),
+        _listed(F.concat(both, F.col("__s.more"))).alias("spans"),
     )
 
 
