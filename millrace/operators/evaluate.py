@@ -63,7 +63,7 @@ def status(generated: DataFrame | None, gold: DataFrame | None, ordered: bool =
 
 #: Buckets of errors in the order in which they are tried: words that an error message holds. Fixed values.
 TAXONOMY = (
-    ("cost", "cost|too expensive|seq scan"), ("schema", "column|table|relation|unknown|does not exist"), ("semantic", "semantic|question|polarity|aggregate"),
+    ("cost", "cost|too expensive|seq scan"), ("schema", "column|table|relation|unknown|does not exist"), ("semantic", "semantic|polarity|aggregate"),
     ("placeholder", "placeholder|bind parameter|:\\w+"), ("ambiguous", "ambigu"),
 )
 
