@@ -9,7 +9,9 @@ trained on a bounded sample of documents with it. True labels are used nowhere.
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import compress
 from operator import eq
 
 import numpy as np
@@ -33,60 +35,71 @@ _STOP = frozenset(
 LABELLERS = ("marks", "capitals", "stutter", "bars", "repeats", "function_words", "sentences", "lines")
 
 
+_MARKS = b"%$&*#@~^"
+_RUNS = re.compile(rb"(.)\1+", re.S)
+_SHAPES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+
+
 class _Words:
     """What is to be known of a word, remembered with a bound: flag bits, and the bucket of its shape."""
 
-    MARK, CAPS, BAR, STOP, END = 1, 2, 4, 8, 16
+    MARK, CAPS, BAR, STOP, END, LONG = 1, 2, 4, 8, 16, 32
+    FLAGS = 6
 
     def __init__(self) -> None:
         self.memo = common.Memo(self._code)
 
     def _code(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "ignore")
-        letters = [c for c in word if c.isalpha()]
-        core = raw.strip(b".,;:!?\"'()").lower()
-        flags = 0
+        shape = raw[:64].translate(_SHAPES)
+        upper, lower = shape.count(b"A"), shape.count(b"a")
+        flags = self.LONG if len(raw) >= 6 else 0
         if raw == b"|":
             flags |= self.BAR
-        elif not letters and not any(c.isdigit() for c in word) or any(c in "%$&*#@~^" for c in word) or "!!" in word:
+        elif not upper + lower + shape.count(b"0") or len(raw.translate(None, _MARKS)) < len(raw) or b"!!" in raw:
             flags |= self.MARK
-        if len(letters) >= 2 and all(c.isupper() for c in letters):
+        if upper + lower >= 2 and raw.isascii() and not lower or not raw.isascii() and raw.decode("utf-8", "ignore").isupper():
             flags |= self.CAPS
-        if core in _STOP:
+        if raw.strip(b".,;:!?\"'()").lower() in _STOP:
             flags |= self.STOP
-        if word[-1:] in ".?!":
+        if raw[-1:] in (b".", b"?", b"!"):
             flags |= self.END
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-        runs = "".join(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1] or i > 1 and c != shape[i - 2])
-        size = "s" if len(letters) <= 3 else "m" if len(letters) <= 12 else "l"
-        return (zlib.crc32(f"{size}{runs}".encode()) & ((1 << BITS) - 1)) << 5 | flags
+        size = b"s" if upper + lower <= 3 else b"m" if upper + lower <= 12 else b"l"
+        return (zlib.crc32(size + _RUNS.sub(rb"\1\1", shape)) & ((1 << BITS) - 1)) << self.FLAGS | flags
+
+
+class Text:
+    """A text as the labellers and the scorer see it; both are made of one pass over its words."""
+
+    def __init__(self, text: bytes, words: _Words):
+        self.text, self.chunks = text, text.split()
+        self.n = len(self.chunks)
+        self.codes = np.fromiter(map(words.memo.__getitem__, self.chunks), dtype=np.int64, count=self.n)
+        if not self.n:
+            return
+        self.stutter = sum(map(eq, self.chunks, self.chunks[1:])) / self.n
+        long = list(compress(self.chunks, (self.codes & _Words.LONG).tolist()))
+        self.repeated = 1 - len(set(long)) / len(long) if len(long) >= 20 else None
 
-    def codes(self, chunks: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.memo.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+    def share(self, bit: int) -> float:
+        return float(np.count_nonzero(self.codes & bit)) / self.n
 
 
-def votes(text: bytes, words: _Words) -> tuple[int, ...]:
+def votes(t: Text) -> tuple[int, ...]:
     """The labellers' votes on a text; texts under 8 words only get votes on marks and capitals."""
-    chunks = text.split()
-    n = len(chunks)
-    if not n:
+    if not t.n:
         return (-1,) * len(LABELLERS)
-    flags = words.codes(chunks) & 31
-    share = lambda bit: float(np.count_nonzero(flags & bit)) / n
     between = lambda x, good, bad: 1 if x <= good else 0 if x >= bad else -1
-    out = [between(share(_Words.MARK), 0.05, 0.3), between(share(_Words.CAPS), 0.1, 0.4)]
-    if n < 8:
+    out = [between(t.share(_Words.MARK), 0.05, 0.3), between(t.share(_Words.CAPS), 0.1, 0.4)]
+    if t.n < 8:
         return (*out, *(-1,) * (len(LABELLERS) - 2))
-    out.append(between(sum(map(eq, chunks, chunks[1:])) / n, 0.05, 0.2))
-    out.append(between(share(_Words.BAR), 0.02, 0.2))
-    long = [c for c in chunks if len(c) >= 6]
-    repeated = 1 - len(set(long)) / len(long) if len(long) >= 20 else 0.5
-    out.append(-1 if len(long) < 20 else between(repeated, 0.25, 0.6))
-    stop = share(_Words.STOP)
-    out.append(1 if stop >= 0.12 else 0 if stop < 0.03 and n >= 25 else -1)
-    ends = share(_Words.END)
+    out.append(between(t.stutter, 0.05, 0.2))
+    out.append(between(t.share(_Words.BAR), 0.02, 0.2))
+    out.append(-1 if t.repeated is None else between(t.repeated, 0.25, 0.6))
+    stop = t.share(_Words.STOP)
+    out.append(1 if stop >= 0.12 else 0 if stop < 0.03 and t.n >= 25 else -1)
+    ends = t.share(_Words.END)
     out.append(1 if 0.02 <= ends <= 0.35 else 0 if ends > 0.6 else -1)
-    lines = [x for x in text.split(b"\n") if x.strip()]
+    lines = [x for x in t.text.split(b"\n") if x.strip()]
     out.append(-1 if len(lines) < 4 else between(1 - len(set(lines)) / len(lines), 0.3, 0.6))
     return tuple(out)
 
@@ -145,22 +158,17 @@ class Scorer:
         self.bias = bias
 
     @staticmethod
-    def features(text: bytes, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    def features(t: Text) -> tuple[np.ndarray, np.ndarray]:
         """(buckets, values); an empty text has none."""
-        chunks = text.split()
-        if not chunks:
+        if not t.n:
             return np.empty(0, np.int64), np.empty(0)
-        codes = words.codes(chunks)
-        buckets, n = np.unique(codes >> 5, return_counts=True)
-        long = [c for c in chunks if len(c) >= 6]
-        repeated = int(10 * (1 - len(set(long)) / len(long))) if len(long) >= 20 else 0
-        caps = int(10 * np.count_nonzero(codes & _Words.CAPS) / len(chunks))
+        buckets, n = np.unique(t.codes >> _Words.FLAGS, return_counts=True)
         top = 1 << BITS
-        stutter = int(10 * sum(map(eq, chunks, chunks[1:])) / len(chunks))
-        return np.append(buckets, [top + repeated, top + 11 + caps, top + 22 + stutter]), np.append(np.sqrt(n / len(chunks)), [0.5] * 3)
+        tenths = [int(10 * (t.repeated or 0)), 11 + int(10 * t.share(_Words.CAPS)), 22 + int(10 * t.stutter)]
+        return np.append(buckets, [top + x for x in tenths]), np.append(np.sqrt(n / t.n), [0.5] * 3)
 
-    def score(self, text: bytes, words: _Words) -> float:
-        ids, values = self.features(text, words)
+    def score(self, t: Text) -> float:
+        ids, values = self.features(t)
         z = self.bias + float((self.weights[ids] * values).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
@@ -199,7 +207,7 @@ def weak_labels(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     """``keep`` and pattern, the combination of votes, for every row; null texts are empty, and empty texts abstain."""
 
     def score(batch: list[bytes]) -> list[list]:
-        return [[_pattern(votes(t, _own())) for t in batch]]
+        return [[_pattern(votes(Text(t, _own()))) for t in batch]]
 
     return common.per_text(docs, keep, text, pa.schema([("pattern", pa.int32())]), score)
 
@@ -214,7 +222,7 @@ def fit(docs: DataFrame) -> tuple[Scorer, dict[int, float]]:
     texts = docs.select(key.alias("k"), "text").join(F.broadcast(chosen), "k").select("k", "pattern", "text")
 
     def score(batch: list[bytes]) -> list[list]:
-        made = [Scorer.features(t, _own()) for t in batch]
+        made = [Scorer.features(Text(t, _own())) for t in batch]
         return [[a.astype(np.int64).tolist() for a, _ in made], [b.tolist() for _, b in made]]
 
     fields = pa.schema([("ids", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
@@ -229,7 +237,7 @@ def quality_scores(docs: DataFrame, scorer: Scorer, keep: list[str], text: str =
     """``keep`` and score (0 to 1, higher: better) for every row. An empty or null text has nothing wrong: it gets the bias."""
 
     def score(batch: list[bytes]) -> list[list]:
-        return [[scorer.score(t, _own()) for t in batch]]
+        return [[scorer.score(Text(t, _own())) for t in batch]]
 
     return common.per_text(docs, keep, text, pa.schema([("score", pa.float64())]), score)
 
@@ -239,7 +247,7 @@ def keep_good(docs: DataFrame, threshold: float = KEEP) -> DataFrame:
     scorer, _ = fit(docs)
 
     def score(batch: list[bytes]) -> list[list]:
-        return [[scorer.score(t, _own()) >= threshold for t in batch]]
+        return [[scorer.score(Text(t, _own())) >= threshold for t in batch]]
 
     columns = docs.columns
     made = common.per_text(docs.withColumn("__t", F.col("text")), columns, "__t", pa.schema([("__keep", pa.bool_())]), score)
@@ -251,7 +259,8 @@ def quality_report(docs: DataFrame, threshold: float = KEEP) -> DataFrame:
     scorer, posterior = fit(docs)
 
     def score(batch: list[bytes]) -> list[list]:
-        return [[posterior[_pattern(votes(t, _own()))] for t in batch], [scorer.score(t, _own()) for t in batch]]
+        seen = [Text(t, _own()) for t in batch]
+        return [[posterior[_pattern(votes(t))] for t in seen], [scorer.score(t) for t in seen]]
 
     fields = pa.schema([("weak", pa.float64()), ("score", pa.float64())])
     return common.per_text(docs, ["doc_id"], "text", fields, score).withColumn("keep", F.col("score") >= threshold)
