@@ -34,9 +34,15 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deleak_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of even id against those of odd id as held-out texts: who leaks, and why (the two halves are the split, not a sample)."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return corpus.deleak(d.filter("id % 2 = 0"), d.filter("id % 2 = 1")).filter("reason is not null").select("id", "reason")
+    """Documents that repeat one of lesser id: exactly once normalised, or with Jaccard 0.85 or more; and why.
+
+    Copies are told by their normalised text alone; only the first of each text is compared with others.
+    """
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", T.normalise(F.col("text")).alias("norm"))
+    firsts = d.groupBy("norm").agg(F.min_by(F.struct("id", "text"), "id").alias("f")).select("f.id", "f.text")
+    near = corpus.near_leaks(firsts, firsts).filter("id > match_id").groupBy("id").agg(F.max("jaccard").alias("j"))
+    copies = d.select("id").join(firsts.select("id"), "id", "left_anti").select("id", F.lit("exact").alias("reason"))
+    return copies.unionByName(near.select("id", F.format_string("jaccard=%.3f", "j").alias("reason")))
 
 
 def deleak_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +121,12 @@ ORACLE_SQL = {
     "text_normalise": f"SELECT doc_id, md5(n) AS digest, length(n) AS length FROM (SELECT doc_id, {_NORM} AS n FROM documents)",
     "dedup_exact": f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY {_NORM} ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
     "deleak_jaccard": f"""WITH {_SETS},
-w AS (SELECT id, norm, len(s) AS n, unnest(s) AS t FROM sets),
-p AS (SELECT a.id, b.id AS other, a.norm = b.norm AS same, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
-      FROM w a JOIN w b ON a.t = b.t WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-9 GROUP BY a.id, b.id, a.norm = b.norm),
-j AS (SELECT id, bool_or(same) AS same, max(shared / (na + nb - shared)::DOUBLE) AS j FROM p GROUP BY id)
-SELECT id, CASE WHEN same THEN 'exact' ELSE printf('jaccard=%.3f', j) END AS reason FROM j WHERE same OR j >= 0.85""",
+o AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY id) AS k FROM sets),
+w AS (SELECT id, len(s) AS n, unnest(s) AS t FROM o WHERE k = 1),
+p AS (SELECT a.id, b.id AS other, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
+      FROM w a JOIN w b ON a.t = b.t AND a.id > b.id WHERE least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-9 GROUP BY a.id, b.id),
+j AS (SELECT id, max(shared / (na + nb - shared)::DOUBLE) AS j FROM p GROUP BY id)
+SELECT id, printf('jaccard=%.3f', j) AS reason FROM j WHERE j >= 0.85 UNION ALL SELECT id, 'exact' FROM o WHERE k > 1""",
     "deleak_containment": f"""WITH {_SETS.replace('documents', 'documents')},
 b AS (SELECT item_id, list_distinct(list_filter(string_split({_NORM}, ' '), lambda t: t <> '')) AS s FROM benchmark),
 bw AS (SELECT item_id, len(s) AS n, unnest(s) AS t FROM b), dw AS (SELECT id, unnest(s) AS t FROM sets)

@@ -19,8 +19,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three query vectors: a stated set, which search runs against all rows."""
-    return _vectors(spark, sf_dir).filter(F.col("chunk_id").isin(1, 2, 3)).select(F.col("chunk_id").alias("query_id"), "vector")
+    """The stated query set: vectors whose id is divisible by 20, each searched for among all rows."""
+    return _vectors(spark, sf_dir).filter(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
 
 
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +59,10 @@ def bm25_two_analyzers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense hits and lexical hits of query 1 and 2 in one order."""
+    """Dense hits (of vectors 20 and 40) and lexical hits of two queries in one order."""
     dense = R.dense(_queries(spark, sf_dir), _vectors(spark, sf_dir), 20)
     lexical = R.top_k(_bm25(spark, sf_dir).withColumn("score", F.round("score", 6)), 20)
-    fused = R.fuse([dense.filter("query_id <= 2").select("query_id", "chunk_id", "rank"), lexical.select("query_id", "chunk_id", "rank")])
+    fused = R.fuse([dense.filter("query_id IN (20, 40)").select((F.col("query_id") / 20).cast("int").alias("query_id"), "chunk_id", "rank"), lexical.select("query_id", "chunk_id", "rank")])
     return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "position")
 
 
@@ -129,7 +129,7 @@ cos AS (
   SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label,
     list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE))
     / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id IN (1, 2, 3))"""
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)"""
 _BM25 = """
 terms(query_id, term) AS (VALUES (1, 'the'), (1, 'ing'), (1, 'eder'), (2, 'thanea'), (2, 'ation'), (2, 'der')),
 {n}tok AS (SELECT doc_id, list_filter(regexp_split_to_array({text}, '{split}'), lambda t: t <> '') AS ts FROM documents),
@@ -149,7 +149,7 @@ ORACLE_SQL = {
     "bm25_two_analyzers": f"""WITH {_LOWER}, {_RAW}
 SELECT query_id, chunk_id, score, rank FROM ({_TOP} (SELECT query_id, chunk_id, round(max(score), 6) AS score FROM (SELECT * FROM abm UNION ALL SELECT * FROM bbm) GROUP BY ALL)) WHERE rank < 20""",
     "rrf_fuse": f"""WITH {_DENSE}, {_LOWER},
-lists AS (SELECT query_id, chunk_id, rank, 0 AS list FROM ({_TOP} cos WHERE query_id <= 2) WHERE rank < 20
+lists AS (SELECT query_id // 20 AS query_id, chunk_id, rank, 0 AS list FROM ({_TOP} cos WHERE query_id IN (20, 40)) WHERE rank < 20
   UNION ALL SELECT query_id, chunk_id, rank, 1 FROM ({_TOP} (SELECT query_id, chunk_id, round(score, 6) AS score FROM abm)) WHERE rank < 20),
 f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (61 + rank)) AS score, min(list * 1000 + rank) AS seen FROM lists GROUP BY ALL)
 SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id) - 1 AS position FROM f""",
