@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, materialise, mixing, quality, secrets, sharding, simhash, spotsigs, tokencount, toxicity
+from . import decontaminate, materialise, mixing, oracles, quality, secrets, sharding, simhash, spotsigs, tokencount, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_spotsigs": spotsigs.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_secret_scan": oracles.SECRET_SCAN, "op8_jump_sharding": oracles.JUMP_SHARDING}

@@ -111,17 +111,3 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(common.documents(spark, sf_dir))
-
-
-#: The walk of each key as a recursive query; unsigned 64-bit arithmetic in HUGEINT.
-OP8_SQL = f"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, doc_id::HUGEINT AS k FROM documents
-), w AS (
-  SELECT doc_id, 0::BIGINT AS at, 0::BIGINT AS was, 0::BIGINT AS nxt, k FROM d
-  UNION ALL
-  SELECT doc_id, nxt, CASE WHEN nxt < 40 THEN nxt ELSE was END,
-         floor((nxt + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k2 // 8589934592)::DOUBLE + 1)))::BIGINT, k2
-  FROM (SELECT *, (k * {MULTIPLIER}::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM w WHERE nxt <= 40)
-)
-"""
