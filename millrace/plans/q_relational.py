@@ -192,7 +192,7 @@ WHERE regexp_matches(p_brand, '[0-4]$') AND NOT regexp_matches(p_type, '(?i)tin'
     "topk_nulls": """
 SELECT k, n FROM (SELECT NULLIF(o_orderpriority, '5-LOW') AS k, count(*) AS n FROM orders GROUP BY 1) t ORDER BY k DESC NULLS FIRST LIMIT 3""",
     "quantified_all": """
-SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT max(s_acctbal) FROM supplier WHERE s_nationkey < 3)
+SELECT c_custkey, c_acctbal FROM customer WHERE coalesce(c_acctbal > (SELECT max(s_acctbal) FROM supplier WHERE s_nationkey < 3), true)
 AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""",
 }
 
