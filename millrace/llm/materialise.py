@@ -111,7 +111,7 @@ def training_order(
     marked = docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"), F.xxhash64("text").alias("th"))
     tokens = tokenised(marked, ["doc_id", "h", "th"], path)
     ranges = F.shiftright(F.shiftright("h", 31) * F.lit(parts), 32)
-    dealt = tokens.withColumn("p", ranges).repartition(parts, "p")
+    dealt = tokens.withColumn("p", ranges.cast("int")).repartitionById(parts, F.col("p"))
     # All columns are used, so that this and the rows below read one and the same exchange.
     sizes = dealt.groupBy("p").agg(
         F.sum("n").alias("tokens"), F.max(F.struct("h", "th", "doc_id", F.octet_length("ids"))).alias("__any")

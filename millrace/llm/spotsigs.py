@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
 
 
 def _ordered_parts(docs: DataFrame, parts: int) -> DataFrame:
-    """``docs`` (doc_id, text) with p, a range of doc_ids; ranges ascend, nulls come last. Cut points come
+    """``docs`` (doc_id, text) with p from 0 to ``parts`` + 1, a range of doc_ids; ranges ascend, nulls come last. Cut points come
     from a sketch of all ids; one point a partition comes to the driver."""
     from pyspark.ml.feature import Bucketizer
 
@@ -148,7 +148,7 @@ def _ordered_parts(docs: DataFrame, parts: int) -> DataFrame:
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
     out = Bucketizer(splits=splits, inputCol="__d", outputCol="__p", handleInvalid="keep").transform(with_id)
-    return out.withColumn("p", F.coalesce(F.col("__p"), F.lit(float(len(splits)))).cast("int")).drop("__d", "__p")
+    return out.withColumn("p", F.coalesce(F.col("__p"), F.lit(float(len(splits) - 1))).cast("int")).drop("__d", "__p")
 
 
 def edited_report(docs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def edited_report(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("doc_id"), "text", "p", F.lit(True).alias("tail")
     )
     dealt = rows.withColumn("tail", F.lit(False)).unionByName(tails)
-    dealt = dealt.repartition(parts, "p").sortWithinPartitions("p", "tail", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    dealt = dealt.repartitionById(parts + 2, F.col("p")).sortWithinPartitions("p", "tail", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     fields = pa.schema(
         [
             ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
