@@ -51,7 +51,7 @@ def audit(spark: SparkSession, sql: str, question: str, catalog: Catalog) -> Aud
     asked = [("literal", m) for m in re.findall(r"'([^']+)'", question)] + [("number", m) for m in re.findall(r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])", question)]
     met = 0
     for kind, value in asked:
-        if value.lower() in sql.lower():
+        if f"'{value.lower()}'" in sql.lower() or kind == "number" and re.search(rf"(?<![\w.]){re.escape(value)}(?![\w.])", sql):
             met += 1
         else:
             out.warn(kind, f"{value} of the question is not in the statement")

@@ -119,3 +119,30 @@ def error_signature(message: Column) -> Column:
     """An error message without literals, numbers and case, so that repeats of one failure are equal."""
     plain = F.regexp_replace(F.lower(message), "'[^']*'|\"[^\"]*\"", "?")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\d+", "#"), r"\s+", " "))
+
+
+def model_metrics(results: DataFrame) -> DataFrame:
+    """syntax, no_hallucination, executes, exact_match (rates) and p50 (ms) of a model's answers.
+
+    results: generated, gold, parsed (boolean), unknown_names (int), executed (boolean), elapsed_ms. An exact match is equality without case and outer blanks.
+    """
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return results.agg(
+        rate(F.col("parsed")).alias("syntax"),
+        rate(F.col("unknown_names") == 0).alias("no_hallucination"),
+        rate(F.col("executed")).alias("executes"),
+        rate(F.lower(F.trim("generated")) == F.lower(F.trim("gold"))).alias("exact_match"),
+        F.percentile("elapsed_ms", 0.5).alias("p50"),
+    )
+
+
+def baseline_regressions(now: DataFrame, before: DataFrame, points: float = 3.0) -> DataFrame:
+    """(metric, before, now, delta): metrics (in percent) that fell by more than ``points``. Both: metric, value."""
+    both = before.select("metric", F.col("value").alias("before")).join(now.select("metric", F.col("value").alias("now")), "metric")
+    return both.withColumn("delta", F.col("now") - F.col("before")).filter(F.col("delta") < -points)
+
+
+def latency_residual(runs: DataFrame, parts: list[str], total: str = "total_ms") -> DataFrame:
+    """``runs`` with ``unattributed``: what the measured parts leave of the total, at least 0."""
+    known = reduce(lambda a, b: a + b, [F.coalesce(F.col(p), F.lit(0.0)) for p in parts])
+    return runs.withColumn("unattributed", F.greatest(F.lit(0.0), F.col(total) - known))

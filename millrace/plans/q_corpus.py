@@ -137,6 +137,9 @@ SELECT id AS doc_id, item_id FROM bw JOIN dw USING (t) GROUP BY id, item_id, n H
 FROM (VALUES {_PAIR_SQL}) AS t(id, nl_query, sql, category)""",
     "placeholder_substitution": f"""SELECT id, replace(sql, ':cust_id', '42') AS sql FROM (VALUES {_PAIR_SQL}) AS t(id, nl_query, sql, category)""",
     "gold_confidence": "SELECT n_nationkey, CASE WHEN n_nationkey % 4 <= 1 THEN 0.92 WHEN n_nationkey % 4 = 2 THEN 0.88 ELSE 0.82 END::DOUBLE AS confidence FROM nation",
+    "training_envelope": """SELECT * FROM (VALUES
+('list all customers of a nation', '{"sql":"SELECT c_name FROM customer","tables_used":["customer"],"confidence":0.92}'),
+('names with a colon in them', '{"sql":"SELECT '':x'' AS a, b::text FROM part","tables_used":["part"],"confidence":0.92}')) AS t(nl_query, answer)""",
     "sources_union": """
 SELECT 'curated' AS source, count(*) AS n, sum(turn)::BIGINT AS lines, 0 AS categories FROM conversations WHERE role = 'user'
 UNION ALL SELECT 'few_shot', count(*), sum(item_id)::BIGINT, 0 FROM benchmark UNION ALL SELECT 'failures', count(*), sum(page_id)::BIGINT, 0 FROM pages

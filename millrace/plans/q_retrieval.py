@@ -162,6 +162,7 @@ s AS (SELECT vec_id, c.label, round(list_sum(list_transform(range(1, 65), lambda
   / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(c, lambda x: x * x)))), 9) AS score FROM embeddings, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS n, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS nxt FROM s)
 SELECT vec_id AS query_id, CASE WHEN score >= 0.3 AND score - coalesce(nxt, 0) >= 0.02 THEN label END AS option FROM r WHERE n = 1""",
+    "chunk_counts": "SELECT * FROM (VALUES ('TABLE', 14), ('FK_MAP', 9), ('STATUS', 2)) AS t(chunk_type, n)",
     "graph_expansion": "SELECT * FROM (VALUES (1, 'customer'), (1, 'lineitem'), (2, 'customer'), (2, 'lineitem'), (2, 'region'), (2, 'supplier')) AS t(query_id, table_name)",
     "mandatory_chunks": "SELECT * FROM (VALUES (1, 2, 999.0::DOUBLE), (2, 4, 999.0::DOUBLE)) AS t(query_id, n, score)",
 }
