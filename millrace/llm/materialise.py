@@ -7,8 +7,8 @@ slot in the training order: a bijection that is computed, not sorted for, and ca
 Slots are range-partitioned into shards of fixed-stride records, so that record k of the training
 order is at a known byte of a known shard, and a reader can resume anywhere.
 
-The stream's order is that of a hash of doc_id (ties by doc_id, then text), so slots depend on the data and the
-key alone. Token ids are shuffled twice: once into hash ranges, to number the stream, and once into slots.
+The stream's order is that of a hash of doc_id and text, so slots depend on the data and the key alone, and rows
+without an id spread like others. Token ids are shuffled twice: once into hash ranges, to number the stream, and once into slots.
 """
 
 from __future__ import annotations
@@ -108,7 +108,8 @@ def training_order(
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marked = docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"), F.xxhash64("text").alias("th"))
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    marked = marked.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "th"), 1))
     tokens = tokenised(marked, ["doc_id", "h", "th"], path)
     ranges = F.shiftright(F.shiftright("h", 31) * F.lit(parts), 32)
     dealt = tokens.withColumn("p", ranges.cast("int")).repartitionById(parts, F.col("p"))

@@ -219,7 +219,8 @@ def fit(docs: DataFrame) -> tuple[Scorer, dict[int, float]]:
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, _, _ = expectation_maximisation(counts)
     chosen = common.stage(voted.select("k", "pattern").distinct().orderBy("k").limit(MAX_FIT), "quality-sample")
-    texts = docs.select(key.alias("k"), "text").join(F.broadcast(chosen), "k").select("k", "pattern", "text")
+    # One text for each hash, so that a text with very many copies comes once; reduced before it is shuffled.
+    texts = docs.select(key.alias("k"), "text").join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("k", "pattern", "text")
 
     def score(batch: list[bytes]) -> list[list]:
         made = [Scorer.features(Text(t, _own())) for t in batch]

@@ -138,17 +138,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
 
 
 def _ordered_parts(docs: DataFrame, parts: int) -> DataFrame:
-    """``docs`` (doc_id, text) with p from 0 to ``parts`` + 1, a range of doc_ids; ranges ascend, nulls come last. Cut points come
+    """``docs`` (doc_id, text) with p below 2 * ``parts``, a range of doc_ids; ranges ascend, nulls come last. Cut points come
     from a sketch of all ids; one point a partition comes to the driver."""
     from pyspark.ml.feature import Bucketizer
 
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
     splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
     with_id = docs.withColumn("__d", F.col("doc_id").cast("double"))
+    parts = max(2, parts)
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
     out = Bucketizer(splits=splits, inputCol="__d", outputCol="__p", handleInvalid="keep").transform(with_id)
-    return out.withColumn("p", F.coalesce(F.col("__p"), F.lit(float(len(splits) - 1))).cast("int")).drop("__d", "__p")
+    # Rows without an id are in order of their text's hash; its upper half deals them into as many ranges.
+    upper = F.shiftright(F.xxhash64("text"), 32) + F.lit(1 << 31)
+    return out.withColumn(
+        "p", F.when(F.col("doc_id").isNull(), parts + F.shiftright(upper * F.lit(parts), 32)).otherwise(F.col("__p")).cast("int")
+    ).drop("__d", "__p")
 
 
 def edited_report(docs: DataFrame) -> DataFrame:
@@ -160,7 +165,7 @@ def edited_report(docs: DataFrame) -> DataFrame:
     one more row, the first of the next range. Null texts are empty. A single document is its own next.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _ordered_parts(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), parts)
     order: list[Column] = [F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")]
     heads = rows.groupBy("p").agg(F.min_by("text", F.struct(*order)).alias("text"))
@@ -172,7 +177,7 @@ def edited_report(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("doc_id"), "text", "p", F.lit(True).alias("tail")
     )
     dealt = rows.withColumn("tail", F.lit(False)).unionByName(tails)
-    dealt = dealt.repartitionById(parts + 2, F.col("p")).sortWithinPartitions("p", "tail", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    dealt = dealt.repartitionById(2 * parts, F.col("p")).sortWithinPartitions("p", "tail", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     fields = pa.schema(
         [
             ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),

@@ -159,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     unlabelled = pick(free, MAX_UNLABELLED, 2).withColumn("is_pos", F.lit(0))
     chosen = common.stage(positive.unionByName(unlabelled), "tox-sample")  # at most 10,000 ids
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = texts.dropDuplicates(["doc_id"])
 
     def score(batch: list[bytes]) -> list[list]:
         return [[features(t).tobytes() for t in batch]]
