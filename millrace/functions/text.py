@@ -46,6 +46,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
+def unit(v: Column) -> Column:
+    """A vector of length 1 in the same direction; null where the norm is zero. Arrays of one element bind the norm, so that it is made once."""
+    bound = F.transform(F.array(v), lambda x: F.struct(x.alias("x"), F.sqrt(dot(x, x)).alias("n")))
+    made = F.transform(bound, lambda b: F.when(b["n"] > 0, F.transform(b["x"], lambda y: y.cast("double") / b["n"])))
+    return F.get(made, F.lit(0))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Indel-like similarity from 0 to 100 by Levenshtein distance over the longer string."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -31,26 +31,32 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 20, where: Column | No
     """(query_id, chunk_id, score, rank) by cosine. Filters apply before ranking. Queries are few and are
     broadcast: the chunks are scanned once and never shuffled before each partition's candidates."""
     pool = chunks if where is None else chunks.filter(where)
-    pairs = pool.select("chunk_id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("qv"))))
-    return top_k(pairs.select("query_id", "chunk_id", T.cosine(F.col("vector"), F.col("qv")).alias("score")).filter("score is not null"), k)
+    unit = lambda df, key, v: df.select(key, T.unit(F.col("vector")).alias(v)).filter(f"{v} is not null")
+    pairs = unit(pool, "chunk_id", "cv").crossJoin(F.broadcast(unit(queries, "query_id", "qv")))
+    return top_k(pairs.select("query_id", "chunk_id", T.dot(F.col("cv"), F.col("qv")).alias("score")), k)
 
 
-def postings(chunks: DataFrame, analysed: Column) -> DataFrame:
-    """(chunk_id, term, tf, dl): the inverted index of one field under one analyser."""
+def postings(chunks: DataFrame, analysed: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, tf, dl): the inverted index of one field under one analyser; of the ``wanted`` terms alone, if
+    given, which are then picked before anything is shuffled."""
     terms = chunks.select("chunk_id", analysed.alias("terms")).withColumn("dl", F.size("terms"))
-    return terms.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    listed = terms.select("chunk_id", "dl", F.explode("terms").alias("term"))
+    if wanted is not None:
+        listed = listed.join(wanted, "term", "left_semi")
+    return listed.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, chunks: DataFrame, analysed: Column) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, analysed: Column, index: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of one field. ``queries``: query_id, term. Document frequency and mean length are
-    global; only postings of the queries' terms are joined."""
+    global; only postings of the queries' terms are counted and joined. ``index``: stored postings, if there are any."""
     stats = chunks.select(F.size(analysed).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = queries.select("query_id", "term").distinct()
-    hits = index.join(wanted, "term")
-    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    terms = wanted.select("term").distinct()
+    hits = postings(chunks, analysed, terms) if index is None else index.join(terms, "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    scored = hits.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -50,19 +50,17 @@ def deleak_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document that does shares one of the item's rarest words (of n, the first n - ceil(0.85 n) + 1): only those are joined.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.token_set(F.col("text")).alias("d"))
     items = table(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("b"))
-    words = docs.select("doc_id", F.explode("d").alias("t"))
+    parts = items.select("item_id", F.size("b").alias("n"), F.explode("b").alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.token_set(F.col("text"))).alias("t"))
+    words = docs.join(parts.select("t").distinct(), "t", "left_semi")  # the items' words alone are shuffled
     often = words.groupBy("t").agg(F.count("*").alias("df"))
-    listed = items.select("item_id", F.size("b").alias("n"), F.explode("b").alias("t")).join(often, "t", "left").fillna(0, ["df"])
-    from pyspark.sql import Window
-
-    rare = listed.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "t"))).filter(
-        F.col("r") <= F.col("n") - F.ceil(F.lit(0.85) * F.col("n") - 1e-9) + 1
-    )
+    order = Window.partitionBy("item_id").orderBy("df", "t")
+    listed = parts.join(often, "t", "left").fillna(0, ["df"]).withColumn("r", F.row_number().over(order))
+    rare = listed.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(0.85) * F.col("n") - 1e-9) + 1)
     found = words.join(rare.select("item_id", "t"), "t").select("doc_id", "item_id").distinct()
-    scored = found.join(docs, "doc_id").join(items, "item_id")
-    return scored.filter(T.containment(F.col("b"), F.col("d")) >= 0.85).select("doc_id", "item_id")
+    shared = found.join(words, "doc_id").join(parts, ["item_id", "t"]).groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("k"))
+    return shared.filter(F.col("k") / F.col("n") >= 0.85).select("doc_id", "item_id")
 
 
 def quality_gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:

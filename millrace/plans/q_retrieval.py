@@ -44,7 +44,7 @@ def _terms(spark: SparkSession) -> DataFrame:
 
 def _bm25(spark: SparkSession, sf_dir: str, analyser=T.tokens) -> DataFrame:
     c = _chunks(spark, sf_dir)
-    return R.bm25(_terms(spark), R.postings(c, analyser(F.col("text"))), c, analyser(F.col("text")))
+    return R.bm25(_terms(spark), c, analyser(F.col("text")))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,3 +208,26 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got and all(want[k] == n for k, n in got.items()) and len(want) - len(got) <= 30
     runlog.upsert_failures(spark, str(tmp_path / "log"), str(tmp_path / "fail"), str(tmp_path / "ck2"))
     assert spark.read.json(str(tmp_path / "fail")).count() == events.filter("event_type = 'error'").count()
+
+
+def test_knowledge_files(spark, tmp_path):
+    from millrace.sources import knowledge
+
+    (tmp_path / "g.json").write_text('[{"term": "AOV", "definition": "average order value", "related_tables": ["orders"]}, {"definition": "no term"}]')
+    (tmp_path / "f.json").write_text('[{"nl": "how many", "sql": "SELECT count(*) FROM orders JOIN part ON true", "intent": "count"}]')
+    (tmp_path / "b.json").write_text('[{"domain_concept": "open", "sql_mapping": "status = 1", "table_context": "orders, part", "description": "d"}]')
+    g = knowledge.load(spark, str(tmp_path / "g.json"), "GLOSSARY").collect()
+    f = knowledge.load(spark, str(tmp_path / "f.json"), "FEW_SHOT").first()
+    b = knowledge.load(spark, str(tmp_path / "b.json"), "BUSINESS_RULE").first()
+    assert len(g) == 1 and g[0].text == "AOV: average order value" and g[0].referenced_tables == ["orders"]
+    assert f.expected_sql.startswith("SELECT") and f.referenced_tables == ["orders", "part"] and b.referenced_tables == ["orders", "part"] and len(b.chunk_id) == 32
+
+
+def test_embeddings_are_unit_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import embed
+
+    df = spark.createDataFrame([(1, "the quick fox"), (2, "The quick, fox!"), (3, "")], "id int, s string").withColumn("v", embed.embed(F.col("s"), 16))
+    v = {r.id: r.v for r in df.collect()}
+    assert v[1] == v[2] and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and v[3] == [0.0] * 16
