@@ -87,6 +87,7 @@ class Index:
         split = [words(t) for _, t in items]
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for ws in split for w in ws}))}  # 0: any other word
         self.items = [np.array([self.vocab[w] for w in ws], dtype=np.int64) for ws in split]
+        self.lists = [x.tolist() for x in self.items]
         self.rng = np.random.default_rng(seed)
         self.base, self.groups, self.walk_bits = len(self.vocab) + 1, [], {}
         self.marks = np.zeros(len(self.vocab) + 1, dtype=np.uint64)
@@ -246,7 +247,8 @@ class Index:
             low = max(int(bounds[t]), int(pairs[a, 1]) - slack)
             high = min(int(bounds[t + 1]), int(pairs[b - 1, 1]) + width + slack)
             region = ids[low:high]
-            if np.isin(item, region).sum() < len(item) - allowed:
+            there = set(region.tolist())
+            if sum(w in there for w in self.lists[k]) < len(item) - allowed:
                 continue
             d, end = best_match(item, region)
             found = (d, low + end - int(bounds[t]))

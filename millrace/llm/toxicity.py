@@ -3,7 +3,7 @@
 Training sees confirmed toxic texts and *unlabelled* texts, never negatives. With the class prior
 p, the risk of a scorer is p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)): what is
 counted as negative among the unlabelled is corrected for the positives hidden there, and the
-correction may not make the risk negative. Where it would, the step is turned against it. A
+correction may not make the risk negative. Where it would, that part's step is turned back. A
 few linear scorers in numpy over hashed words and word beginnings, each from its own start and
 order, are averaged.
 """
@@ -24,6 +24,8 @@ BITS = 18
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000
 MAX_BUCKETS, LEAST_Z = 4000, 4.0
 MEMBERS, EPOCHS, BATCH, RATE, DECAY = 3, 40, 500, 0.02, 1e-4
+#: Where the corrected negative risk falls below zero, its step is undone at this rate, and the positive risk's step stays.
+UNDO = 0.1
 _MARKS = b".,;:!?\"'()[]{}<>|*%&$#@~`^=+-_/\\"
 
 
@@ -82,8 +84,8 @@ def _one(pos: list[np.ndarray], unl: list[np.ndarray], scale: np.ndarray, prior:
                 g[:n_p] = (prior * (p[:n_p] - 1) - prior * p[:n_p]) / n_p
                 g[n_p:] = p[n_p:] / n_u
             else:  # the estimate is below zero: undo the over-fitting of the negative part
-                g[:n_p] = prior * p[:n_p] / n_p
-                g[n_p:] = -p[n_p:] / n_u
+                g[:n_p] = prior * ((p[:n_p] - 1) + UNDO * p[:n_p]) / n_p
+                g[n_p:] = -UNDO * p[n_p:] / n_u
             gw = np.bincount(flat, weights=np.repeat(g, np.diff(ends)), minlength=size) * scale + DECAY * w
             gb, t = g.sum(), t + 1
             mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
@@ -146,13 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     """Learns from rows outside fold 0. Positives are labelled toxic; unlabelled are any documents, their labels unseen.
 
     Both are the first rows in order of a hash, up to the documented bounds. The prior, if not
-    given, is the toxic share of all labels outside fold 0.
+    given, is the toxic share of all labels outside fold 0, less two standard errors.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
-        share = known.agg(F.avg("toxic")).first()[0]
-        prior = 0.1 if share is None else float(share)
+        share, n = known.agg(F.avg("toxic"), F.count("*")).first()
+        # Its lower bound (two standard errors): a prior that is too high would forbid the risk what is true.
+        prior = 0.1 if share is None else max(0.0, float(share) - 2 * (float(share) * (1 - float(share)) / n) ** 0.5)
     pick = lambda ids, n, seed: ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
     positive = pick(known.filter("toxic = 1").select("doc_id"), MAX_POSITIVE, 1).withColumn("is_pos", F.lit(1))
     free = docs.select("doc_id").filter("doc_id is not null").filter(fold(F.col("doc_id")) != 0)
