@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -160,28 +160,29 @@ def _dense_links(table: DataFrame, heavy: DataFrame) -> DataFrame:
     )
 
 
-def classes(docs: DataFrame, keys: list[str], text: str = "text", dense: int = DENSE) -> DataFrame:
-    """``keys``, ``fp`` and ``group`` (the least fingerprint reachable by links) for every row of ``docs``.
+def classes(rows: DataFrame, best: Column, dense: int = DENSE) -> DataFrame:
+    """(fp, best): for every fingerprint of ``rows``, the least ``best`` of all rows of its component.
 
-    Rows are never joined with each other: only distinct fingerprints are. Empty input gives an
-    empty result; null texts count as empty; repeated rows stay repeated.
+    ``best`` is reduced to one value for each fingerprint first, by a partial aggregate; all joins are of
+    distinct fingerprints, so a group of copies, however large, is one row in them.
     """
-    rows = common.stage(fingerprints(docs, keys, text), "simhash")
-    distinct = common.stage(rows.select("fp").distinct(), "simhash-fps")
-    edges = common.stage(links(distinct, dense), "simhash-links")
-    return rows.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "group", F.coalesce("root", "fp")
-    ).drop("root")
+    distinct = common.stage(rows.groupBy("fp").agg(F.min(best).alias("best")), "simhash-fps")
+    edges = common.stage(links(distinct.select("fp"), dense), "simhash-links")
+    roots = components(edges).withColumnRenamed("node", "fp")
+    tagged = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = tagged.groupBy("root").agg(F.min("best").alias("best"))
+    return tagged.drop("best").join(least, "root").select("fp", "best")
 
 
 def near_dup_components(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for every row of ``docs``.
 
-    A null doc_id keeps its row; it never is a component's id unless all ids there are null.
+    A null doc_id keeps its row; it never is a component's id unless all ids there are null. Null texts count as
+    empty; repeated rows stay repeated; an empty table gives an empty result.
     """
-    rows = classes(docs, ["doc_id"], dense=dense)
-    roots = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(roots, "group").select(
+    rows = common.stage(fingerprints(docs, ["doc_id"]), "simhash")
+    found = classes(rows, F.col("doc_id"), dense).withColumnRenamed("best", "component_id")
+    return rows.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -193,16 +194,14 @@ def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """
     columns = docs.columns
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = classes(marked, ["doc_id", "__h"], dense=dense)
-    chosen = rows.groupBy("group").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("__h"))).alias("k")
-    ).select(F.col("k.doc_id").alias("__id"), F.col("k.__h").alias("__kh")).distinct()
-    from pyspark.sql import Window
-
-    found = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kh")), "left_semi")
+    rows = common.stage(fingerprints(marked, ["doc_id", "__h"]), "simhash")
+    best = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))
+    chosen = classes(rows, best, dense).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__kh")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kh"))
     others = [F.col(f"`{c}`").asc_nulls_last() for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double") and c != "text"]
     first = Window.partitionBy("doc_id", "__h").orderBy(*(others or [F.lit(0)]))
-    return found.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select(*[F.col(f"`{c}`") for c in columns])
+    kept = marked.join(chosen, on, "left_semi").withColumn("__k", F.row_number().over(first)).filter("__k = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
