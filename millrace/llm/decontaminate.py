@@ -1,6 +1,6 @@
 """Benchmark decontamination under edit distance (operator 3).
 
-Texts and benchmark items are sequences of normalised words; an item leaks into a document if
+Texts and benchmark items are sequences of words, lower-cased and without marks; an item leaks into a document if
 some stretch of the document is within floor((1 - SIMILARITY) * words) word edits of it.
 
 The CGK embedding walks over a sequence with shared random bits: at step j it notes the word it
@@ -19,7 +19,7 @@ are no match of any item of that size. This loses nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +35,12 @@ RARE = 0.02  # share of the items that may have a word for it to count as rare
 #: Items are searched for in blocks of so many words, so that what the executors get is bounded.
 BLOCK_WORDS = 2_000_000
 _MARKS = b".,;:!?\"'()[]{}<>|*%&$#@~`^=+-_/\\"
-
-
-def normalise(raw: bytes) -> bytes:
-    return raw.strip(_MARKS).lower()
+_PLAIN = bytes(32 if c in _MARKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def words(text: bytes) -> list[bytes]:
-    """Lower-cased (A-Z) words without surrounding marks."""
-    return [w for w in map(normalise, text.split()) if w]
+    """Lower-cased (A-Z) runs without white space and marks."""
+    return text.translate(_PLAIN).split()
 
 
 def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -110,10 +107,9 @@ class Index:
                 self.marks[counted[k]] |= np.uint64(1 << g.bit)
             self.groups.append(g)
             self._build(g, members, recall)
-        self.memo: common.Memo | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": None, "rng": None}
+        return self.__dict__ | {"rng": None}
 
     # -- embedding
 
@@ -126,17 +122,20 @@ class Index:
         return have
 
     def notes(self, ids: np.ndarray, starts: np.ndarray, walk: int, wanted: list[int]) -> dict[int, np.ndarray]:
-        """The words noted at the wanted steps by walks from each start; 0 past the end of ``ids``."""
+        """The words noted at the wanted steps by walks from each start of padded ``ids``; 0 past their end."""
         bits, out, last = self._bits(walk, max(wanted) + 1), {}, max(wanted)
-        ids = np.append(ids, 0)
         at, want = starts.copy(), set(wanted)
         for j in range(last + 1):
             here = ids[at]
             if j in want:
                 out[j] = here
-            at = np.minimum(at + bits[j][here], len(ids) - 1)
+            at += bits[j][here]
         return out
 
+    def padded(self, ids: np.ndarray) -> np.ndarray:
+        """``ids`` with as many zeros behind as the longest walk can take steps."""
+        return np.concatenate([ids, np.zeros(2 + max((len(x) for x in self.items), default=0) * 2, dtype=np.int64)])
+
     def _key(self, notes: dict[int, np.ndarray], steps: tuple[int, ...]) -> np.ndarray:
         key, some = np.zeros(len(notes[steps[0]]), dtype=np.uint64), np.ones(len(notes[steps[0]]), dtype=bool)
         for s in steps:
@@ -161,14 +160,14 @@ class Index:
 
     def _build(self, g: Group, members: list[int], recall: float) -> None:
         """Adds tables until ``recall`` of the edited copies meet their own item (or the bound is reached)."""
-        trials = [(k, self._edited(self.items[k])) for k in members for _ in range(max(1, 400 // len(members)))][:4000]
+        trials = [(k, self.padded(self._edited(self.items[k]))) for k in members for _ in range(max(1, 400 // len(members)))][:4000]
         missed = np.ones(len(trials), dtype=bool)
         zero = np.zeros(1, dtype=np.int64)
         for _ in range(MOST_TABLES):
             for walk in range(WALKS):
                 size = min(SAMPLED, g.steps)
                 steps = tuple(sorted(self.rng.choice(g.steps, size=size, replace=False).tolist()))
-                keys = np.array([self._key(self.notes(self.items[k], zero, walk, list(steps)), steps)[0] for k in members], dtype=np.uint64)
+                keys = np.array([self._key(self.notes(self.padded(self.items[k]), zero, walk, list(steps)), steps)[0] for k in members], dtype=np.uint64)
                 order = np.argsort(keys, kind="stable")
                 g.tables.append((walk, steps, keys[order], np.array(members)[order]))
                 own = dict(zip(members, keys, strict=True))
@@ -181,23 +180,14 @@ class Index:
 
     # -- search
 
-    def _code(self, chunk: bytes) -> int:
-        """The vocabulary number of a word; -1 for a chunk that holds marks only."""
-        w = normalise(chunk)
-        return self.vocab.get(w, 0) if w else -1
-
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text: (item_id, edit distance, words of the item, word where the stretch ends) of each item that
         leaks into it, by its best match. The texts of a batch are searched as one sequence; matches keep to one text."""
-        if self.memo is None:
-            self.memo = common.Memo(self._code)
-        chunks = [t.split() for t in texts]
-        lengths = list(map(len, chunks))
-        flat = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(chunks)), dtype=np.int64, count=sum(lengths))
-        real = flat >= 0
-        before = np.concatenate([[0], np.cumsum(real)])
-        bounds = before[np.cumsum([0, *lengths])]  # where each text begins among the words
-        ids = flat[real]
+        split = [words(t) for t in texts]
+        lengths = list(map(len, split))
+        ids = np.fromiter(map(self.vocab.get, chain.from_iterable(split), repeat(0)), dtype=np.int64, count=sum(lengths))
+        bounds = np.cumsum([0, *lengths])  # where each text begins among the words
+        padded = self.padded(ids)
         best: list[dict] = [{} for _ in texts]
         marks = self.marks[ids]
         marked = np.flatnonzero(marks)
@@ -214,16 +204,16 @@ class Index:
                 edge = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.add.at(edge, np.maximum(last[near] - width + 1, 0), 1)
                 np.add.at(edge, first[near] + 1, -1)
-                self._search_group(g, ids, bounds, np.flatnonzero(np.cumsum(edge[:-1]) > 0), width, best)
+                self._search_group(g, ids, padded, bounds, np.flatnonzero(np.cumsum(edge[:-1]) > 0), width, best)
         return [[(self.ids[k], d, len(self.items[k]), e) for k, (d, e) in sorted(b.items())] for b in best]
 
-    def _search_group(self, g: Group, ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, width: int, best: list[dict]) -> None:
+    def _search_group(self, g: Group, ids: np.ndarray, padded: np.ndarray, bounds: np.ndarray, starts: np.ndarray, width: int, best: list[dict]) -> None:
         by_walk: dict[int, list] = {}
         for walk, steps, keys, members in g.tables:
             by_walk.setdefault(walk, []).append((steps, keys, members))
         met: list[tuple[np.ndarray, np.ndarray]] = []
         for walk, tables in by_walk.items():
-            notes = self.notes(ids, starts, walk, sorted({s for steps, _, _ in tables for s in steps}))
+            notes = self.notes(padded, starts, walk, sorted({s for steps, _, _ in tables for s in steps}))
             for steps, keys, members in tables:
                 own = self._key(notes, steps)
                 left, right = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")

@@ -28,7 +28,7 @@ def test_embedding_maps_edits_to_few_differences():
     index = dc.Index(items)
     zero = np.zeros(1, dtype=np.int64)
     steps = list(range(60))
-    same = lambda a, b: np.mean([index.notes(a, zero, 0, steps)[s][0] == index.notes(b, zero, 0, steps)[s][0] for s in steps])
+    same = lambda a, b: np.mean([index.notes(index.padded(a), zero, 0, steps)[s][0] == index.notes(index.padded(b), zero, 0, steps)[s][0] for s in steps])
     one = np.delete(index.items[0], 20)
     assert same(index.items[0], index.items[0]) == 1.0 and same(index.items[0], one) > 0.5 > same(index.items[0], index.items[1])
 
