@@ -6,6 +6,9 @@ segment differs in at most one bit, so the ball of radius 1 around each segment
 enumerated, looked up in the table of segment values, and the complete distance is verified.
 All work is on *distinct* fingerprints: exact copies meet in a plain aggregate.
 
+Near copies of a few edits differ in more bits than that. :func:`keep_one` therefore also links texts whose sets of
+word 5-shingles have a Jaccard similarity of ``LEAST`` (0.8) or more: bands of min-hashes propose pairs, and the complete sets decide.
+
 Segment values shared by more than ``dense`` fingerprints would make quadratically many
 pairs. Those go another, linear and exact way: see :func:`_dense_links`.
 """
@@ -25,21 +28,30 @@ RADIUS = 3
 SEGMENT = 0xFFFFFFFF
 #: Segment values with more distinct fingerprints than this take the linear way.
 DENSE = 512
+#: Similar texts: Jaccard of word shingles, proposed by bands of min-hashes (a pair at 0.8 is missed by all 16 once in 96,000).
+LEAST, WIDE_SHINGLE, BANDS, PER_BAND = 0.8, 5, 16, 3
+#: In bands shared by more distinct texts than this, each is compared with two hubs and a hashed group of about ``GROUP``.
+CROWD, GROUP = 64, 8
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """SimHash of one text: XXH64 (seed 42) of each shingle, a bit is 1 if set in over half of them."""
+def shingles(text: bytes, shingle: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle, or of all words where there are fewer; none for a wordless text."""
     words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=n)
-    return majority(hashes)
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=n)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """SimHash of one text: a bit is 1 if set in over half of the hashes of its shingles."""
+    hashes = shingles(text, shingle)
+    return majority(hashes) if len(hashes) else 0
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -160,14 +172,79 @@ def _dense_links(table: DataFrame, heavy: DataFrame) -> DataFrame:
     )
 
 
-def classes(rows: DataFrame, best: Column, dense: int = DENSE) -> DataFrame:
-    """(fp, best): for every fingerprint of ``rows``, the least ``best`` of all rows of its component.
+_MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * PER_BAND, 1), dtype=np.uint64)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit key for each band of min-hashes of a set of shingle hashes; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * PER_BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for low in range(0, len(hashes), 4096):
+        mixed = (hashes[low : low + 4096] ^ _MIX[0]) * (_MIX[1] * np.uint64(2) + np.uint64(1))
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, mixed.min(axis=1))
+    rows = least.reshape(BANDS, PER_BAND)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def similar_links(rows: DataFrame, texts: DataFrame, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) between fingerprints over ``RADIUS`` apart of texts whose ``WIDE_SHINGLE``-shingles have Jaccard ``least`` or more.
+
+    rows: __h (hash of the text), fp, words (hash of its lower-cased words), bands. texts: __h, text. Texts of the same words are one.
+    Every pair that shares a band is verified on the complete sets. In a band of more than ``crowd`` texts every text is
+    verified against two hubs and a group of about ``GROUP``, others in each band, so that near copies of one text make no square of
+    pairs. Such a crowd hangs together by many random links; a text with very few similar ones among its crowd may be missed.
+    """
+    one = rows.filter("size(bands) > 0").groupBy("words").agg(F.min(F.struct("__h", "fp", "bands")).alias("t"))
+    keys = common.stage(one.select(F.col("t.__h").alias("h"), F.col("t.fp").alias("f"), F.explode("t.bands").alias("key")), "similar-keys")
+    mixed = F.struct(F.xxhash64("h", "key").alias("o"), "h", "f")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(mixed).alias("x"), F.max(mixed).alias("y")).filter("n > 1")
+    sizes = common.stage(sizes, "similar-bands")
+    groups = F.when(F.col("n") <= crowd, 1).otherwise(F.ceil(F.col("n") / GROUP))
+    dealt = keys.join(sizes.select("key", groups.alias("groups")), "key")
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("h", "key", F.lit(1)), F.col("groups")))
+    a, b = (dealt.select("key", "g", F.col("h").alias(f"h{x}"), F.col("f").alias(f"f{x}")) for x in "ab")
+    pairs = a.join(b, ["key", "g"]).filter("ha < hb").select("ha", "fa", "hb", "fb")
+    many = sizes.filter(F.col("n") > crowd).select("key", F.explode(F.array("x", "y")).alias("z"))
+    starred = keys.join(many, "key").select(F.col("h").alias("ha"), F.col("f").alias("fa"), F.col("z.h").alias("hb"), F.col("z.f").alias("fb"))
+    pairs = pairs.unionByName(starred.filter("ha <> hb")).filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) > RADIUS)
+    pairs = common.stage(pairs.distinct(), "similar-pairs")
+    wanted = pairs.select(F.col("ha").alias("__h")).unionByName(pairs.select(F.col("hb").alias("__h"))).distinct()
+    chosen = texts.join(wanted, "__h", "left_semi").groupBy("__h").agg(F.min("text").alias("text"))
+
+    def score(batch: list[bytes]) -> list[list]:
+        return [[np.unique(shingles(t, WIDE_SHINGLE)).tobytes() for t in batch]]
+
+    sets = common.stage(common.per_text(chosen, ["__h"], "text", pa.schema([("ids", pa.binary())]), score), "similar-sets")
+    left, right = sets.select(F.col("__h").alias("ha"), F.col("ids").alias("xa")), sets.select(F.col("__h").alias("hb"), F.col("ids").alias("xb"))
+    both = pairs.join(left, "ha").join(right, "hb").select("fa", "fb", "xa", "xb")
+
+    def verify(batches):
+        for batch in batches:
+            xs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ok = pa.array([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in xs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["fa", "fb"])
+
+    return both.mapInArrow(verify, "fa long, fb long").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
+
+
+def classes(rows: DataFrame, best: Column, dense: int = DENSE, more: DataFrame | None = None) -> DataFrame:
+    """(fp, best): for every fingerprint of ``rows``, the least ``best`` of all rows of its component; ``more`` are further edges.
 
     ``best`` is reduced to one value for each fingerprint first, by a partial aggregate; all joins are of
     distinct fingerprints, so a group of copies, however large, is one row in them.
     """
     distinct = common.stage(rows.groupBy("fp").agg(F.min(best).alias("best")), "simhash-fps")
-    edges = common.stage(links(distinct.select("fp"), dense), "simhash-links")
+    edges = links(distinct.select("fp"), dense)
+    edges = common.stage(edges if more is None else edges.unionByName(more), "simhash-links")
     roots = components(edges).withColumnRenamed("node", "fp")
     tagged = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = tagged.groupBy("root").agg(F.min("best").alias("best"))
@@ -190,13 +267,22 @@ def near_dup_components(docs: DataFrame, dense: int = DENSE) -> DataFrame:
 def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """The rows of ``docs``, one of each component: its least doc_id (null last), then its least text hash.
 
+    Components are of links by fingerprint (``RADIUS``) and by similarity (``LEAST``), see :func:`similar_links`.
     All columns come back as they were. Repeated rows of the kept document are reduced to one.
     """
     columns = docs.columns
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = common.stage(fingerprints(marked, ["doc_id", "__h"]), "simhash")
+
+    def score(texts: list[bytes]) -> list[list]:
+        found = [fingerprint(t) for t in texts]
+        words = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 43) - (1 << 63) for t in texts]
+        return [[x - (1 << 64) if x >> 63 else x for x in found], words, [bands(shingles(t, WIDE_SHINGLE)) for t in texts]]
+
+    fields = pa.schema([("fp", pa.int64()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    rows = common.stage(common.per_text(marked, ["doc_id", "__h"], "text", fields, score), "simhash")
+    more = similar_links(rows, marked.select("__h", "text"))
     best = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))
-    chosen = classes(rows, best, dense).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__kh")).distinct()
+    chosen = classes(rows, best, dense, more).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__kh")).distinct()
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kh"))
     others = [F.col(f"`{c}`").asc_nulls_last() for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double") and c != "text"]
     first = Window.partitionBy("doc_id", "__h").orderBy(*(others or [F.lit(0)]))

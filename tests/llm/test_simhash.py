@@ -99,3 +99,45 @@ def test_keep_one(odd, none):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and 2 not in ids and ids.count(3) == 1 and 4 not in ids and ids.count(None) == 1
     assert simhash.keep_one(none).count() == 0
+
+
+def plain_jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_finds_edited_copies_beyond_the_radius(spark):
+    """Each text has a copy with edited words: at 0.8 or more in 5-word shingles and over 3 bits apart it goes, below both it stays."""
+    rng = random.Random(3)
+    rows, gone = [], set()
+    far = lambda a, b: bin(plain_fp(a) ^ plain_fp(b)).count("1") > 3
+    while len(rows) < 160:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        edited = list(words)
+        for i in rng.sample(range(len(words)), max(1, len(words) // rng.choice((12, 60)))):
+            edited[i] = f"v{rng.randrange(5000)}"
+        a, b, k = " ".join(words), " ".join(edited), len(rows)
+        if far(a, b):
+            rows += [(k, a), (k + 1, b)]
+            if plain_jaccard(a, b) >= 0.8:
+                gone.add(k + 1)
+    assert 15 < len(gone) < 70
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in kept.collect()} == {k for k, _ in rows} - gone
+
+
+def test_keep_one_of_a_crowd(spark):
+    """A group of near copies larger than ``CROWD`` is found as by brute force."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for k in range(3 * simhash.CROWD):
+        copy = list(base)
+        for i in rng.sample(range(300), 3):
+            copy[i] = f"v{rng.randrange(5000)}"
+        rows.append((k, " ".join(copy)))
+    sets = [frozenset(simhash.shingles(t.encode(), 5).tolist()) for _, t in rows]
+    fps = [plain_fp(t) for _, t in rows]
+    alike = lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = set(roots(range(len(rows)), alike).values())
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
