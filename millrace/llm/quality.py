@@ -37,7 +37,19 @@ LABELLERS = ("marks", "capitals", "stutter", "bars", "repeats", "function_words"
 
 _MARKS = b"%$&*#@~^"
 _RUNS = re.compile(rb"(.)\1+", re.S)
-_SHAPES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+_SHAPES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else c for c in range(256))
+
+
+class _Points(dict):
+    """A, a or 0 for code points that are letters or digits, in any script; others stay."""
+
+    def __missing__(self, point: int) -> int:
+        c = chr(point)
+        self[point] = kind = 65 if c.isupper() else 97 if c.isalpha() else 48 if c.isdigit() else point
+        return kind
+
+
+_points = _Points()
 
 
 class _Words:
@@ -50,7 +62,7 @@ class _Words:
         self.memo = common.Memo(self._code)
 
     def _code(self, raw: bytes) -> int:
-        shape = raw[:64].translate(_SHAPES)
+        shape = raw.translate(_SHAPES) if raw.isascii() else raw.decode("utf-8", "replace").translate(_points).encode()
         upper, lower = shape.count(b"A"), shape.count(b"a")
         flags = self.LONG if len(raw) >= 6 else 0
         if raw == b"|":

@@ -62,3 +62,18 @@ def test_quality_odd(odd, none):
     assert kept.columns == odd.columns and kept.count() <= odd.count()
     assert quality.quality_report(odd).count() == odd.count()
     assert quality.keep_good(none).count() == 0 and quality.quality_report(none).count() == 0
+
+
+def test_words_are_seen_whole_and_by_code_point():
+    words = quality._Words()
+    flags = lambda w: words._code(w.encode()) & ((1 << words.FLAGS) - 1)
+    bucket = lambda w: words._code(w.encode()) >> words.FLAGS
+    for junk in ("\u2605\u2605\u2605", "\u2588\u2588\u2588\u2588", "\u2022", "\u2014", "\ufffd\ufffd", "\u2605" * 100):
+        assert flags(junk) & words.MARK, junk
+    for word in ("\u00e9t\u00e9", "\u0434\u043e\u043c", "\u4e2d\u6587", "\u0661\u0662", "caf\u00e9"):
+        assert not flags(word) & words.MARK, word
+    assert flags("\u00c9T\u00c9") & words.CAPS and not flags("\u00c9t\u00e9") & words.CAPS
+    assert not flags("A" * 64 + "b") & words.CAPS and flags("A" * 80) & words.CAPS
+    assert not flags("-" * 64 + "word") & words.MARK and flags("-" * 80) & words.MARK
+    assert bucket("ab" * 40) == bucket("cd" * 40) != bucket("ab" * 40 + "-1;2;3")
+    assert bucket("\u4e2d\u6587" * 40 + "\u2605|\u2605") != bucket("\u4e2d\u6587" * 40)
