@@ -8,7 +8,7 @@ Slots are range-partitioned into shards of fixed-stride records, so that record
 order is at a known byte of a known shard, and a reader can resume anywhere.
 
 The stream's order is that of a hash of doc_id and text, so slots depend on the data and the key alone, and rows
-without an id spread like others. Token ids are shuffled twice: once into hash ranges, to number the stream, and once into slots.
+without an id spread like others. Token ids are shuffled twice, compressed: once into hash ranges, to number the stream, and once into slots.
 """
 
 from __future__ import annotations
@@ -84,14 +84,23 @@ def encoder(path: str):
 _encoders: dict[str, object] = {}
 
 
+def _pack(ids: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(ids, asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> bytes:
+    """``n`` ids of two bytes."""
+    return pa.Codec("zstd").decompress(packed, decompressed_size=2 * n, asbytes=True)
+
+
 def tokenised(docs: DataFrame, keep: list[str], path: str | None = None, end: int = END) -> DataFrame:
-    """``keep``, n (ids with the end id) and ids (little-endian uint16) for every row; null texts are empty."""
+    """``keep``, n (ids with the end id) and ids (little-endian uint16, packed) for every row; null texts are empty."""
     path = path or default_path()
 
     def score(texts: list[bytes]) -> list[list]:
         enc = _encoders.get(path) or _encoders.setdefault(path, encoder(path))
         ids = [np.append(enc.encode_to_numpy(t.decode(), disallowed_special=()), end).astype("<u2") for t in texts]
-        return [[len(x) for x in ids], [x.tobytes() for x in ids]]
+        return [[len(x) for x in ids], [_pack(x.tobytes()) for x in ids]]
 
     return common.per_text(docs, keep, "text", pa.schema([("n", pa.int64()), ("ids", pa.binary())]), score)
 
@@ -131,32 +140,33 @@ def training_order(
         at, current, feistel = 0, None, None
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5)]
-            docs_, seqs, starts, pieces = [], [], [], []
+            docs_, seqs, starts, sizes_, pieces = [], [], [], [], []
             for doc_id, n, ids, p, before, total in zip(*cols, strict=True):
                 if p != current:
                     current, at = p, before
                 if feistel is None:
                     feistel = Feistel(-(-total // length), key)
-                done = 0
+                done, ids = 0, _unpack(ids, n)
                 while done < n:
                     inside = at % length
                     take = min(n - done, length - inside)
                     docs_.append(doc_id)
                     seqs.append(at // length)
                     starts.append(inside)
-                    pieces.append(ids[2 * done : 2 * (done + take)])
+                    pieces.append(_pack(ids[2 * done : 2 * (done + take)]))
+                    sizes_.append(take)
                     done, at = done + take, at + take
             slots = feistel.slot(np.array(seqs, dtype=np.uint64)) if seqs else np.empty(0, dtype=np.int64)
             totals = np.full(len(seqs), feistel.n if feistel else 0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), pa.array(starts, pa.int32()), pa.array(docs_, pa.int64()), pa.array(pieces, pa.binary()), pa.array(totals)],
-                names=["slot", "start", "doc_id", "piece", "sequences"],
+                [pa.array(slots), pa.array(starts, pa.int32()), pa.array(docs_, pa.int64()), pa.array(pieces, pa.binary()), pa.array(sizes_, pa.int32()), pa.array(totals)],
+                names=["slot", "start", "doc_id", "piece", "size", "sequences"],
             )
 
-    cuts = placed.mapInArrow(cut, "slot long, start int, doc_id long, piece binary, sequences long")
+    cuts = placed.mapInArrow(cut, "slot long, start int, doc_id long, piece binary, size int, sequences long")
     shards = F.ceil(F.col("sequences") / F.lit(per_shard))
     target = F.floor(F.floor(F.col("slot") / F.lit(per_shard)) * F.lit(parts) / shards).cast("int")
-    ranged = cuts.repartitionById(parts, target).sortWithinPartitions("slot", "start").select("slot", "start", "doc_id", "piece")
+    ranged = cuts.repartitionById(parts, target).sortWithinPartitions("slot", "start").select("slot", "start", "doc_id", "piece", "size")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(slot: int, parts_: list) -> tuple:
@@ -175,12 +185,12 @@ def training_order(
         slot, held = None, []
         for batch in batches:
             rows = []
-            for s, d, piece in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for s, d, piece, n in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if s != slot and held:
                     rows.append(row(slot, held))
                     held = []
                 slot = s
-                held.append((d, piece))
+                held.append((d, _unpack(piece, n)))
             yield table(rows)
         if held:
             yield table([row(slot, held)])
@@ -190,46 +200,127 @@ def training_order(
     )
 
 
+class ShardWriter:
+    """Writes records that come in slot order to ``shard-NNNNNNNN.bin`` under ``uri``; ``made`` lists the complete ones.
+
+    A shard appears under its name only when it is complete: a repeated or speculative task replaces it by the same bytes.
+    """
+
+    def __init__(self, uri: str):
+        from pyarrow import fs as pafs
+
+        self.fs, self.root = pafs.FileSystem.from_uri(uri)
+        self.fs.create_dir(self.root, recursive=True)
+        self.shard, self.out, self.made = None, None, []
+
+    def add(self, slot: int, shard: int, record: bytes) -> None:
+        if shard != self.shard:
+            self.close()
+            self.shard, self.first, self.n, self.crc, self.size = shard, slot, 0, 0, 0
+            self.name = f"{self.root}/.{uuid.uuid4().hex}"
+            self.out = self.fs.open_output_stream(self.name)
+        self.out.write(record)
+        self.n, self.crc, self.size = self.n + 1, zlib.crc32(record, self.crc), self.size + len(record)
+
+    def close(self) -> None:
+        if self.out:
+            self.out.close()
+            self.fs.move(self.name, f"{self.root}/shard-{self.shard:08d}.bin")
+            self.made.append((self.shard, self.first, self.n, self.size, self.crc))
+            self.out = None
+
+
+_MANIFEST = "shard int, first_slot long, records long, bytes long, crc32 long"
+
+
+def _manifest_batch(made: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["shard", "first_slot", "records", "bytes", "crc32"]
+    return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], type=t) for i, t in enumerate(types)], names=names)
+
+
 def write_shards(records: DataFrame, uri: str) -> DataFrame:
     """Writes each shard of :func:`training_order` as ``shard-NNNNNNNN.bin`` under ``uri``; returns the manifest
     (shard, first_slot, records, bytes, crc32), which is also what a resumed run compares.
 
-    ``uri`` must be a folder that all executors reach. A shard appears under its name only when it is complete: a repeated
-    or speculative task replaces it by the same bytes, so lost executors do no harm.
+    ``uri`` must be a folder that all executors reach; see :class:`ShardWriter`.
     """
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = ShardWriter(uri)
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                writer.add(*row)
+        writer.close()
+        yield _manifest_batch(writer.made)
+
+    return common.stage(records.select("slot", "shard", "record").mapInArrow(save, _MANIFEST), "shards-written")
+
+
+def shard_folder(spark: SparkSession) -> str:
+    """A new folder for shards in the shared folder, as a URI."""
+    folder = common.shared_dir(spark)
+    scheme, colon, rest = folder.partition(":")
+    if not colon or scheme == "file":
+        folder = "file:///" + (rest if colon else folder).lstrip("/")
+    return f"{folder}/shards-{uuid.uuid4().hex}"
+
+
+def written_order(docs: DataFrame, uri: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+    """Writes the shards of :func:`training_order` and ``manifest`` (Parquet) under ``uri`` (default: :func:`shard_folder`); returns
+    the columns of training_order, the records read from the shards.
+
+    The manifest's bytes and sums are of the files as they are read again; a shard that hasn't the bytes of its records raises.
+    """
+    uri = uri or shard_folder(docs.sparkSession)
+    index = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, doc_tokens array<int>"
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = ShardWriter(uri)
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 6)), strict=True):
+                writer.add(*row)
+            yield batch.drop_columns(["record"])
+        writer.close()
+
+    rows = common.stage(training_order(docs, length, per_shard, key).mapInArrow(save, index), "shards-index")
+
+    def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
 
         fs, root = pafs.FileSystem.from_uri(uri)
-        fs.create_dir(root, recursive=True)
-        shard, first, n, crc, out, name = None, 0, 0, 0, None, ""
-        made: list[tuple] = []
-
-        def close() -> None:
-            out.close()
-            fs.move(name, f"{root}/shard-{shard:08d}.bin")
-            made.append((shard, first, n, size, crc))
+        for batch in batches:
+            found = []
+            for shard, first, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
+                    body = f.read()
+                if len(body) != n * 2 * length:
+                    raise RuntimeError(f"shard {shard}: {len(body)} bytes, {n} records")
+                found.append((shard, first, n, len(body), zlib.crc32(body)))
+            yield _manifest_batch(found)
+
+    each = rows.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("records"))
+    each.mapInArrow(inspect, _MANIFEST).write.parquet(f"{uri}/manifest")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
 
-        size = 0
+        fs, root = pafs.FileSystem.from_uri(uri)
+        current, f = None, None
         for batch in batches:
-            for s, k, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if k != shard:
-                    if out:
-                        close()
-                    shard, first, n, crc, size = k, s, 0, 0, 0
-                    name = f"{root}/.{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(name)
-                out.write(record)
-                n, crc, size = n + 1, zlib.crc32(record, crc), size + len(record)
-        if out:
-            close()
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["shard", "first_slot", "records", "bytes", "crc32"]
-        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], type=t) for i, t in enumerate(types)], names=names)
-
-    rows = records.select("slot", "shard", "record")
-    return common.stage(rows.mapInArrow(save, "shard int, first_slot long, records long, bytes long, crc32 long"), "shards-written")
+            records = []
+            for shard, offset in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if shard != current:
+                    if f:
+                        f.close()
+                    current, f = shard, fs.open_input_file(f"{root}/shard-{shard:08d}.bin")
+                f.seek(offset)
+                records.append(f.read(2 * length))
+            yield batch.append_column("record", pa.array(records, pa.binary()))
+        if f:
+            f.close()
+
+    return rows.mapInArrow(load, f"{index}, record binary")
 
 
 def read_slots(uri: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
@@ -252,4 +343,4 @@ def read_slots(uri: str, first: int, count: int, length: int = LENGTH, per_shard
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(common.documents(spark, sf_dir))
+    return written_order(common.documents(spark, sf_dir))

@@ -46,3 +46,31 @@ def test_round_trip(name, request, spark, tmp_path):
 
 def test_empty(none):
     assert materialise.training_order(none).count() == 0
+
+
+def test_op4_and_the_pipeline_stage_write_shards(spark, sf, docs, monkeypatch):
+    """The files alone give the training order: what is returned is what a resumed job reads."""
+    import pathlib
+    import zlib
+
+    import corpus_pipeline as cp
+
+    made = []
+    monkeypatch.setattr(materialise, "shard_folder", lambda s, f=materialise.shard_folder: made.append(f(s)) or made[-1])
+    want = {r.slot: tuple(r) for r in materialise.training_order(docs).collect()}
+    for k, out in enumerate((materialise.op4(spark, sf), cp.training_order(spark, docs, sf))):
+        got = {r.slot: tuple(r) for r in out.collect()}
+        assert got == want
+        read = materialise.read_slots(made[k], 0, len(want))
+        assert [x.tobytes() for x in read] == [bytes(want[s][-1]) for s in sorted(want)]
+        manifest = spark.read.parquet(f"{made[k]}/manifest").collect()
+        assert sum(m.records for m in manifest) == len(want)
+        for m in manifest:
+            body = pathlib.Path(made[k].removeprefix("file://"), f"shard-{m.shard:08d}.bin").read_bytes()
+            assert (m.bytes, m.crc32) == (len(body), zlib.crc32(body)) and m.first_slot == m.shard * materialise.PER_SHARD
+    assert len(set(made)) == 2
+
+
+def test_written_order_without_rows(none, odd):
+    assert materialise.written_order(none).count() == 0
+    assert materialise.written_order(odd, length=64, per_shard=3).count() == materialise.training_order(odd, 64, 3).count()
