@@ -26,6 +26,8 @@ MAX_BUCKETS, LEAST_Z = 4000, 4.0
 MEMBERS, EPOCHS, BATCH, RATE, DECAY = 3, 40, 500, 0.02, 1e-4
 #: Where the corrected negative risk falls below zero, its step is undone at this rate, and the positive risk's step stays.
 UNDO = 0.1
+#: The cut is found from known positives held out of fits in so many parts, where there are ``FEW`` or more.
+PARTS, FEW = 3, 6
 _MARKS = b".,;:!?\"'()[]{}<>|*%&$#@~`^=+-_/\\"
 
 
@@ -111,32 +113,86 @@ def screen(pos: list[np.ndarray], unl: list[np.ndarray]) -> tuple[np.ndarray, np
     return kept, z[kept]
 
 
-def _cut(scores: np.ndarray, prior: float) -> float:
+def toxic_share(ranks: np.ndarray, share: float) -> tuple[float, float]:
+    """(least, most) share of the unlabelled texts to call toxic. ``ranks``: for known positives that a scorer didn't see as
+    such, the share of unlabelled texts that score as high or higher. ``share``: the labelled share, taken where there are under ``FEW`` of them.
+
+    A share x that catches the part c of all toxic texts bounds their share p by x / c from above. c is known up to two standard
+    errors; the least bound with c lowered by these is taken for p. The x with the least x - 2 p c has the fewest errors for that
+    scorer; the labelled share, where it is within p, calls as many as there are. The cut lies from the greater of these to 3 p / n
+    more, which is what may lie below the last of n positives (at 95%).
+    """
+    n = len(ranks)
+    if n < FEW:
+        return share, share
+    x, caught = np.sort(ranks), np.arange(1, n + 1) / n
+    sure = caught - 2 * np.sqrt((caught * (1 - caught) + 1 / n) / n)
+    bounds = (np.maximum(x, 1e-9) / np.maximum(sure, 1e-9))[sure > 0]
+    p = min(0.5, float(bounds.min(initial=0.5)))
+    at = float(x[int((x - 2 * p * caught).argmin())])
+    least = max(at, min(p, share))
+    return least, least + 3 * p / n
+
+
+def _cut(scores: np.ndarray, least: float, most: float) -> float:
     """Where unlabelled scores (ascending) part into clean and toxic: in the widest gap among those that call
-    between 0.8 and 1.1 times the prior toxic."""
+    from ``least`` to ``most`` of them toxic, with the gap next to either end.
+    Where all of these score the same, the cut is above them, as nothing tells them from the clean ones."""
     n = len(scores)
-    low, high = n - 1 - int(1.1 * prior * n), n - 1 - int(0.8 * prior * n)
+    low, high = n - 2 - int(np.ceil(most * n)), n - int(least * n)
     low, high = max(0, min(low, n - 2)), max(1, min(high, n - 1))
     gaps = np.diff(scores[low : high + 1])
     k = low + int(gaps.argmax())
+    if not gaps.max():
+        k = min(int(np.searchsorted(scores, scores[k], side="right")) - 1, n - 1)
+        return float((scores[k] + scores[min(k + 1, n - 1)]) / 2 + (1e-9 if k == n - 1 else 0))
     return float((scores[k] + scores[k + 1]) / 2)
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, members: int = MEMBERS) -> Model:
-    """Averages ``members`` scorers over the screened buckets. Without positives, unlabelled texts or buckets
-    that tell them apart, nothing can be learnt: the scorer gives the prior to all."""
-    prior = min(max(prior, 1e-6), 1 - 1e-6)
-    weights = np.zeros(1 << BITS)
-    kept, z = screen(pos, unl) if pos and len(unl) > 1 else (np.empty(0, dtype=np.int64), np.empty(0))
+def _held_out_ranks(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> np.ndarray:
+    """For each positive, the share of ``unl`` without the positives themselves that a fit without this positive scores as high or higher."""
+    known = {id(r) for r in pos}
+    ranks = []
+    for part in range(PARTS):
+        rest, held = [r for i, r in enumerate(pos) if i % PARTS != part], pos[part::PARTS]
+        weights = _weights(rest, unl, prior, [part]) if rest else None
+        if weights is None:
+            return np.empty(0)
+        free = np.sort([float(weights[r].sum()) for r in unl if id(r) not in known])
+        own = np.array([float(weights[r].sum()) for r in held])
+        ranks.append(1 - np.searchsorted(free, own, side="left") / max(1, len(free)))
+    return np.concatenate(ranks)
+
+
+def _weights(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, seeds: list[int]) -> np.ndarray | None:
+    """The mean of one scorer for each seed over the screened buckets; None where no bucket tells the texts apart."""
+    kept, z = screen(pos, unl)
     if not len(kept):
-        return Model(weights, np.log(prior / (1 - prior)))
+        return None
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     narrow = lambda rows: [(x := place[r])[x >= 0] for r in rows]
     p, u = narrow(pos), narrow(unl)
-    made = [_one(p, u, np.minimum(z, 30) / 10, prior, seed) for seed in range(members)]
-    weights[kept] = np.mean([w for w, _ in made], axis=0)
-    return Model(weights, -_cut(np.sort([float(weights[r].sum()) for r in unl]), prior))
+    weights = np.zeros(1 << BITS)
+    weights[kept] = np.mean([_one(p, u, np.minimum(z, 30) / 10, prior, s)[0] for s in seeds], axis=0)
+    return weights
+
+
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, members: int = MEMBERS, share: float | None = None) -> Model:
+    """Averages ``members`` scorers over the screened buckets. Without positives, unlabelled texts or buckets
+    that tell them apart, nothing can be learnt: the scorer gives the prior to all.
+
+    ``prior`` is for the risk alone. The cut comes from held-out positives, see :func:`toxic_share`; ``share`` (default: the
+    prior) is called toxic where these are too few."""
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    weights = _weights(pos, unl, prior, list(range(members))) if pos and len(unl) > 1 else None
+    if weights is None:
+        return Model(np.zeros(1 << BITS), np.log(prior / (1 - prior)))
+    least, most = toxic_share(_held_out_ranks(pos, unl, prior), prior if share is None else share)
+    known = {id(r) for r in pos}
+    free = [r for r in unl if id(r) not in known]
+    free = free if len(free) > 1 else unl
+    return Model(weights, -_cut(np.sort([float(weights[r].sum()) for r in free]), least, most))
 
 
 def fold(key: Column) -> Column:
@@ -148,10 +204,11 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     """Learns from rows outside fold 0. Positives are labelled toxic; unlabelled are any documents, their labels unseen.
 
     Both are the first rows in order of a hash, up to the documented bounds. The prior, if not
-    given, is the toxic share of all labels outside fold 0, less two standard errors.
+    given, is the toxic share of all labels outside fold 0, less two standard errors; that is for the risk, not for the cut.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = prior
     if prior is None:
         share, n = known.agg(F.avg("toxic"), F.count("*")).first()
         # Its lower bound (two standard errors): a prior that is too high would forbid the risk what is true.
@@ -175,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     for doc_id, is_pos in sorted(tuple(r) for r in chosen.collect()):
         if doc_id in found:
             (pos if is_pos else unl).append(found[doc_id])
-    return train(pos, unl, prior)
+    return train(pos, unl, prior, share=share)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

@@ -77,3 +77,15 @@ def test_words_are_seen_whole_and_by_code_point():
     assert not flags("-" * 64 + "word") & words.MARK and flags("-" * 80) & words.MARK
     assert bucket("ab" * 40) == bucket("cd" * 40) != bucket("ab" * 40 + "-1;2;3")
     assert bucket("\u4e2d\u6587" * 40 + "\u2605|\u2605") != bucket("\u4e2d\u6587" * 40)
+
+
+def test_the_cut_doesnt_depend_on_how_many_are_labelled():
+    """Well separated texts: all toxic ones are called, with few labels (a low prior) and with labels richer in toxic texts than the corpus."""
+    rng = np.random.default_rng(2)
+    doc = lambda t: np.array(sorted({*rng.integers(10, 200, 20).tolist(), *([1, 2, 3] if t else [])}), dtype=np.int32)
+    for n_pos, every, prior in ((36, 7, 0.067), (36, 7, 0.109), (300, 50, 0.1)):
+        pos, unl = [doc(True) for _ in range(n_pos)], [doc(i % every == 0) for i in range(2000)]
+        model = toxicity.train(pos, unl, prior)
+        called = np.array([model.score(r) >= 0.5 for r in unl])
+        toxic = np.arange(2000) % every == 0
+        assert called[toxic].mean() > 0.97 and called[~toxic].mean() < 0.01, (n_pos, every, prior)
