@@ -123,13 +123,25 @@ def entities(questions: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame
 def fuzzy_codes(questions: DataFrame, codes: DataFrame, least: float = 85.0) -> DataFrame:
     """(query_id, token, code, score): the best code for each word of four letters or more, by token-sort ratio.
 
-    Candidates share the first letter or the length within what the ratio allows, so that words aren't compared with all codes.
+    Words aren't compared with all codes, but no pair is lost: a ratio of ``least`` allows k = floor((1 - least / 100) * longest) edits,
+    which bounds the lengths; and of k + 1 pieces of the code one stands unchanged in the word, at most k letters away.
     """
+    r = max(least, 1.0) / 100
+    lengths = lambda c: F.sequence(F.greatest(F.lit(1), F.ceil(F.length(c) * r - 1e-9)).cast("int"), F.floor(F.length(c) / r + 1e-9).cast("int"))
+    edits = F.floor(F.greatest("m", "n") * (1 - r) + 1e-9).cast("int")
+    start = lambda i: F.floor(i * F.col("m") / (F.col("k") + 1)).cast("int")
+    size = start(F.col("i") + 1) - start(F.col("i"))
     words = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token")).filter("length(token) >= 4")
     listed = codes.select("code", T.token_sort(F.col("code")).alias("c"))
-    w = words.withColumn("block", F.explode(F.array(F.substring("token", 1, 1), F.substring("token", -1, 1))))
-    c = listed.withColumn("block", F.explode(F.array(F.substring("c", 1, 1), F.substring("c", -1, 1))))
-    pairs = w.join(c, "block").select("query_id", "token", "code", T.ratio(F.col("token"), F.col("c")).alias("score")).distinct()
+    pieces = lambda df: df.withColumn("k", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    w = pieces(words.select("token").distinct().withColumn("n", F.length("token")).withColumn("m", F.explode(lengths("token"))))
+    w = w.withColumn("at", F.explode(F.sequence(start(F.col("i")) - F.col("k"), start(F.col("i")) + F.col("k"))))
+    w = w.filter((F.col("at") >= 0) & (F.col("at") + size <= F.col("n")))
+    c = pieces(listed.filter("length(c) > 0").withColumn("m", F.length("c")).withColumn("n", F.explode(lengths("c"))))
+    w = w.select("token", "m", "n", "i", F.col("token").substr(F.col("at") + 1, size).alias("piece")).distinct()
+    c = c.select("code", "c", "m", "n", "i", F.col("c").substr(start(F.col("i")) + 1, size).alias("piece"))
+    near = w.join(c, ["m", "n", "i", "piece"]).select("token", "code", "c").distinct()
+    pairs = words.join(near.select("token", "code", T.ratio(F.col("token"), F.col("c")).alias("score")), "token").select("query_id", "token", "code", "score")
     best = Window.partitionBy("query_id", "token").orderBy(F.col("score").desc(), "code")
     return pairs.filter(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 

@@ -231,3 +231,25 @@ def test_embeddings_are_unit_vectors(spark):
     df = spark.createDataFrame([(1, "the quick fox"), (2, "The quick, fox!"), (3, "")], "id int, s string").withColumn("v", embed.embed(F.col("s"), 16))
     v = {r.id: r.v for r in df.collect()}
     assert v[1] == v[2] and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and v[3] == [0.0] * 16
+
+
+def test_fuzzy_codes_loses_no_pair(spark):
+    """Words with both end letters changed, and random edits, as by comparing every word with every code."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    edit = lambda w: "".join(rng.choice("abxyz") if rng.random() < 0.15 else c for c in w)
+    codes = ["conditioner", "internationally", "large", "promo brushed", *("".join(rng.choice("abcde") for _ in range(rng.randint(4, 16))) for _ in range(40))]
+    words = ["fonditionet", "unternationallx", *(edit(c).replace(" ", "") for c in codes)]
+    asked = spark.createDataFrame([(1, " ".join(words))], "query_id long, question string")
+    listed = spark.createDataFrame([(c,) for c in codes], "code string")
+    tokens = asked.select(F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token")).filter("length(token) >= 4")
+    for least in (75.0, 85.0):
+        every = tokens.crossJoin(listed).withColumn("score", T.ratio(F.col("token"), T.token_sort(F.col("code")))).filter(F.col("score") >= least).collect()
+        want = {}
+        for r in sorted(every, key=lambda r: (-r.score, r.code)):
+            want.setdefault(r.token, (r.code, r.score))
+        got = {r.token: (r.code, r.score) for r in Q.fuzzy_codes(asked, listed, least).collect()}
+        assert got == want and len(got) > 10
+        assert (got.get("fonditionet") or [""])[0] == ("conditioner" if least == 75.0 else "")
+        assert got["unternationallx"][0] == "internationally"
