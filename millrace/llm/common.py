@@ -15,17 +15,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound what one Arrow batch may hold, so that very long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Bound what one Arrow batch may hold, so that very long texts can't fill a Python worker.
+
+    The plans read these settings when they run, after the caller has them, so they stay set; smaller bounds of the session are kept.
+    """
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
+        have = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one is set only where there is none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where there is none, a local session (one machine, as in
+    tests) gets a folder of its own; a cluster is refused, as its executors wouldn't see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,6 +50,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*staged: DataFrame) -> None:
+    """Deletes the files of staged tables (:func:`stage`) that nothing reads any more: call it when what was made of them is written."""
+    for df in staged:
+        session = df.sparkSession
+        folder = f"{shared_dir(session)}/"
+        jvm = session.sparkContext._jvm
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()):
+                path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def ranges(docs: DataFrame, target: int) -> int:
+    """How many ranges give each about ``target`` bytes of text, by a count over all of them; at least ``spark.sql.shuffle.partitions``."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // target))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -8,7 +8,9 @@ Slots are range-partitioned into shards of fixed-stride records, so that record
 order is at a known byte of a known shard, and a reader can resume anywhere.
 
 The stream's order is that of a hash of doc_id and text, so slots depend on the data and the key alone, and rows
-without an id spread like others. Token ids are shuffled twice, compressed: once into hash ranges, to number the stream, and once into slots.
+without an id spread like others; rows that agree in both share one range. Token ids are shuffled twice, compressed with a
+dictionary: once into hash ranges, to number the stream, and once, as whole sequences, into slots. The number of ranges comes from
+the counted bytes of the texts.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,10 @@ from . import common
 LENGTH, PER_SHARD, KEY = 2048, 512, 20240229
 END = 50256
 ROUNDS = 6
+#: Bytes of text that a range gets on average; there are at least ``spark.sql.shuffle.partitions`` ranges.
+RANGE_BYTES = 256 << 20
+#: What the compression's dictionary is trained on: so many texts at most, so many characters of each. It bears on sizes alone, never on results.
+SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 4096, 65536
 
 
 def default_path() -> str:
@@ -84,42 +91,79 @@ def encoder(path: str):
 _encoders: dict[str, object] = {}
 
 
-def _pack(ids: bytes) -> bytes:
-    return pa.Codec("zstd", compression_level=3).compress(ids, asbytes=True)
+def _encode(path: str, text: str, end: int, kind: str) -> np.ndarray:
+    enc = _encoders.get(path) or _encoders.setdefault(path, encoder(path))
+    return np.append(enc.encode_to_numpy(text, disallowed_special=()), end).astype(kind)
 
 
-def _unpack(packed: bytes, n: int) -> bytes:
-    """``n`` ids of two bytes."""
-    return pa.Codec("zstd").decompress(packed, decompressed_size=2 * n, asbytes=True)
+def id_type(path: str, end: int = END) -> str:
+    """How an id is stored: two bytes where the vocabulary's greatest id and ``end`` fit, else four."""
+    with open(path, "rb") as f:
+        greatest = max((int(line.split()[1]) for line in f), default=0)
+    return "<u2" if max(greatest, end) < 1 << 16 else "<u4"
+
+
+class Packer:
+    """Compresses and restores runs of ids, with a dictionary trained on some of them."""
+
+    def __init__(self, dictionary: bytes):
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        self.pack = zstandard.ZstdCompressor(level=6, dict_data=known).compress
+        self.unpack = zstandard.ZstdDecompressor(dict_data=known).decompress
+
+
+_packers: dict[bytes, Packer] = {}
+
+
+def _packer(dictionary: bytes) -> Packer:
+    if dictionary not in _packers:
+        _packers.clear()
+        _packers[dictionary] = Packer(dictionary)
+    return _packers[dictionary]
+
+
+def dictionary(docs: DataFrame, path: str, kind: str, end: int = END) -> bytes:
+    """A dictionary of the ids of the first texts; none where these are too few to train on."""
+    texts = docs.select(F.substring("text", 1, SAMPLE_CHARS)).filter("text is not null").limit(SAMPLE).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [_encode(path, t, end, kind).tobytes() for (t,) in texts]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
 
 
-def tokenised(docs: DataFrame, keep: list[str], path: str | None = None, end: int = END) -> DataFrame:
-    """``keep``, n (ids with the end id) and ids (little-endian uint16, packed) for every row; null texts are empty."""
+def tokenised(
+    docs: DataFrame, keep: list[str], path: str | None = None, end: int = END, kind: str | None = None, known: bytes = b""
+) -> DataFrame:
+    """``keep``, n (ids with the end id) and ids (of ``kind``, packed with the dictionary ``known``) for every row; null texts are empty."""
     path = path or default_path()
+    kind = kind or id_type(path, end)
 
     def score(texts: list[bytes]) -> list[list]:
-        enc = _encoders.get(path) or _encoders.setdefault(path, encoder(path))
-        ids = [np.append(enc.encode_to_numpy(t.decode(), disallowed_special=()), end).astype("<u2") for t in texts]
-        return [[len(x) for x in ids], [_pack(x.tobytes()) for x in ids]]
+        ids, pack = [_encode(path, t.decode(), end, kind) for t in texts], _packer(known).pack
+        return [[len(x) for x in ids], [pack(x.tobytes()) for x in ids]]
 
     return common.per_text(docs, keep, "text", pa.schema([("n", pa.int64()), ("ids", pa.binary())]), score)
 
 
 def training_order(
-    docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None
+    docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None, end: int = END
 ) -> DataFrame:
     """slot, shard, offset (bytes), n_tokens, doc_ids, doc_tokens, record: one row for each sequence, in range
     partitions of whole shards, each in slot order.
 
-    ``record`` has exactly 2 * ``length`` bytes; only the last sequence of the stream is filled up, with end ids
-    that n_tokens doesn't count. doc_ids and doc_tokens say which documents a record holds pieces of, and how long.
-    Null doc_ids stay null. An empty table has no sequences; repeated rows are all written.
+    ``record`` has ``length`` ids of two bytes (four where the vocabulary needs them); only the last sequence of the stream is filled up, with
+    end ids that n_tokens doesn't count. doc_ids and doc_tokens say which documents a record holds pieces of, and how long.
+    Null doc_ids stay null; null and empty texts are one end id; very long texts go on over many sequences; repeated rows are all
+    written; an empty table has no sequences. Columns besides doc_id and text are not read.
     """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = path or default_path()
+    kind = id_type(path, end)
+    width = np.dtype(kind).itemsize
+    known = dictionary(docs, path, kind, end)
+    parts = common.ranges(docs, RANGE_BYTES)
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     marked = marked.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "th"), 1))
-    tokens = tokenised(marked, ["doc_id", "h", "th"], path)
+    tokens = tokenised(marked, ["doc_id", "h", "th"], path, end, kind, known)
     ranges = F.shiftright(F.shiftright("h", 31) * F.lit(parts), 32)
     dealt = tokens.withColumn("p", ranges.cast("int")).repartitionById(parts, F.col("p"))
     # All columns are used, so that this and the rows below read one and the same exchange.
@@ -137,60 +181,82 @@ def training_order(
     placed = placed.select("doc_id", "n", "ids", "p", "before", "total")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole sequences, but for those that a range begins or ends in the middle of."""
+        packer = _packer(known)
         at, current, feistel = 0, None, None
+        seqs, starts, docs_, sizes_, bodies = [], [], [], [], []
+        open_: list[tuple] = []  # (doc_id, ids) of the sequence at hand
+        first = 0
+
+        def flush() -> None:
+            if open_:
+                seqs.append(first // length)
+                starts.append(first % length)
+                docs_.append([d for d, _ in open_])
+                sizes_.append([len(x) // width for _, x in open_])
+                bodies.append(packer.pack(b"".join(x for _, x in open_)))
+                open_.clear()
+
+        def made() -> pa.RecordBatch:
+            slots = feistel.slot(np.array(seqs, dtype=np.uint64)) if seqs else np.empty(0, dtype=np.int64)
+            totals = np.full(len(seqs), feistel.n if feistel else 0, dtype=np.int64)
+            columns = [
+                pa.array(slots), pa.array(starts, pa.int32()), pa.array(docs_, pa.list_(pa.int64())), pa.array(sizes_, pa.list_(pa.int32())),
+                pa.array(bodies, pa.binary()), pa.array(totals),
+            ]
+            for x in (seqs, starts, docs_, sizes_, bodies):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["slot", "start", "doc_ids", "doc_tokens", "body", "sequences"])
+
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5)]
-            docs_, seqs, starts, sizes_, pieces = [], [], [], [], []
-            for doc_id, n, ids, p, before, total in zip(*cols, strict=True):
+            for doc_id, n, ids, p, before, total in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if p != current:
-                    current, at = p, before
+                    flush()
+                    current, at, first = p, before, before
                 if feistel is None:
                     feistel = Feistel(-(-total // length), key)
-                done, ids = 0, _unpack(ids, n)
+                done, ids = 0, packer.unpack(ids)
                 while done < n:
-                    inside = at % length
-                    take = min(n - done, length - inside)
-                    docs_.append(doc_id)
-                    seqs.append(at // length)
-                    starts.append(inside)
-                    pieces.append(_pack(ids[2 * done : 2 * (done + take)]))
-                    sizes_.append(take)
+                    take = min(n - done, length - at % length)
+                    open_.append((doc_id, ids[width * done : width * (done + take)]))
                     done, at = done + take, at + take
-            slots = feistel.slot(np.array(seqs, dtype=np.uint64)) if seqs else np.empty(0, dtype=np.int64)
-            totals = np.full(len(seqs), feistel.n if feistel else 0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), pa.array(starts, pa.int32()), pa.array(docs_, pa.int64()), pa.array(pieces, pa.binary()), pa.array(sizes_, pa.int32()), pa.array(totals)],
-                names=["slot", "start", "doc_id", "piece", "size", "sequences"],
-            )
-
-    cuts = placed.mapInArrow(cut, "slot long, start int, doc_id long, piece binary, size int, sequences long")
+                    if at % length == 0:
+                        flush()
+                        first = at
+            yield made()
+        flush()
+        if seqs:
+            yield made()
+
+    cuts = placed.mapInArrow(cut, "slot long, start int, doc_ids array<long>, doc_tokens array<int>, body binary, sequences long")
     shards = F.ceil(F.col("sequences") / F.lit(per_shard))
     target = F.floor(F.floor(F.col("slot") / F.lit(per_shard)) * F.lit(parts) / shards).cast("int")
-    ranged = cuts.repartitionById(parts, target).sortWithinPartitions("slot", "start").select("slot", "start", "doc_id", "piece", "size")
+    ranged = cuts.repartitionById(parts, target).sortWithinPartitions("slot", "start").select("slot", "doc_ids", "doc_tokens", "body")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(slot: int, parts_: list) -> tuple:
-            body = b"".join(x for _, x in parts_)
-            filled = body + np.full(length - len(body) // 2, END, dtype="<u2").tobytes()
+        packer, types = _packer(known), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+
+        def row(slot: int, held: list) -> tuple:
+            body = b"".join(packer.unpack(x) for _, _, x in held)
+            filled = body + np.full(length - len(body) // width, end, dtype=kind).tobytes()
             return (
-                slot, slot // per_shard, slot % per_shard * 2 * length, len(body) // 2,
-                [d for d, _ in parts_], [len(x) // 2 for _, x in parts_], filled,
+                slot, slot // per_shard, slot % per_shard * width * length, len(body) // width,
+                [d for ds, _, _ in held for d in ds], [n for _, ns, _ in held for n in ns], filled,
             )
 
         def table(rows: list) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             names = ["slot", "shard", "offset", "n_tokens", "doc_ids", "doc_tokens", "record"]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
 
         slot, held = None, []
         for batch in batches:
             rows = []
-            for s, d, piece, n in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            for s, *part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if s != slot and held:
                     rows.append(row(slot, held))
                     held = []
                 slot = s
-                held.append((d, _unpack(piece, n)))
+                held.append(part)
             yield table(rows)
         if held:
             yield table([row(slot, held)])
@@ -266,13 +332,16 @@ def shard_folder(spark: SparkSession) -> str:
     return f"{folder}/shards-{uuid.uuid4().hex}"
 
 
-def written_order(docs: DataFrame, uri: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+def written_order(
+    docs: DataFrame, uri: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None, end: int = END
+) -> DataFrame:
     """Writes the shards of :func:`training_order` and ``manifest`` (Parquet) under ``uri`` (default: :func:`shard_folder`); returns
-    the columns of training_order, the records read from the shards.
+    the columns of training_order, the records read from the shards. An empty table writes an empty manifest and no shard.
 
     The manifest's bytes and sums are of the files as they are read again; a shard that hasn't the bytes of its records raises.
     """
-    uri = uri or shard_folder(docs.sparkSession)
+    uri, path = uri or shard_folder(docs.sparkSession), path or default_path()
+    stride = length * np.dtype(id_type(path, end)).itemsize
     index = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, doc_tokens array<int>"
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +352,7 @@ def written_order(docs: DataFrame, uri: str | None = None, length: int = LENGTH,
             yield batch.drop_columns(["record"])
         writer.close()
 
-    rows = common.stage(training_order(docs, length, per_shard, key).mapInArrow(save, index), "shards-index")
+    rows = common.stage(training_order(docs, length, per_shard, key, path, end).mapInArrow(save, index), "shards-index")
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
@@ -294,7 +363,7 @@ def written_order(docs: DataFrame, uri: str | None = None, length: int = LENGTH,
             for shard, first, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
                     body = f.read()
-                if len(body) != n * 2 * length:
+                if len(body) != n * stride:
                     raise RuntimeError(f"shard {shard}: {len(body)} bytes, {n} records")
                 found.append((shard, first, n, len(body), zlib.crc32(body)))
             yield _manifest_batch(found)
@@ -315,7 +384,7 @@ def written_order(docs: DataFrame, uri: str | None = None, length: int = LENGTH,
                         f.close()
                     current, f = shard, fs.open_input_file(f"{root}/shard-{shard:08d}.bin")
                 f.seek(offset)
-                records.append(f.read(2 * length))
+                records.append(f.read(stride))
             yield batch.append_column("record", pa.array(records, pa.binary()))
         if f:
             f.close()
@@ -323,24 +392,25 @@ def written_order(docs: DataFrame, uri: str | None = None, length: int = LENGTH,
     return rows.mapInArrow(load, f"{index}, record binary")
 
 
-def read_slots(uri: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
-    """Sequences ``first`` .. of the training order, read by seeking: what a resumed training job does."""
+def read_slots(uri: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: str = "<u2") -> np.ndarray:
+    """Sequences ``first`` .. of the training order, read by seeking: what a resumed training job does. ``kind``: see :func:`id_type`."""
     from pyarrow import fs as pafs
 
     fs, root = pafs.FileSystem.from_uri(uri)
-    out = io.BytesIO()
+    out, stride = io.BytesIO(), length * np.dtype(kind).itemsize
     while count > 0:
         shard, inside = divmod(first, per_shard)
         n = min(count, per_shard - inside)
         with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
-            f.seek(inside * 2 * length)
-            got = f.read(n * 2 * length)
+            f.seek(inside * stride)
+            got = f.read(n * stride)
         out.write(got)
-        if len(got) < n * 2 * length:
+        if len(got) < n * stride:
             break
         first, count = first + n, count - n
-    return np.frombuffer(out.getvalue(), dtype="<u2").reshape(-1, length)
+    return np.frombuffer(out.getvalue(), dtype=kind).reshape(-1, length)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training order of all ``documents``, written as shards and read from them, see :func:`written_order`."""
     return written_order(common.documents(spark, sf_dir))

@@ -74,3 +74,15 @@ def test_op4_and_the_pipeline_stage_write_shards(spark, sf, docs, monkeypatch):
 def test_written_order_without_rows(none, odd):
     assert materialise.written_order(none).count() == 0
     assert materialise.written_order(odd, length=64, per_shard=3).count() == materialise.training_order(odd, 64, 3).count()
+
+
+def test_ids_over_two_bytes_take_four(odd, tmp_path):
+    end, length = 70_000, 64
+    uri = f"file://{tmp_path}/wide"
+    rows = sorted(materialise.written_order(odd, uri, length, 3, end=end).collect())
+    assert all(len(r.record) == 4 * length and r.offset == r.slot % 3 * 4 * length for r in rows)
+    ids = np.concatenate([np.frombuffer(r.record, "<u4")[: r.n_tokens] for r in rows])
+    assert (ids == end).sum() == odd.count() and ids.max() == end
+    assert materialise.id_type(materialise.default_path(), end) == "<u4" and materialise.id_type(materialise.default_path()) == "<u2"
+    got = materialise.read_slots(uri, 0, len(rows), length, 3, "<u4")
+    assert [x.tobytes() for x in got] == [bytes(r.record) for r in rows]
