@@ -1,8 +1,12 @@
-import numpy as np
+import math
 import zlib
 
+import numpy as np
+
 from millrace.llm import common, quality, toxicity
 
+toxicity_train = toxicity.train
+
 
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
@@ -35,6 +39,62 @@ def test_risk_is_corrected_for_the_prior():
     assert np.mean(hits) > 0.97 and np.mean(miss) < 0.03
 
 
+def plain_risk(z, n_p, prior, turn):
+    """The risk's positive part, and the corrected negative part as the step takes it, by plain loops."""
+    loss = lambda x: math.log(1 + math.exp(x))
+    positive = sum(loss(-x) for x in z[:n_p]) / n_p
+    negative = sum(loss(x) for x in z[n_p:]) / (len(z) - n_p) - prior * sum(loss(x) for x in z[:n_p]) / n_p
+    return prior * positive + turn * negative, negative
+
+
+def test_the_slope_is_that_of_the_risk():
+    """Against differences of the plain risk, where the negative part is above zero and where it is below and undone."""
+    rng, seen = np.random.default_rng(4), set()
+    for prior, shift in ((0.1, 0.0), (0.4, 0.5), (0.6, -3.0), (0.9, -2.0)):
+        z, n_p = np.concatenate([rng.normal(1, 1, 7), rng.normal(shift, 1, 11)]).tolist(), 7
+        below = plain_risk(z, n_p, prior, 1)[1] < 0
+        turn = -toxicity.UNDO if below else 1.0
+        seen.add(below)
+        got = toxicity.slopes(np.array(z), n_p, prior)
+        for i in range(len(z)):
+            up, down = ([*z[:i], z[i] + d, *z[i + 1 :]] for d in (1e-6, -1e-6))
+            want = (plain_risk(up, n_p, prior, turn)[0] - plain_risk(down, n_p, prior, turn)[0]) / 2e-6
+            assert abs(got[i] - want) < 1e-6
+    assert seen == {True, False}
+
+
+def test_screening_by_counts_is_screening_of_the_texts(spark, monkeypatch):
+    """What the driver is sent is enough: the model is that of complete texts."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.documents(spark, sf), common.documents(spark, sf, "labels")
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda pos, unl, prior, share: seen.update(narrow=real(pos, unl, prior, share=share), sizes=(len(pos), len(unl)), prior=prior, share=share))
+    real, texts = toxicity_train, {r.doc_id: toxicity.features((r.text or "").encode()) for r in docs.collect()}
+    toxicity.fit(docs, labels)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = {r.doc_id for r in labels.collect() if r.toxic == 1 and fold(r.doc_id)}
+    pos, unl = [texts[i] for i in sorted(known)], [texts[i] for i in sorted(texts) if fold(i)]
+    assert seen["sizes"] == (len(pos), len(unl))
+    whole = real(pos, unl, seen["prior"], share=seen["share"])
+    assert np.allclose(whole.weights, seen["narrow"].weights) and abs(whole.bias - seen["narrow"].bias) < 1e-6
+
+
+def test_a_bound_from_no_text_above_is_no_zero():
+    """Held-out positives that score above all unlabelled texts don't make the toxic share nought."""
+    ranks = np.concatenate([np.zeros(12), np.linspace(0, 0.03, 1288)])
+    least, most = toxicity.toxic_share(ranks, 0.03, 7000)
+    assert 0.015 < least <= most < 0.05
+
+
+def test_repeated_ids_are_one_text(spark):
+    """The same model, however the rows are laid out."""
+    words = lambda k, toxic: " ".join(["foul"] * toxic + [f"w{k * j % 37}" for j in range(2, 20)])
+    rows = [(i, words(i, i % 4 == 0)) for i in range(1, 400)] + [(i, f"another text of {i}") for i in range(1, 400, 3)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1, 400)], "doc_id long, toxic int")
+    made = [toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels) for n in (1, 7)]
+    assert (made[0].weights == made[1].weights).all() and made[0].bias == made[1].bias and made[0].weights.any()
+
+
 def test_quality_keeps_good_and_drops_bad(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = common.documents(spark, sf), common.documents(spark, sf, "labels")
@@ -43,6 +103,37 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.08
 
 
+def plain_em(counts, rounds):
+    """Posteriors by plain loops over documents' votes."""
+    votes = {c: quality._unpack(c) for c in counts}
+    post = {c: 0.95 * 0.25 ** sum(x == 0 for x in v) for c, v in votes.items()}
+    for _ in range(rounds):
+        total = sum(counts.values())
+        prior = sum(counts[c] * post[c] for c in counts) / total
+        rate = {}
+        for k in range(len(quality.LABELLERS)):
+            for good in (0, 1):
+                seen = {x: 0.5 + sum(counts[c] * (post[c] if good else 1 - post[c]) for c in counts if votes[c][k] == x) for x in (0, 1)}
+                rate[k, good] = {x: seen[x] / (seen[0] + seen[1]) for x in seen} | {-1: 1.0}
+        for c, v in votes.items():
+            g, b = prior, 1 - prior
+            for k, x in enumerate(v):
+                g, b = g * rate[k, 1][x], b * rate[k, 0][x]
+            post[c] = g / (g + b)
+    return post
+
+
+def test_posteriors_are_those_of_plain_loops():
+    rng, counts = np.random.default_rng(6), {}
+    for _ in range(3000):
+        good = rng.random() < 0.7
+        v = tuple(int(-1 if rng.random() < 0.3 else (good if rng.random() < 0.85 else not good)) for _ in quality.LABELLERS)
+        counts[quality._pattern(v)] = counts.get(quality._pattern(v), 0) + 1
+    for rounds in (1, 3, 40):
+        got, want = quality.expectation_maximisation(counts, rounds)[0], plain_em(counts, rounds)
+        assert all(abs(got[c] - want[c]) < 1e-6 for c in counts)
+
+
 def test_labeller_accuracies_are_found():
     """Three labellers of known accuracy over two classes; the estimate comes near."""
     rng = np.random.default_rng(1)
