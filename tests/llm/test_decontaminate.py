@@ -1,6 +1,10 @@
+import os
+import pickle
 import random
+import time
 
 import numpy as np
+import pytest
 
 from millrace.llm import common, decontaminate as dc
 
@@ -16,6 +20,100 @@ def plain_best(item, text):
     return min(row)
 
 
+def letters_apart(a, b):
+    """Edit distance of two words with a swap of neighbours as one, letter by letter."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def respelt(words, vocab, made=None):
+    """Unknown words that are one edit from exactly one word of ``SPELT`` letters or more of the vocabulary, as that word."""
+    made = {} if made is None else made
+    ends = lambda a, b: len(os.path.commonprefix([a, b])) + len(os.path.commonprefix([a[::-1], b[::-1]]))
+    for w in set(words) - vocab - set(made):
+        near = [v for v in vocab if len(v) >= dc.SPELT and abs(len(v) - len(w)) <= 1 and ends(v, w) >= len(v) - 2 and letters_apart(w, v) == 1]
+        made[w] = near[0] if len(near) == 1 else w
+    return [made.get(w, w) for w in words]
+
+
+def test_spelling_against_brute_force():
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    vocab = {word(rng.randint(3, 9)) for _ in range(300)}
+    spelling = dc.Spelling({w: k + 1 for k, w in enumerate(sorted(vocab))})
+    for _ in range(1500):
+        w = word(rng.randint(1, 10))
+        want = respelt([w], vocab)[0]
+        assert spelling[w] == (spelling.vocab.get(want, 0)), (w, want)
+
+
+def test_letters_edited_in_most_words_are_found():
+    """Typing errors in four words of five; word by word none of these items would be near."""
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) for _ in range(600)]
+    items = [(i, " ".join(rng.choice(stems) for _ in range(15)).encode()) for i in range(80)]
+    index = dc.Index(items)
+
+    def slip(w):
+        k = rng.randrange(1, len(w) - 1)
+        return rng.choice((w[:k] + w[k + 1 :], w[:k] + b"z" + w[k:], w[:k] + b"z" + w[k + 1 :], w[:k] + w[k + 1 : k + 2] + w[k : k + 1] + w[k + 2 :]))
+
+    texts = [b"some words before " + b" ".join(slip(w) if rng.random() < 0.8 else w for w in t.split()) + b" and after" for _, t in items]
+    met = [any(f[0] == i for f in found) for (i, _), found in zip(items, index.search(texts), strict=True)]
+    assert np.mean(met) >= 0.9
+
+
+@pytest.mark.parametrize("n", [8, 40, 150, 1000])
+def test_recall_at_every_length(n):
+    """Items of n words edited at the full distance, with unknown words and others of the vocabulary, in long hosts."""
+    rng = random.Random(n)
+    vocab = [f"w{int(3000 * rng.random() ** 2)}q" for _ in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n)).encode()) for i in range(60)]
+    index = dc.Index(items)
+    assert all(g.recall >= dc.RECALL or g.exact for g in index.groups)
+    texts = []
+    for _, t in items:
+        words = t.split()
+        for _ in range(dc.edits_allowed(n)):
+            at, new = rng.randrange(len(words)), rng.choice([b"unknown", rng.choice(vocab).encode()])
+            rng.choice((lambda: words.__setitem__(at, new), lambda: words.insert(at, new), lambda: words.pop(at)))()  # noqa: B023
+        host = [rng.choice(vocab).encode() for _ in range(300)]
+        texts.append(b" ".join(host[:150] + words + host[150:]))
+    found = index.search(texts)
+    assert np.mean([any(f[0] == i for f in own) for (i, _), own in zip(items, found, strict=True)]) >= 0.97
+
+
+def test_the_index_is_small_and_soon_made():
+    rng = np.random.default_rng(2)
+    items = [(i, " ".join(f"v{x}" for x in (20000 * rng.random(1000) ** 2).astype(int)).encode()) for i in range(1000)]
+    start = time.time()
+    index = dc.Index(items)
+    assert time.time() - start < 60 and len(pickle.dumps(index)) < 50e6
+
+
+def test_without_enough_recall_all_counted_windows_are_verified(monkeypatch):
+    """Where the tables' bound is reached, nothing is lost."""
+    monkeypatch.setattr(dc, "MOST_TABLES", 0)
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice((6, 12, 30)))).encode()) for i in range(30)]
+    index = dc.Index(items)
+    assert all(g.exact for g in index.groups)
+    texts = []
+    for _ in range(150):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, len(words) // 4)):
+            words[rng.randrange(len(words))] = b"other"
+        texts.append(b" ".join([f"w{rng.randrange(60)}".encode() for _ in range(20)] + words))
+    for text, found in zip(texts, index.search(texts), strict=True):
+        want = {(k, d) for k, t in items if (d := plain_best(t.split(), text.split())) <= dc.edits_allowed(len(t.split()))}
+        assert {f[:2] for f in found} == want
+
+
 def test_exact_distance():
     rng = random.Random(3)
     for _ in range(200):
@@ -52,8 +150,10 @@ def test_planted_edits_against_brute_force(spark, docs):
     want, first = {}, {}
     for k, t in items:
         first.setdefault(t, k)
+    vocab = {w for t in first for w in dc.words(t.encode())}
+    made = {}
     for i, t in rows:
-        w = dc.words(t.encode())
+        w = respelt(dc.words(t.encode()), vocab, made)
         for text, k in first.items():
             x = dc.words(text.encode())
             if x and (d := plain_best(x, w)) <= dc.edits_allowed(len(x)):
