@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import compress
 from operator import eq
 
@@ -170,17 +171,26 @@ class Scorer:
         self.bias = bias
 
     @staticmethod
-    def features(t: Text) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, values); an empty text has none."""
+    def seen(t: Text) -> bytes:
+        """What the scorer has to know of a text: buckets (int16) and how often each occurs (uint32); nothing of an empty text."""
         if not t.n:
-            return np.empty(0, np.int64), np.empty(0)
+            return b""
         buckets, n = np.unique(t.codes >> _Words.FLAGS, return_counts=True)
         top = 1 << BITS
         tenths = [int(10 * (t.repeated or 0)), 11 + int(10 * t.share(_Words.CAPS)), 22 + int(10 * t.stutter)]
-        return np.append(buckets, [top + x for x in tenths]), np.append(np.sqrt(n / t.n), [0.5] * 3)
+        return np.append(buckets, [top + x for x in tenths]).astype("<i2").tobytes() + n.astype("<u4").tobytes()
+
+    @staticmethod
+    def features(seen: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, values) of what :meth:`seen` gave."""
+        if not seen:
+            return np.empty(0, np.int64), np.empty(0)
+        size = (len(seen) - 6) // 6  # buckets of words; three more are of the text
+        n = np.frombuffer(seen, "<u4", offset=2 * (size + 3))
+        return np.frombuffer(seen, "<i2", count=size + 3).astype(np.int64), np.append(np.sqrt(n / n.sum()), [0.5] * 3)
 
-    def score(self, t: Text) -> float:
-        ids, values = self.features(t)
+    def score(self, seen: bytes) -> float:
+        ids, values = self.features(seen)
         z = self.bias + float((self.weights[ids] * values).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
@@ -215,52 +225,51 @@ def _own() -> _Words:
     return _words[0]
 
 
-def weak_labels(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and pattern, the combination of votes, for every row; null texts are empty, and empty texts abstain."""
+def read(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, k (hash of the text), pattern and seen (:meth:`Scorer.seen`) for every row, staged: the texts are read and split once for all that follows."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(9))
 
     def score(batch: list[bytes]) -> list[list]:
-        return [[_pattern(votes(Text(t, _own()))) for t in batch]]
+        texts = [Text(t, _own()) for t in batch]
+        return [[_pattern(votes(t)) for t in texts], [Scorer.seen(t) for t in texts]]
 
-    return common.per_text(docs, keep, text, pa.schema([("pattern", pa.int32())]), score)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], key.alias("k"), F.col("text").alias("__t"))
+    return common.stage(common.per_text(rows, [*keep, "k"], "__t", pa.schema([("pattern", pa.int32()), ("seen", pa.binary())]), score), "quality-read")
 
 
-def fit(docs: DataFrame) -> tuple[Scorer, dict[int, float]]:
-    """(scorer, posterior of good by combination of votes) of a corpus; at most 3 ^ labellers counts and ``MAX_FIT`` texts' features are gathered."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(9))
-    voted = common.stage(weak_labels(docs.select(key.alias("k"), "text"), ["k"]), "quality-votes")
-    counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+def fit(rows: DataFrame) -> tuple[Scorer, dict[int, float]]:
+    """(scorer, posterior of good by combination of votes) of the rows of :func:`read`; at most 3 ^ labellers counts and ``MAX_FIT`` texts'
+    features are gathered: those of the least hashes, one for each text, so that a text with very many copies counts once."""
+    counts = {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, _, _ = expectation_maximisation(counts)
-    chosen = common.stage(voted.select("k", "pattern").distinct().orderBy("k").limit(MAX_FIT), "quality-sample")
-    # One text for each hash, so that a text with very many copies comes once; reduced before it is shuffled.
-    texts = docs.select(key.alias("k"), "text").join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("k", "pattern", "text")
-
-    def score(batch: list[bytes]) -> list[list]:
-        made = [Scorer.features(Text(t, _own())) for t in batch]
-        return [[a.astype(np.int64).tolist() for a, _ in made], [b.tolist() for _, b in made]]
-
-    fields = pa.schema([("ids", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
-    found = {r["k"]: r for r in common.per_text(texts, ["k", "pattern"], "text", fields, score).collect()}
-    rows = [
-        (np.array(r["ids"], dtype=np.int64), np.array(r["values"]), posterior[r["pattern"]]) for _, r in sorted(found.items())
-    ]
-    return fit_scorer(rows), posterior
+    chosen = common.stage(rows.select("k").distinct().orderBy("k").limit(MAX_FIT), "quality-sample")
+    found = rows.join(F.broadcast(chosen), "k", "left_semi").groupBy("k").agg(F.min(F.struct("pattern", "seen")).alias("r"))
+    sample = [(*Scorer.features(bytes(r["r"]["seen"])), posterior[r["r"]["pattern"]]) for r in sorted(found.collect(), key=lambda r: r["k"])]
+    common.release(chosen)
+    return fit_scorer(sample), posterior
 
 
 def quality_scores(docs: DataFrame, scorer: Scorer, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and score (0 to 1, higher: better) for every row. An empty or null text has nothing wrong: it gets the bias."""
 
     def score(batch: list[bytes]) -> list[list]:
-        return [[scorer.score(Text(t, _own())) for t in batch]]
+        return [[scorer.score(Scorer.seen(Text(t, _own()))) for t in batch]]
 
     return common.per_text(docs, keep, text, pa.schema([("score", pa.float64())]), score)
 
 
 def keep_good(docs: DataFrame, threshold: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with the columns as they were."""
-    scorer, _ = fit(docs)
+    """The rows of ``docs`` that score ``threshold`` or more, with the columns as they were.
+
+    Rows of equal texts stay or go together, repeated ones all; null and empty texts get the scorer's bias; an empty table stays empty. The texts
+    are read a second time for the decision, as to carry it back to them by key would shuffle or copy them all.
+    """
+    rows = read(docs, [])
+    scorer, _ = fit(rows)
+    common.release(rows)
 
     def score(batch: list[bytes]) -> list[list]:
-        return [[scorer.score(Text(t, _own())) >= threshold for t in batch]]
+        return [[scorer.score(Scorer.seen(Text(t, _own()))) >= threshold for t in batch]]
 
     columns = docs.columns
     made = common.per_text(docs.withColumn("__t", F.col("text")), columns, "__t", pa.schema([("__keep", pa.bool_())]), score)
@@ -268,16 +277,22 @@ def keep_good(docs: DataFrame, threshold: float = KEEP) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, threshold: float = KEEP) -> DataFrame:
-    """doc_id, weak (posterior of the votes), score, keep for every row."""
-    scorer, posterior = fit(docs)
+    """doc_id, weak (posterior of the votes), score, keep for every row: null doc_ids and repeated rows stay, rows of equal texts get equal
+    values, null and empty texts abstain and get the scorer's bias, an empty table gives no rows. The texts are read once."""
+    rows = read(docs, ["doc_id"])
+    scorer, posterior = fit(rows)
 
-    def score(batch: list[bytes]) -> list[list]:
-        seen = [Text(t, _own()) for t in batch]
-        return [[posterior[_pattern(votes(t))] for t in seen], [scorer.score(t) for t in seen]]
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weak = [posterior[c] for c in batch.column(1).to_pylist()]
+            scores = [scorer.score(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "weak", "score"])
 
-    fields = pa.schema([("weak", pa.float64()), ("score", pa.float64())])
-    return common.per_text(docs, ["doc_id"], "text", fields, score).withColumn("keep", F.col("score") >= threshold)
+    kind = docs.select("doc_id").dtypes[0][1]
+    made = rows.select("doc_id", "pattern", "seen").mapInArrow(score, f"doc_id {kind}, weak double, score double")
+    return made.withColumn("keep", F.col("score") >= threshold)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, weak, score, keep for every row of ``documents``, see :func:`quality_report`."""
     return quality_report(common.documents(spark, sf_dir))

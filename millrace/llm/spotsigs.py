@@ -27,6 +27,8 @@ ANCHORS = {
     "es": "el la los las un una de del y en que es por con para su sus al lo como más se no ha fue son esta este",
 }
 CHAIN, DISTANCE = 3, 1
+#: Bytes of text that a range of doc_ids gets on average.
+RANGE_BYTES = 256 << 20
 _MARKS = b".,;:!?\"'()[]{}<>|*%&$#@~`^=+-_/\\"
 
 
@@ -79,7 +81,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     low, high = sorted((len(a), len(b)))
     if not high:
         return 1.0
-    if low < least * high or not low:
+    if low < least * high - 1e-9 or not low:
         return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (low + high - both)
@@ -110,8 +112,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     ranges a factor 1 / threshold apart: only the same and the next range can match. Within those, two
     sets that match share one of their rarest signatures (of n, the first n - ceil(threshold * n) + 1 in
     order of frequency), so only these are joined; the intersection then decides. A set without
-    signatures matches its equals alone. Null doc_ids are kept in members.
+    signatures matches its equals alone. Null doc_ids are kept in members; null texts are empty; an empty table gives two empty tables.
+    Products with ``threshold`` are taken a little lower, so that rounding loses no pair.
     """
+    if not 0 < threshold < 1:
+        raise ValueError("the threshold must be between 0 and 1")
     rows = common.stage(signature_sets(docs, ["doc_id"]), "spot-sets")
     keyed = rows.withColumn("set", F.sha2(F.concat_ws(",", F.col("sigs").cast("array<string>")), 256))
     least = common.stage(keyed.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")), "spot-classes")
@@ -119,21 +124,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     sets = least.select("set", "class_id", F.explode("sigs").alias("sig"), F.size("sigs").alias("n"))
     often = sets.groupBy("sig").agg(F.count("*").alias("df"))
     ranked = sets.join(often, "sig").withColumn("at", F.row_number().over(Window.partitionBy("set").orderBy("df", "sig")))
-    prefix = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).withColumn(
-        "part", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold)))
+    prefix = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).withColumn(
+        "part", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold)) + 1e-9)
     )
     prefix = common.stage(prefix.select("set", "class_id", "sig", "n", "part"), "spot-prefix")
     a = prefix.select(F.col("set").alias("sa"), "sig", F.col("n").alias("na"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("pa"))
     b = prefix.select(F.col("set").alias("sb"), "sig", F.col("n").alias("nb"), "part")
     meet = (a["sig"] == b["sig"]) & (a["part"] == b["part"]) & (
         (F.col("pa") < b["part"]) | (F.col("sa") < F.col("sb"))
-    ) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
+    ) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
     found = a.join(b, meet).select("sa", "sb").distinct()
     left = least.select(F.col("set").alias("sa"), F.col("class_id").alias("a"), F.col("sigs").alias("xa"))
     right = least.select(F.col("set").alias("sb"), F.col("class_id").alias("b"), F.col("sigs").alias("xb"))
     shared = F.size(F.array_intersect("xa", "xb"))
     alike = shared / (F.size("xa") + F.size("xb") - shared)
-    pairs = found.join(left, "sa").join(right, "sb").select("a", "b", alike.alias("likeness")).filter(F.col("likeness") >= threshold)
+    pairs = found.join(left, "sa").join(right, "sb").select("a", "b", alike.alias("likeness")).filter(F.col("likeness") >= threshold - 1e-12)
     return members, pairs
 
 
@@ -142,7 +147,7 @@ def _ordered_parts(docs: DataFrame, parts: int) -> DataFrame:
     from a sketch of all ids; one point a partition comes to the driver."""
     from pyspark.ml.feature import Bucketizer
 
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
     splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
     with_id = docs.withColumn("__d", F.col("doc_id").cast("double"))
     parts = max(2, parts)
@@ -162,20 +167,19 @@ def edited_report(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or
     all) of the next document by doc_id (null ids last, ties by text); the first document follows
     the last. Texts are shuffled once, into ranges of doc_id; each range is read in order beside
-    one more row, the first of the next range. Null texts are empty. A single document is its own next.
+    one more row, the first of the next range. Null texts are empty. A single document is its own next; repeated rows follow each
+    other; an empty table gives no rows. Columns besides doc_id and text aren't read. The number of ranges comes from the counted bytes.
     """
-    spark = docs.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, common.ranges(docs, RANGE_BYTES))
     rows = _ordered_parts(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), parts)
     order: list[Column] = [F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")]
     heads = rows.groupBy("p").agg(F.min_by("text", F.struct(*order)).alias("text"))
     heads = common.stage(heads, "spot-heads")
     every = Window.orderBy("p")
-    start = F.first("text").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    # One row a range: the head of the following range, to stand behind the last row of this one.
-    tails = heads.select("p", F.coalesce(F.lead("text").over(every), start).alias("text")).select(
-        F.lit(None).cast("long").alias("doc_id"), "text", "p", F.lit(True).alias("tail")
-    )
+    end = F.last("p").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # The ranges' numbers alone are put in order; the head of a range stands behind the last row of the range before it.
+    before = heads.select("p", F.coalesce(F.lag("p").over(every), end).alias("to"))
+    tails = heads.join(before, "p").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("p"), F.lit(True).alias("tail"))
     dealt = rows.withColumn("tail", F.lit(False)).unionByName(tails)
     dealt = dealt.repartitionById(2 * parts, F.col("p")).sortWithinPartitions("p", "tail", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     fields = pa.schema(
@@ -207,4 +211,5 @@ def edited_report(docs: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and of their edited texts, see :func:`edited_report`."""
     return edited_report(common.documents(spark, sf_dir))

@@ -155,6 +155,17 @@ def test_quality_odd(odd, none):
     assert quality.keep_good(none).count() == 0 and quality.quality_report(none).count() == 0
 
 
+def test_keep_good_is_the_score_of_each_text(odd, docs):
+    """Against the scorer applied text by text."""
+    for df in (odd, docs.limit(150)):
+        scorer, _ = quality.fit(quality.read(df, []))
+        score = lambda t, s=scorer: s.score(quality.Scorer.seen(quality.Text((t or "").encode(), quality._own())))
+        want = sorted(str(tuple(r)) for r in df.collect() if score(r.text) >= quality.KEEP)
+        assert sorted(str(tuple(r)) for r in quality.keep_good(df).collect()) == want
+        report = {(r.doc_id, round(r.score, 9), r["keep"]) for r in quality.quality_report(df).collect()}
+        assert report == {(r.doc_id, round(score(r.text), 9), score(r.text) >= quality.KEEP) for r in df.collect()}
+
+
 def test_words_are_seen_whole_and_by_code_point():
     words = quality._Words()
     flags = lambda w: words._code(w.encode()) & ((1 << words.FLAGS) - 1)

@@ -73,5 +73,26 @@ def test_near_duplicates(spark, docs, none):
     assert members.count() == 0 and pairs.count() == 0
 
 
+def test_no_pair_is_lost_to_rounding(spark):
+    """Sets of 100 signatures of which 55 of 100 (0.55 * 100 is over 55 in floating point) or the whole smaller set is shared."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = {}
+    for k in range(20):
+        whole = rng.choice(1 << 31, 145, replace=False)
+        sets[f"a{k}"], sets[f"b{k}"] = whole[:100], whole[45:100]
+    for a, b in ((f"a{k}", f"b{k}") for k in range(20)):
+        assert spotsigs.likeness(np.sort(sets[a]), np.sort(sets[b]), 0.55) == 0.55
+    frame = spark.createDataFrame([(k, name, sorted(int(x) for x in v)) for k, (name, v) in enumerate(sets.items())], "doc_id long, text string, sigs array<long>")
+    own = spotsigs.signature_sets
+    spotsigs.signature_sets = lambda df, keep: df.select(*keep, "sigs")
+    try:
+        found = {frozenset((r.a, r.b)) for r in spotsigs.near_duplicates(frame, 0.55)[1].collect()}
+    finally:
+        spotsigs.signature_sets = own
+    assert found == {frozenset((2 * k, 2 * k + 1)) for k in range(20)}
+
+
 def test_empty(none):
     assert spotsigs.edited_report(none).count() == 0
