@@ -13,9 +13,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each step moves edges towards the least
     neighbour, and the table becomes a set of stars in a logarithmic number of rounds. The
-    minimum of a neighbourhood is a partial aggregate, so a hub with very many neighbours is
-    no single task; each round is written to the shared folder. Self-loops and repeated edges
-    are ignored; no edges give an empty table. Raises if ``rounds`` doesn't suffice.
+    minimum of a neighbourhood is a partial aggregate; the joins that hand it back meet all edges of a hub under one
+    key, against one row, and leave it to adaptive execution to split such a key. Each round is written to the shared folder, and
+    deleted when the next one is. Self-loops and repeated edges are ignored; no edges give an empty table. Raises if ``rounds`` doesn't suffice.
     """
     current = common.stage(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc"
@@ -38,6 +38,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         nxt = common.stage(small, f"cc{k}")
         # Stars: every node has one parent, and no parent has a parent.
+        common.release(current)
         state = nxt.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
         if state["n"] == state["d"] and nxt.select("v").distinct().join(nxt.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return nxt.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -26,6 +26,8 @@ SHARE = 1.5
 CAP = 2.0
 #: Documents in a block, on average, and blocks that meet at a node of the tree.
 BLOCK, FAN = 2048, 16
+#: Of rows that are alike, so many are dealt out together.
+PIECE = 10_000
 
 
 def words(text: str = "text") -> Column:
@@ -163,14 +165,23 @@ def mixed(
     )
 
 
+def _one_by_one(groups: DataFrame, n: str) -> DataFrame:
+    """Every row of ``groups`` as many times as ``n`` says, numbered ``__k`` from 1. Groups of over ``PIECE`` rows are dealt out in pieces."""
+    pieces = groups.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / PIECE))))
+    if not groups.filter(F.col(n) > PIECE).isEmpty():
+        pieces = pieces.repartition(F.xxhash64(*groups.columns, "__b"))
+    ends = F.least(F.col(n), (F.col("__b") + 1) * PIECE)
+    return pieces.withColumn("__k", F.explode(F.sequence(F.col("__b") * PIECE + 1, ends))).drop("__b", n)
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (null texts have size 0).
+    """doc_id, size, source_size, target, taken for every row of ``docs`` (null and empty texts have size 0 and take none).
 
-    Rows that repeat a doc_id are told apart by a running number and decided one by one.
+    Rows that agree in doc_id, source and size are alike here: they are counted, and decided one by one by a running number. Null
+    doc_ids and null sources are kept; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", "source", words().alias("size"))
-    again = Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")
-    rows = rows.withColumn("k", F.row_number().over(again))
+    groups = docs.select("doc_id", "source", words().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("__n"))
+    rows = _one_by_one(common.stage(groups, "mix-groups"), "__n").withColumnRenamed("__k", "k")
     return mixed(rows, ["doc_id", "source", "size", "k"]).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
@@ -179,27 +190,23 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with the columns as they were.
 
-    Words are counted once a row, and the texts are shuffled once, to meet their copies.
+    Words are counted once a row. Rows that agree in all columns are counted, decided one by one, and come back as often as they are taken
+    together; the texts are shuffled once, one of each kind of row of a partition, to meet their copies. Documents without words, null
+    texts among them, aren't taken; null sources are a source like others; an empty table stays empty.
     """
     columns = docs.columns
-    marked = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    key = ["doc_id", "__h", "source"]
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    small = marked.select("doc_id", "source", "__h", words().alias("size")).withColumn("__k", number)
-    copies = mixed(small, [*key, "__k"]).filter("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("__h").alias("__kh"), F.col("__k").alias("__kk"), "copies"
-    )
-    others = [F.col(f"`{c}`").asc_nulls_last() for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double") and c != "text"]
-    numbered = marked.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(*(others or [F.lit(0)]))))
-    on = (
-        F.col("doc_id").eqNullSafe(F.col("__id"))
-        & F.col("source").eqNullSafe(F.col("__s"))
-        & (F.col("__h") == F.col("__kh"))
-        & (F.col("__k") == F.col("__kk"))
-    )
-    taken = numbered.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*[F.col(f"`{c}`") for c in columns])
+    every = [x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    marked = docs.withColumn("__a", F.xxhash64(*every)).withColumn("__b", F.xxhash64(F.lit(7), *every))
+    groups = marked.select("source", words().alias("size"), "__a", "__b").groupBy("__a", "__b", "source", "size").agg(F.count("*").alias("__n"))
+    small = _one_by_one(common.stage(groups.withColumnsRenamed({"__a": "__ka", "__b": "__kb"}), "mix-groups"), "__n")
+    taken = mixed(small, ["__ka", "__kb", "__k"]).filter("copies > 0")
+    taken = taken.groupBy("__ka", "__kb", F.floor((F.col("__k") - 1) / PIECE).alias("__piece")).agg(F.sum("copies").cast("int").alias("__copies"))
+    first = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.lit(0)))
+    kinds = marked.withColumn("__first", first).filter("__first = 1")
+    met = kinds.join(taken, (F.col("__a") == F.col("__ka")) & (F.col("__b") == F.col("__kb")))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of the mix of all ``documents``, see :func:`mix_report`."""
     return mix_report(common.documents(spark, sf_dir))

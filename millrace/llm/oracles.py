@@ -42,13 +42,15 @@ u AS (SELECT doc_id, k, n, ms[i] AS m, tested[i] AS g,
         list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
       FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0)),
 base AS (SELECT doc_id, k, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM u WHERE k <= 2 AND length(g) >= n),
-cand AS (SELECT doc_id, k, n AS w, CASE k WHEN 3 THEN 2.8 ELSE 3.7 END::DOUBLE AS h, m, s::BIGINT AS s FROM u WHERE k > 2 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
-  AND (k = 4 OR regexp_full_match(m, '[0-9A-Fa-f]+'))
-  AND NOT regexp_matches(m, '(?i:example|placeholder|changeme|dummy|your[-_]?(key|token|secret))|(?i:0123456789|1234567890|abcdefghij|deadbeef)')
-  AND NOT len(list_filter(range(1, length(m) - 6), lambda i: len(list_distinct(string_split(substr(m, i::BIGINT, 8), ''))) = 1)) > 0),
-ent AS (SELECT doc_id, k, s + min(i) AS s, s + max(i) + w AS e FROM (
+runs AS (SELECT doc_id, k, n AS w, CASE k WHEN 3 THEN 2.8 ELSE 3.7 END::DOUBLE AS h, CASE WHEN x THEN substr(m, 3) ELSE m END AS m, s::BIGINT + CASE WHEN x THEN 2 ELSE 0 END AS s
+  FROM (SELECT *, k = 3 AND regexp_full_match(m, '0[xX][0-9A-Fa-f]{16,}') AS x FROM u WHERE k > 2)),
+cand AS (SELECT * FROM runs WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND (k = 4 OR regexp_full_match(m, '[0-9A-Fa-f]+'))),
+wide AS (SELECT doc_id, k, s + min(i) AS s, s + max(i) + w AS e, substr(m, (min(i) + 1)::BIGINT, (max(i) - min(i) + w)::BIGINT) AS m FROM (
     SELECT *, unnest(list_filter(range(0, length(m) - w + 1), lambda i: list_aggregate(string_split(substr(m, (i + 1)::BIGINT, w), ''), 'entropy') >= h)) AS i FROM cand)
   GROUP BY doc_id, k, s, m, w),
+ent AS (SELECT doc_id, k, s, e FROM wide
+  WHERE NOT regexp_matches(m, '(?i:example|placeholder|changeme|dummy|your[-_]?(key|token|secret))|(?i:0123456789|1234567890|abcdefghij|deadbeef)')
+  AND NOT len(list_filter(range(1, length(m) - 6), lambda i: len(list_distinct(string_split(substr(m, i::BIGINT, 8), ''))) = 1)) > 0),
 every AS (SELECT *, 1 AS b FROM base UNION ALL SELECT *, 0 FROM ent),
 l AS (SELECT doc_id, b, s, k, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'][k + 1] || ':' || s || ':' || e AS x FROM every),
 a AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,

@@ -3,8 +3,8 @@
 Three plain patterns give the base spans. The method adds spans by Shannon entropy: candidate
 strings of a character class are slid over by a window whose symbol counts are kept
 incrementally (one symbol comes in, one goes out, and the sum of c * log2 c is adjusted by the
-two counts that change); the stretch of windows over the threshold is reported, unless the
-candidate is on the allow-list.
+two counts that change); the stretch from the first to the last window over the threshold is reported, unless what stands in
+that stretch is on the allow-list.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ _MAY = {
 #: Entropy kinds: pattern of whole runs of the class, window, least entropy in bits. Runs are matched without
 #: going back, so that texts of one very long run take linear time; a candidate holds digits and letters.
 ENTROPY = {
-    "entropy_hex": (r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])", 16, 2.8),
+    "entropy_hex": (r"(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])", 16, 2.8),
     "entropy_base64": (r"[A-Za-z0-9+/_-]{20,}+", 20, 3.7),
 }
-#: Candidates that are no secrets: documented examples, sequences, one symbol repeated.
+#: Stretches that are no secrets: documented examples, sequences, one symbol repeated.
 ALLOWED = (
     r"(?i:example|placeholder|changeme|dummy|your[-_]?(key|token|secret))",
     r"(?i:0123456789|1234567890|abcdefghij|deadbeef)",
@@ -129,12 +129,13 @@ def spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> tuple[dict[str, C
         scored = F.transform(
             F.filter(
                 _located(text, pattern, 0, window),
-                lambda s: F.rlike(s["found"], F.lit("[0-9]")) & F.rlike(s["found"], F.lit("[A-Za-z]")) & ~F.rlike(s["found"], listed),
+                lambda s: F.rlike(s["found"], F.lit("[0-9]")) & F.rlike(s["found"], F.lit("[A-Za-z]")),
             ),
-            lambda s: F.struct(s["start"].alias("at"), high_entropy(s["found"], window, least).alias("h")),
+            lambda s: F.struct(s["start"].alias("at"), s["found"].alias("found"), high_entropy(s["found"], window, least).alias("h")),
         )
+        stretch = lambda s: F.substr(s["found"], s["h"]["first"] + 1, s["h"]["last"] - s["h"]["first"] + window)
         over = F.transform(
-            F.filter(scored, lambda s: s["h"]["first"].isNotNull()),
+            F.filter(scored, lambda s: s["h"]["first"].isNotNull() & ~F.rlike(stretch(s), listed)),
             lambda s: F.struct(
                 (s["at"] + s["h"]["first"]).alias("start"), F.lit(place[kind]).alias("k"), (s["at"] + s["h"]["last"] + window).alias("end")
             ),
@@ -155,7 +156,11 @@ def _listed(found: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, n_assign, n_access, n_hex, base_sha256, spans for every row; a null text is empty and has no spans."""
+    """``keep``, n_assign, n_access, n_hex, base_sha256, spans for every row; a null text is empty and has no spans.
+
+    Texts are scanned whole, however long; repeated rows are scanned each; spans that start together are in the kinds' order; an
+    empty table gives no rows. Columns besides ``keep`` and the text aren't read.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     base, more = spans(body)
     # Exploding an array of one keeps the optimizer from copying the spans into every column made of them.
@@ -171,4 +176,5 @@ def secret_report(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and what :func:`secret_report` finds for every row of ``documents``."""
     return secret_report(common.documents(spark, sf_dir), ["doc_id"])

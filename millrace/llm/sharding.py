@@ -110,4 +110,5 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` in one of 40 shards, see :func:`shard_documents`."""
     return shard_documents(common.documents(spark, sf_dir))

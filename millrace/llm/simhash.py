@@ -268,7 +268,8 @@ def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """The rows of ``docs``, one of each component: its least doc_id (null last), then its least text hash.
 
     Components are of links by fingerprint (``RADIUS``) and by similarity (``LEAST``), see :func:`similar_links`.
-    All columns come back as they were. Repeated rows of the kept document are reduced to one.
+    All columns come back as they were. Repeated rows of the kept document are reduced to one, in every partition before they are
+    shuffled. Null and empty texts have fingerprint 0 and are one group; an empty table stays empty.
     """
     columns = docs.columns
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -291,4 +292,5 @@ def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row of ``documents``, see :func:`near_dup_components`."""
     return near_dup_components(common.documents(spark, sf_dir).select("doc_id", "text"))

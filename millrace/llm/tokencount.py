@@ -112,8 +112,8 @@ def token_counts(
 ) -> DataFrame:
     """``keep``, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) for every row; null texts are empty.
 
-    The tokenizer file must lie at ``path`` on every executor. Nothing is truncated. The set
-    sent to the executors is bounded by the vocabulary.
+    The tokenizer file must lie at ``path`` on every executor. Nothing is truncated: very long texts are counted whole, empty ones have
+    no tokens, repeated rows are counted each, an empty table gives no rows. The set sent to the executors is bounded by the vocabulary.
     """
     path = path or default_path()
     whole = prove_whole(path)
@@ -129,4 +129,5 @@ def token_counts(
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row of ``documents``, see :func:`token_counts`."""
     return token_counts(common.documents(spark, sf_dir), ["doc_id"])

@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -84,3 +84,22 @@ def test_apply(odd, none):
         report[r.doc_id] = report.get(r.doc_id, 0) + r.taken
     assert sum(size(r.text) for r in out.collect()) > 0
     assert mixing.apply_mix(none).count() == 0 and mixing.mix_report(none).count() == 0
+
+
+def test_apply_takes_what_the_mix_takes(spark, docs, odd, monkeypatch):
+    """Rows come back whole, 0 to 2 times each, near the targets, and alike however they are laid out; copies without an id are told apart."""
+    same = spark.createDataFrame([(None, "some words that are repeated", "en", "a", 1)] * 70, docs.schema)
+    monkeypatch.setattr(mixing, "PIECE", 16)
+    for df in (docs.unionByName(same), odd):
+        rows = df.collect()
+        there, sizes = Counter(map(str, rows)), defaultdict(int)
+        for r in rows:
+            sizes[r.source] += size(r.text)
+        out = [mixing.apply_mix(d).collect() for d in (df, df.repartition(7))]
+        assert sorted(map(str, out[0])) == sorted(map(str, out[1]))
+        got, taken = Counter(map(str, out[0])), defaultdict(int)
+        assert set(got) <= set(there) and all(n <= 2 * there[r] for r, n in got.items())
+        for r in out[0]:
+            taken[r.source] += size(r.text)
+        largest = max(size(r.text) for r in rows)
+        assert all(abs(taken[s] - t) <= largest + 1e-6 for s, t in plain_targets(sizes).items())
