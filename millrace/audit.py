@@ -28,6 +28,14 @@ class Audit:
         self.penalty = round(self.penalty + PENALTIES[kind], 4)
 
 
+def outputs_asked(question: str) -> list[str]:
+    """What a question wants to see, each of six words at most: the list after "including", else after "showing" or "along with"."""
+    m = re.search(r"(?i)\bincluding\s+([^.?]+)", question) or re.search(r"(?i)\b(?:showing|along with)\s+([^.?]+)", question)
+    listed = re.split(r"\s*(?:,|\band\b)\s*", re.split(r"(?i)\b(?:for|per|by|where|from|of all)\b", m[1])[0]) if m else []
+    listed = [re.sub(r"(?i)^(?:the|their|its|all)\s+", "", x.strip().lower()) for x in listed]
+    return [x for x in listed if x and len(x.split()) <= 6 and not re.match(r"those\b|none\b", x)]
+
+
 def audit(spark: SparkSession, sql: str, question: str, catalog: Catalog) -> Audit:
     """Warnings with penalties; a statement that aggregates its own grouping key, or joins LEFT what it never uses, fails outright."""
     out, q = Audit(), question.lower()
@@ -48,6 +56,9 @@ def audit(spark: SparkSession, sql: str, question: str, catalog: Catalog) -> Aud
         out.warn("percent", "a percentage is asked for")
     if re.search(r"\b(without|never|no|not|none)\b", q) and not re.search(r"\bnot\b|is null|except|left join|<>|!=", flat):
         out.warn("polarity", "the question is negative, the statement isn't")
+    for wanted in outputs_asked(question):
+        if not any(w in words or w.rstrip("s") in words for w in wanted.split()):
+            out.warn("output", f"{wanted} is asked for and not given")
     asked = [("literal", m) for m in re.findall(r"'([^']+)'", question)] + [("number", m) for m in re.findall(r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])", question)]
     met = 0
     for kind, value in asked:

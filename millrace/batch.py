@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,19 @@ def run_batch(assistant: Assistant, questions: Iterable[tuple[int, str, str]], d
         try:
             a = assistant.ask(question, dry=dry)
             rows.append(
-                (qnum, question, tier, "Error" if a.error else "Success", a.error or None, a.sql, a.latency_ms.get("total", 0.0), a.confidence, a.retries, a.result.row_count if a.result else None)
+                (qnum, question, tier, "Error" if a.error else "Success", E.tagged(*_parts(a.error)) if a.error else None, a.sql, a.latency_ms.get("total", 0.0), a.confidence, a.retries, a.result.row_count if a.result else None)
             )
         except ConnectionError as e:
             rows.append((qnum, question, tier, "ProviderError", str(e), None, 0.0, 0.0, 0, None))
     return assistant.spark.createDataFrame(rows, RUN)
 
 
+def _parts(error: str) -> tuple[str, str]:
+    """(step, message) of an answer's error; without a step it is the audit's."""
+    step, colon, message = error.partition(": ")
+    return (step, message) if colon and re.fullmatch(r"\w+", step) else ("audit", error)
+
+
 def evaluate_gold(engine: Engine, runs: list[dict], gold: dict[int, tuple[str, bool]]) -> DataFrame:
     """(qnum, tier, batch_result, exec_status, suspicious_success, ordered): both statements are run and compared.
 

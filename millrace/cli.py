@@ -12,6 +12,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("question", nargs="*", help="a question; without one, questions are read line by line")
     p.add_argument("--exec", action="store_true", help="run the SQL (default: only show it)")
     p.add_argument("--sql", action="store_true", help="the input is SQL already")
+    p.add_argument("--tenant", type=int, help="the tenant whose rows may be seen")
+    p.add_argument("--all-tenants", action="store_true", help="rows of all tenants may be seen")
     args = p.parse_args(argv)
     from pyspark.sql import SparkSession
 
@@ -20,7 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     from .sqlx.execute import Engine
 
     spark = SparkSession.builder.appName("millrace").getOrCreate()
-    engine = Engine(spark, driver_catalog(), lambda t: spark.read.parquet(f"{args.folder}/{t}.parquet"))
+    engine = Engine(spark, driver_catalog(), lambda t: spark.read.parquet(f"{args.folder}/{t}.parquet"), args.all_tenants)
     assistant, run = Assistant(engine), args.exec
     for line in [" ".join(args.question)] if args.question else sys.stdin:
         line = line.strip()
@@ -32,12 +34,12 @@ def main(argv: list[str] | None = None) -> int:
             print(":exec :dry :help :quit, or a question")
         elif line:
             if args.sql:
-                r = engine.execute_query(line)
+                r = engine.execute_query(line, args.tenant)
                 print(r.verdict.message if not r.verdict.passed else f"{r.row_count} rows")
                 for row in r.rows[:100]:
                     print(row)
                 continue
-            a = assistant.ask(line, dry=not run)
+            a = assistant.ask(line, args.tenant, dry=not run)
             print(a.error or a.sql)
             for row in a.result.rows[:100] if a.result else []:
                 print(row)

@@ -97,58 +97,85 @@ def requirements(question: Column) -> Column:
     )
 
 
-def entities(questions: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, entities): tables named in each question, longest term first, without overlaps, at most ``most``.
-
-    questions: query_id, question. terms: term (lower case), table_name; the vocabulary of a schema, broadcast below
-    Spark's threshold. Terms of one to three words are looked up among the question's word runs; a
-    run inside a longer one that matched is dropped.
-    """
+def _grams(questions: DataFrame, most: int) -> DataFrame:
+    """(query_id, at, n, term): the runs of 1 to ``most`` words of each question."""
     words = questions.select("query_id", T.tokens(F.col("question")).alias("w"))
-    grams = None
-    for n in (1, 2, 3):
+    out = None
+    for n in range(1, most + 1):
         each = words.filter(F.size("w") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - n))).select(
             "query_id", "at", F.lit(n).alias("n"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("term")
         )
-        grams = each if grams is None else grams.unionByName(each)
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def entities(questions: DataFrame, terms: DataFrame, most: int = 5, least: float | None = None) -> DataFrame:
+    """(query_id, entities): tables named in each question, without overlaps, at most ``most``: those of exact terms first, in the question's
+    order (of overlapping terms the longest), then, with ``least``, those of similar ones.
+
+    questions: query_id, question. terms: term (lower case), table_name; the vocabulary of a schema, broadcast below
+    Spark's threshold. Terms of one to three words are looked up among the question's word runs; a run that overlaps a longer one that
+    matched is dropped. Runs of one or two words and four letters or more that overlap no match are compared with all terms by token-sort ratio, and the best
+    term at ``least`` or more counts.
+    """
+    grams = _grams(questions, 3)
     hits = grams.join(terms, "term")
-    longer = hits.select("query_id", F.col("at").alias("a2"), F.col("n").alias("n2"))
-    inside = (F.col("n2") > F.col("n")) & (F.col("a2") < F.col("at") + F.col("n")) & (F.col("at") < F.col("a2") + F.col("n2"))
-    kept = hits.alias("h").join(longer.alias("l"), (F.col("h.query_id") == F.col("l.query_id")) & inside, "left_anti")
-    first = kept.groupBy("query_id", "table_name").agg(F.min("at").alias("at"))
+    overlaps = (F.col("h.query_id") == F.col("l.query_id")) & (F.col("l.at") < F.col("h.at") + F.col("h.n")) & (F.col("h.at") < F.col("l.at") + F.col("l.n"))
+    spans = hits.select("query_id", "at", "n").distinct()
+    kept = hits.alias("h").join(spans.alias("l"), overlaps & (F.col("l.n") > F.col("h.n")), "left_anti").withColumn("late", F.lit(0))
+    if least is not None:
+        free = _grams(questions, 2).filter("length(term) >= 4").alias("h").join(spans.alias("l"), overlaps, "left_anti")
+        free = free.withColumn("sorted", T.token_sort(F.col("term")))
+        near = similar(free.select(F.col("sorted").alias("token")).distinct(), terms.select(F.col("term").alias("code")).distinct(), least)
+        best = Window.partitionBy("token").orderBy(F.col("score").desc(), "code")
+        near = near.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(F.col("token").alias("sorted"), F.col("code").alias("like"))
+        fuzzy = free.join(near, "sorted").select("query_id", "at", "n", F.col("like").alias("term")).join(terms, "term")
+        kept = kept.select("query_id", "at", "n", "table_name", "late").unionByName(fuzzy.select("query_id", "at", "n", "table_name", F.lit(1).alias("late")))
+    first = kept.groupBy("query_id", "table_name").agg(F.min(F.struct("late", "at")).alias("at"))
     ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "table_name"))).filter(F.col("k") <= most)
     return ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "table_name"))), lambda s: s["table_name"]).alias("entities"))
 
 
-def fuzzy_codes(questions: DataFrame, codes: DataFrame, least: float = 85.0) -> DataFrame:
-    """(query_id, token, code, score): the best code for each word of four letters or more, by token-sort ratio.
+def similar(tokens: DataFrame, codes: DataFrame, least: float) -> DataFrame:
+    """(token, code, score): all pairs of a ratio of ``least`` or more between a token and a code with its words in order.
 
-    Words aren't compared with all codes, but no pair is lost: a ratio of ``least`` allows k = floor((1 - least / 100) * longest) edits,
-    which bounds the lengths; and of k + 1 pieces of the code one stands unchanged in the word, at most k letters away.
+    Tokens aren't compared with all codes, but no pair is lost: a ratio of ``least`` allows k = floor((1 - least / 100) * longest) edits,
+    which bounds the lengths; and of k + 1 pieces of the code one stands unchanged in the token, at most k letters away.
     """
     r = max(least, 1.0) / 100
     lengths = lambda c: F.sequence(F.greatest(F.lit(1), F.ceil(F.length(c) * r - 1e-9)).cast("int"), F.floor(F.length(c) / r + 1e-9).cast("int"))
     edits = F.floor(F.greatest("m", "n") * (1 - r) + 1e-9).cast("int")
     start = lambda i: F.floor(i * F.col("m") / (F.col("k") + 1)).cast("int")
     size = start(F.col("i") + 1) - start(F.col("i"))
-    words = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token")).filter("length(token) >= 4")
     listed = codes.select("code", T.token_sort(F.col("code")).alias("c"))
     pieces = lambda df: df.withColumn("k", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    w = pieces(words.select("token").distinct().withColumn("n", F.length("token")).withColumn("m", F.explode(lengths("token"))))
+    w = pieces(tokens.select("token").filter("length(token) > 0").distinct().withColumn("n", F.length("token")).withColumn("m", F.explode(lengths("token"))))
     w = w.withColumn("at", F.explode(F.sequence(start(F.col("i")) - F.col("k"), start(F.col("i")) + F.col("k"))))
     w = w.filter((F.col("at") >= 0) & (F.col("at") + size <= F.col("n")))
     c = pieces(listed.filter("length(c) > 0").withColumn("m", F.length("c")).withColumn("n", F.explode(lengths("c"))))
     w = w.select("token", "m", "n", "i", F.col("token").substr(F.col("at") + 1, size).alias("piece")).distinct()
     c = c.select("code", "c", "m", "n", "i", F.col("c").substr(start(F.col("i")) + 1, size).alias("piece"))
     near = w.join(c, ["m", "n", "i", "piece"]).select("token", "code", "c").distinct()
-    pairs = words.join(near.select("token", "code", T.ratio(F.col("token"), F.col("c")).alias("score")), "token").select("query_id", "token", "code", "score")
+    return near.select("token", "code", T.ratio(F.col("token"), F.col("c")).alias("score")).filter(F.col("score") >= least)
+
+
+def fuzzy_codes(questions: DataFrame, codes: DataFrame, least: float = 85.0) -> DataFrame:
+    """(query_id, token, code, score): the best code for each word of four letters or more, by token-sort ratio; no pair is lost (:func:`similar`)."""
+    words = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token")).filter("length(token) >= 4")
+    pairs = words.join(similar(words.select("token"), codes, least), "token").select("query_id", "token", "code", "score")
     best = Window.partitionBy("query_id", "token").orderBy(F.col("score").desc(), "code")
-    return pairs.filter(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    return pairs.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
 
 def glossary_expansion(questions: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(query_id, expanded): the question with the definitions of its glossary terms appended, never substituted."""
-    hits = questions.join(glossary, F.lower("question").contains(F.lower("term")))
+    """(query_id, expanded): the question with the definitions of its glossary terms appended, never substituted.
+
+    glossary: term, definition and, if there are any, aliases (array). A term or alias counts as whole words only, in one go
+    over the question's runs of up to five words.
+    """
+    names = F.array(F.col("term")) if "aliases" not in glossary.columns else F.concat(F.array(F.col("term")), F.coalesce("aliases", F.array().cast("array<string>")))
+    listed = glossary.select(F.explode(names).alias("name"), "definition").select(F.array_join(T.tokens(F.col("name")), " ").alias("term"), "definition").filter("term <> ''")
+    hits = _grams(questions, 5).join(listed, "term")
     notes = hits.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("definition")), "; ").alias("notes"))
     return questions.join(notes, "query_id", "left").select(
         "query_id", F.when(F.col("notes").isNull(), F.col("question")).otherwise(F.concat_ws(" | ", "question", "notes")).alias("expanded")

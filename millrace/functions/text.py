@@ -13,16 +13,16 @@ def normalise(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased ASCII word tokens, in order."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
 
 
 def raw_tokens(c: Column) -> Column:
     r"""Tokens between runs of \W (ASCII), case kept: the second analyser."""
-    return F.filter(F.split(c, "[^A-Za-z0-9_]+"), lambda t: t != "")
+    return F.array_remove(F.split(c, "[^A-Za-z0-9_]+"), "")
 
 
 def token_set(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normalise(c), " "), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(normalise(c), " "), ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -70,5 +70,5 @@ def estimated_tokens(c: Column) -> Column:
 
 
 def scrub_binds(c: Column) -> Column:
-    """Removes mentions of bind parameters (:name, but not ::type); applying it twice changes nothing more."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?<![:\w]):[A-Za-z_]\w*", ""), r"  +", " "))
+    """Prose without mentions of bind parameters (:name, but not ::type): each becomes "a literal value". Applying it twice changes nothing more."""
+    return F.regexp_replace(c, r"(?<![:\w]):[a-zA-Z_][a-zA-Z0-9_]*\b", "a literal value")

@@ -73,7 +73,8 @@ class KnowledgeStore:
         q = self.spark.createDataFrame([(1, question)], "query_id long, question string")
         dense = R.dense(q.select("query_id", embed.embed(F.col("question")).alias("vector")), store, 2 * k)
         terms = q.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("term"))
-        lexical = R.top_k(R.bm25(terms, store.filter("chunk_type <> 'FEW_SHOT'"), T.tokens(F.col("text"))), 2 * k)
+        pool = R.searchable(store)
+        lexical = R.top_k(R.bm25(terms, R.postings(pool, T.tokens(F.col("text"))), pool.count()), 2 * k)
         fused = R.fuse([dense.select("query_id", "chunk_id", "rank"), lexical.select("query_id", "chunk_id", "rank")])
         scored = fused.filter(F.col("position") < k).select("query_id", "chunk_id", "score")
         if entities:

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sqlx import tokens
 
 LEAK = 0.85
-MIN_WORDS, MIN_SQL, MAX_SQL_TOKENS = 4, 10, 800
+#: Words of a question and of a statement. Fixed values.
+MIN_WORDS, MIN_SQL, MAX_SQL = 4, 10, 800
+#: Prompt styles that are trained on. Fixed values.
+CATEGORIES = ("Business Question → SQL", "")
 PAIR = ("nl_query", "sql", "reasoning", "source", "category", "line_no")
 
 
@@ -71,50 +77,113 @@ def deleak(train: DataFrame, test: DataFrame, threshold: float = LEAK) -> DataFr
     return marked.withColumn("reason", reason).drop("_norm", "_exact", "_j")
 
 
-def gate(df: DataFrame) -> DataFrame:
-    """``df`` (nl_query, sql, category) with ``reason``: the first failing test, null for what passes."""
-    sql, nl = F.trim(F.coalesce("sql", F.lit(""))), F.trim(F.coalesce("nl_query", F.lit("")))
-    first = F.lower(F.regexp_extract(sql, r"^\(*\s*(\w+)", 1))
-    masked = F.regexp_replace(sql, "'(?:[^']|'')*'", "''")
+def gate(df: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """``df`` (nl_query, sql, category) with its binds settled in ``sql`` and ``reason``: the first failing test, null for what passes.
+
+    The tests, in order: category, empty, prose, SELECT a.*, b.*, binds that can neither be given a literal nor be left out with their
+    predicate, the question's and the statement's lengths in words, neither SELECT nor WITH, and what the guard would refuse for this question.
+    """
+    raw, nl = F.trim(F.coalesce("sql", F.lit(""))), F.trim(F.coalesce("nl_query", F.lit("")))
+    settled = df.withColumn("_raw", raw).withColumn("_b", settled_binds(raw))
+    sql = F.col("_b.sql")
+    count = lambda c: F.size(F.array_remove(F.split(F.trim(c), r"\s+"), ""))
+    begins = F.lower(F.regexp_extract(F.col("_raw"), r"^(\w+)", 1))
     reason = (
-        F.when(F.lower(F.coalesce("category", F.lit(""))).isin("skip", "excluded", "ambiguous"), "category")
-        .when(sql == "", "empty")
-        .when(~masked.rlike(r"(?i)\b(select|with|values)\b") & (F.size(F.split(sql, r"\s+")) > 3), "prose")
-        .when(masked.rlike(r"(?i)\bjoin\s+\w+(\s+\w+)?\s+on\s+(true|1\s*=\s*1)"), "garbage_join")
-        .when(masked.rlike(r"(?<![:\w]):[A-Za-z_]\w*|\$\d+"), "placeholder")
-        .when(nl == "", "nl_empty")
-        .when(F.size(F.split(nl, r"\s+")) < MIN_WORDS, "nl_short")
-        .when(F.length(sql) < MIN_SQL, "sql_short")
-        .when(T.estimated_tokens(sql) > MAX_SQL_TOKENS, "sql_long")
-        .when(~first.isin("select", "with"), "not_select")
+        F.when(~F.coalesce("category", F.lit("")).isin(*categories), "off_task_category")
+        .when(F.col("_raw") == "", "empty_sql")
+        .when(~begins.startswith("select") & ~begins.startswith("with"), "prose_no_sql")
+        .when(F.col("_raw").rlike(r"(?i)SELECT\s+\w+\.\*\s*,\s*\w+\.\*"), "garbage_join")
+        .when(F.col("_b.status").startswith("reject"), F.col("_b.status"))
+        .when(nl == "", "empty_nl")
+        .when(count(nl) < MIN_WORDS, "short_nl")
+        .when(count(sql) < MIN_SQL, "short_sql")
+        .when(count(sql) > MAX_SQL, "long_sql")
+        .when(~F.lower(sql).startswith("select") & ~F.lower(sql).startswith("with"), "not_select")
+        .when(contract_broken(nl, sql), "semantic_contract")
     )
-    return df.withColumn("reason", reason)
+    return settled.withColumn("reason", reason).withColumn("sql", F.when(F.col("reason").isNull(), sql).otherwise(F.col("sql"))).drop("_raw", "_b").select(*df.columns, "reason")
+
+
+def contract_broken(nl: Column, sql: Column) -> Column:
+    """Whether a pair breaks what the guard asks of an answer: "per" or "for each" over inner joins alone, an average duration without EPOCH."""
+    q, s = F.concat(F.lit(" "), F.lower(nl), F.lit(" ")), F.lower(sql)
+    per = q.rlike(r" per | for each |including those with none") & ~q.rlike(r" with | that have | assigned to ")
+    inner = s.rlike(r"\bjoin\b") & ~s.rlike(r"\b(?:left|right|full)\s+(?:outer\s+)?join\b")
+    duration = q.rlike("(average|avg) (duration|time)") & ~s.rlike(r"extract ?\(epoch")
+    return (per & s.rlike(r"\b(count|sum|avg|min|max)\s*\(") & inner) | duration
 
 
 def funnel(gated: DataFrame) -> DataFrame:
     return gated.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def substitute_placeholders(sql: Column) -> Column:
-    """Bind parameters become literals by the name's ending: dates '2026-01-01', ids, numbers and counts 42; others stay."""
-    dated = F.regexp_replace(sql, r"(?<![:\w]):\w*(?:date|_at|day|time)\b", "'2026-01-01'")
-    return F.regexp_replace(dated, r"(?<![:\w]):(?:\w*_)?(?:id|no|num|number|count|limit|year|key)\b", "42")
+#: Ends of names that say what a bind holds, and what is put in its place. Fixed values.
+INTEGER_NAMES, DATE_NAMES = r"(?:^|_)(?:id|no|num|limit|offset|count|marks|year|attempt)s?$", r"date|_at$|_on$"
+INTEGER, DATE = "42", "'2026-01-01'"
+_BIND = r"(?<![:\w]):[A-Za-z_]\w*|\$\d+"
 
 
-def strip_placeholder_predicates(sql: str, passes: int = 40) -> str | None:
-    """Removes AND-ed predicates that still hold a bind parameter; None where one is the only condition of a join or stands in the select list."""
-    import re
+def substitute_binds(sql: str) -> tuple[str, int]:
+    """(the statement with literals for the binds whose name, or for $1 the column it is compared with, tells their type; how many stay)."""
+    masked, stay = tokens.mask(sql), 0
+    for m in reversed(list(re.finditer(_BIND, masked))):
+        compared = re.search(r"([A-Za-z_]\w*)\s*(?:=|<>|!=|<=|>=|<|>|\blike\b|\bilike\b|\bbetween\b|\bin\s*\()\s*$", masked[: m.start()], re.I)
+        hint = m[0][1:] if m[0][0] == ":" else compared[1] if compared else ""
+        if re.search(INTEGER_NAMES, hint, re.I):
+            sql = sql[: m.start()] + INTEGER + sql[m.end() :]
+        elif re.search(DATE_NAMES, hint, re.I):
+            sql = sql[: m.start()] + DATE + sql[m.end() :]
+        else:
+            stay += 1
+    return sql, stay
+
+
+_OPERAND = r"[\w.\"]+(?:\([^()]*\))?"
+_B = r"(?::[A-Za-z_]\w*|\$\d+)"
+_PREDICATE = (
+    rf"(?:not\s+)?{_OPERAND}\s*(?:(?:=|<>|!=|<=|>=|<|>|\bi?like\b)\s*(?:{_B}|\w+\(\s*{_B}[^()]*\))|(?:not\s+)?between\s+(?:{_B}\s+and\s+\S+|\S+\s+and\s+{_B})"
+    rf"|(?:not\s+)?in\s*\([^()]*{_B}[^()]*\))"
+)
+_END = r"(?=\s*(?:$|\)|;|\bgroup\b|\border\b|\blimit\b|\bhaving\b|\bunion\b|\boffset\b|\bfetch\b))"
+
 
-    bind = r"(?<![:\w]):[A-Za-z_]\w*|\$\d+"
-    predicate = rf"[\w.\"]+\s*(?:=|<>|!=|<=|>=|<|>|\blike\b|\bilike\b)\s*(?:{bind})"
+def strip_placeholder_predicates(sql: str, passes: int = 40) -> str | None:
+    """Takes out the predicates that still hold a bind: of AND and OR the other side stays, a WHERE or HAVING of nothing else goes. None where a bind
+    is a join's only condition or stands anywhere else, or after ``passes`` of them."""
+    steps = (
+        (rf"\s+(?:and|or)\s+{_PREDICATE}(?!\s*\()", ""),
+        (rf"(\bwhere|\bhaving|\bon|\()(\s*){_PREDICATE}\s+(?:and|or)\s+", r"\1 "),
+        (rf"\s+(?:where|having)\s+{_PREDICATE}{_END}", ""),
+    )
     for _ in range(passes):
-        new = re.sub(rf"\s+and\s+{predicate}", "", sql, count=1, flags=re.I)
-        new = re.sub(rf"(\bwhere|\bon)\s+{predicate}\s+and\s+", r"\1 ", new, count=1, flags=re.I) if new == sql else new
-        new = re.sub(rf"\s+where\s+{predicate}(?=\s*(?:$|\)|group\b|order\b|limit\b|having\b))", "", new, count=1, flags=re.I) if new == sql else new
-        if new == sql:
+        masked = tokens.mask(sql)
+        m, with_ = next(((m, w) for p, w in steps if (m := re.search(p, masked, re.I))), (None, ""))
+        if m is None:
             break
-        sql = new
-    return None if re.search(bind, sql) else sql
+        sql = sql[: m.start()] + m.expand(with_) + sql[m.end() :]
+    return None if re.search(_BIND, tokens.mask(sql)) else sql
+
+
+def settle(sql: str) -> tuple[str, str]:
+    """(statement, status): clean, substituted, stripped or reject:bind."""
+    if not re.search(_BIND, tokens.mask(sql)):
+        return sql, "clean"
+    new, stay = substitute_binds(sql)
+    if not stay:
+        return new, "substituted"
+    stripped = strip_placeholder_predicates(new)
+    return (sql, "reject:bind") if stripped is None else (stripped, "stripped")
+
+
+def settled_binds(sql: Column) -> Column:
+    """struct<sql, status> of :func:`settle`. It works on tokens, so in Arrow batches of Python; a statement without : and $ is handed back at once."""
+
+    @F.pandas_udf("sql string, status string")
+    def run(statements: pd.Series) -> pd.DataFrame:
+        made = [settle(x) if x and (":" in x or "$" in x) else (x, "clean") for x in statements]
+        return pd.DataFrame(made, columns=["sql", "status"])
+
+    return run(sql)
 
 
 def gold_confidence(sql: Column) -> Column:
@@ -150,8 +219,8 @@ def fit_to_budget(sections: list[dict], chunks: list[dict], budget: int) -> dict
             break
         for c in chunks:
             c["text"] = c["text"][: max(1, len(c["text"]) // 2)]
-    if size() > budget:
-        return None
+    if size() > budget or any(c["gold"] and not c["text"].strip() for c in chunks):
+        return None  # without its gold a prompt teaches what it doesn't show
     return {"sections": [s["name"] for s in sections], "chunks": chunks, "tokens": size()}
 
 

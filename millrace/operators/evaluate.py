@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 
 def cell(c: Column, kind: str) -> Column:
-    """A value as comparable text: null is a mark of its own, numbers are rounded to 4 places, booleans and texts trimmed."""
-    if kind in ("double", "float") or kind.startswith("decimal") or kind in ("int", "bigint", "smallint", "tinyint"):
+    """A value as comparable text: null is a mark of its own, booleans and texts are trimmed, numbers have four places. Integers and
+    decimals are written exactly (decimals of more places are rounded as decimals), floats are rounded."""
+    if kind in ("int", "bigint", "smallint", "tinyint"):
+        text = F.concat(c.cast("string"), F.lit(".0000"))
+    elif kind.startswith("decimal"):
+        d = F.round(c, 4)
+        whole = F.regexp_extract(d.cast("string"), r"^-?\d+", 0)
+        places = F.rpad(F.regexp_extract(d.cast("string"), r"\.(\d+)$", 1), 4, "0")
+        text = F.when(d == 0, "0.0000").otherwise(F.concat(whole, F.lit("."), places))
+    elif kind in ("double", "float"):
         d = F.round(c.cast("double"), 4)
         text = F.when(F.isnan(d), "nan").otherwise(F.format_string("%.4f", d + F.lit(0.0)))
         text = F.when(d == 0, "0.0000").otherwise(text)  # no minus zero
@@ -61,15 +69,19 @@ def status(generated: DataFrame | None, gold: DataFrame | None, ordered: bool =
     return compare(generated, gold, ordered)
 
 
-#: Buckets of errors in the order in which they are tried: words that an error message holds. Fixed values.
-TAXONOMY = (
-    ("cost", "cost|too expensive|seq scan"), ("schema", "column|table|relation|unknown|does not exist"), ("semantic", "semantic|polarity|aggregate"),
-    ("placeholder", "placeholder|bind parameter|:\\w+"), ("ambiguous", "ambigu"),
-)
+#: Buckets of errors in the order in which they are tried, and the stage tag or the mark that speaks for each. Fixed values.
+TAXONOMY = (("cost", r"\(cost\)"), ("schema", r"\(schema\)"), ("semantic", r"\(semantic\)"), ("placeholder", "placeholder"), ("ambiguous", r"ambiguous_query|^\s*ambiguous\s*$"))
+#: The tag of the guard's steps in an error: those of names and types, and the cost; all other rules are semantic.
+STAGES = {"cost": "cost"} | dict.fromkeys(("syntax", "tables", "columns", "aliases", "types", "functions", "analysis"), "schema") | {"placeholder": "placeholder", "ambiguous": "ambiguous_query"}
+
+
+def tagged(step: str, message: str) -> str:
+    """An error as a run's log has it: with its stage's tag."""
+    return f"({STAGES.get(step, 'semantic')}) {step}: {message}"
 
 
 def bucket(message: Column) -> Column:
-    """The first bucket whose words the message holds; other, or null without a message."""
+    """The first bucket whose tag the message has; other, or null without a message. A word such as "table" in it says nothing."""
     tests = reduce(lambda c, t: c.when(F.lower(message).rlike(t[1]), t[0]), TAXONOMY[1:], F.when(F.lower(message).rlike(TAXONOMY[0][1]), TAXONOMY[0][0]))
     return F.when(message.isNotNull() & (message != ""), tests.otherwise("other"))
 

@@ -6,6 +6,10 @@ query's candidates. Chunk tables have chunk_id, text, and further payload.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,49 +21,143 @@ SENTINEL = 999.0
 FLOOR = 0.30
 #: Chunk types by descending priority. Fixed values.
 PRIORITY = {
-    "TABLE": 10, "VIEW": 10, "FK_MAP": 9, "BUSINESS_RULE": 9, "WORKFLOW": 8, "STATUS": 7, "FEW_SHOT": 6, "GLOSSARY": 5, "INDEX": 3, "PARTITION": 2, "AUDIT": 1,
+    "BUSINESS_RULE": 11, "TABLE": 10, "VIEW": 10, "FK_MAP": 9, "WORKFLOW": 8, "STATUS": 7, "GLOSSARY": 6, "AUDIT": 5, "INDEX": 4, "PARTITION": 3, "FEW_SHOT": 0,
 }
+#: Bytes of query vectors that are sent out and compared at once.
+BLOCK_BYTES = 32 << 20
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", tie: str = "chunk_id") -> DataFrame:
-    """The k best rows by score of each query, with rank from 0; ties by ``tie``."""
-    w = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(tie))
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    """The k best rows by score of each query, with rank from 0; ties by ``tie``.
 
+    The filter is on the bare row number, so that Spark cuts each partition to k rows a query before anything is shuffled.
+    """
+    w = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(tie))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
-def dense(queries: DataFrame, chunks: DataFrame, k: int = 20, where: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine. Filters apply before ranking. Queries are few and are
-    broadcast: the chunks are scanned once and never shuffled before each partition's candidates."""
-    pool = chunks if where is None else chunks.filter(where)
-    unit = lambda df, key, v: df.select(key, T.unit(F.col("vector")).alias(v)).filter(f"{v} is not null")
-    pairs = unit(pool, "chunk_id", "cv").crossJoin(F.broadcast(unit(queries, "query_id", "qv")))
-    return top_k(pairs.select("query_id", "chunk_id", T.dot(F.col("cv"), F.col("qv")).alias("score")), k)
 
+def dense(queries: DataFrame, chunks: DataFrame, k: int = 20, where: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by cosine, exactly; filters apply before ranking. Vectors without a direction match nothing.
 
-def postings(chunks: DataFrame, analysed: Column, wanted: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, term, tf, dl): the inverted index of one field under one analyser; of the ``wanted`` terms alone, if
-    given, which are then picked before anything is shuffled."""
+    The queries go out in blocks of bounded size. For each block the chunks are read once: a matrix product of a batch of
+    chunks and the block finds who can be among the k best, and only these are scored one by one. A partition gives k rows a query at most, which
+    are all that is shuffled.
+    """
+    pool = (chunks if where is None else chunks.filter(where)).select("chunk_id", F.col("vector").cast("array<double>").alias("v"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    blocks = max(1, -(-n * 8 * width // block_bytes))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
+    out = None
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        block = queries.sparkSession.sparkContext.broadcast((rows.column("query_id").combine_chunks(), _unit(rows.column("v"))))
+        made = pool.mapInArrow(lambda batches, block=block: _nearest(batches, *block.value, k), schema)
+        out = made if out is None else out.unionByName(made)
+    return top_k(out, k)
+
+
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length 1, one a row; zeros where there is no vector or no direction. All have one width."""
+    width = max((len(v) for v in vectors.to_pylist() if v is not None), default=0)
+    m = np.array([v if v is not None else [0.0] * width for v in vectors.to_pylist()], dtype=np.float64).reshape(len(vectors), width)
+    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], ids: pa.Array, asked: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of a partition for each query of a block, ties by chunk_id."""
+    best: list = []  # (query, chunk_id, score) of what may still be among them
+    live = (asked != 0).any(axis=1)
+    kind = None
+
+    def cut(parts: list) -> list:
+        q, c, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        return [(q[place < k], c[place < k], s[place < k])]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.schema.field(0).type
+        chunk, m = np.array(batch.column(0).to_pylist()), _unit(pa.chunked_array([batch.column(1)]))
+        some = (m != 0).any(axis=1)
+        chunk, m = chunk[some], m[some]
+        if not len(m) or m.shape[1] != asked.shape[1]:
+            continue
+        scores = asked @ m.T
+        scores[~live] = -np.inf
+        least = np.partition(scores, -k, axis=1)[:, -k][:, None] if len(m) > k else np.full((len(asked), 1), -np.inf)
+        # The product's last digits depend on its blocking: all that come near the k-th are scored anew, each by itself.
+        q, c = np.nonzero((scores >= least - 1e-9) & np.isfinite(scores))
+        exact = np.concatenate([np.einsum("ij,ij->i", asked[q[i : i + 65536]], m[c[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.empty(0)])
+        best.append((q, chunk[c], exact))
+        if sum(len(p[0]) for p in best) > 4 * k * max(1, len(asked)):
+            best = cut(best)
+    if best:
+        for q, c, s in cut(best):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(c, kind), pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+
+def postings(chunks: DataFrame, analysed: Column) -> DataFrame:
+    """(chunk_id, term, tf, dl): the inverted index of one field under one analyser. Meant to be stored; :func:`bm25` reads it."""
     terms = chunks.select("chunk_id", analysed.alias("terms")).withColumn("dl", F.size("terms"))
-    listed = terms.select("chunk_id", "dl", F.explode("terms").alias("term"))
-    if wanted is not None:
-        listed = listed.join(wanted, "term", "left_semi")
-    return listed.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return terms.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def delete_postings(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The index without the postings of these chunks (chunk_id)."""
+    return index.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def rare_terms(index: DataFrame, wanted: Column, most: int, least: int = 2) -> DataFrame:
+    """(query_id, term): of the chunks that ``wanted`` picks, the ``most`` rarest terms that ``least`` chunks or more have, ties by term: the chunk as a query."""
+    often = index.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+    listed = index.filter(wanted).select(F.col("chunk_id").alias("query_id"), "term").join(often, "term")
+    w = Window.partitionBy("query_id").orderBy("df", "term")
+    return listed.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select("query_id", "term")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, analysed: Column, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) of one field. ``queries``: query_id, term. Document frequency and mean length are
-    global; only postings of the queries' terms are counted and joined. ``index``: stored postings, if there are any."""
-    stats = chunks.select(F.size(analysed).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def bm25(queries: DataFrame, index: DataFrame, chunks: int) -> DataFrame:
+    """(query_id, chunk_id, score) of one field by its stored ``index``. ``queries``: query_id, term. ``chunks``: how many there are, those without
+    terms among them. Document frequency and mean length are global; only the postings of the queries' terms are joined."""
+    stats = index.agg((F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(max(1, chunks))).alias("avgdl"))
     wanted = queries.select("query_id", "term").distinct()
-    terms = wanted.select("term").distinct()
-    hits = postings(chunks, analysed, terms) if index is None else index.join(terms, "term", "left_semi")
+    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1 + (F.lit(chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
 
 
+#: Fields that a lexical search looks at, each under both analysers, and the type that it leaves out. Fixed values.
+FIELDS, LEFT_OUT = ("text", "nl_question"), "FEW_SHOT"
+
+
+def searchable(chunks: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The chunks that a lexical search may find: of ``kinds``, if given, and no few-shot examples, which have a search of their own."""
+    own = chunks.filter(F.col("chunk_type") != LEFT_OUT)
+    return own if kinds is None else own.filter(F.col("chunk_type").isin(*kinds))
+
+
+def search(questions: DataFrame, chunks: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): the best BM25 score of any field under either analyser, the question taken apart by the same one.
+
+    questions: query_id, question. chunks: chunk_id, chunk_type and the ``FIELDS``; what a field lacks is empty.
+    """
+    pool, found = searchable(chunks, kinds), []
+    n = pool.count()
+    for name in FIELDS:
+        for analyser in (T.tokens, T.raw_tokens):
+            index = postings(pool, analyser(F.coalesce(name, F.lit(""))))
+            asked = questions.select("query_id", F.explode(analyser(F.col("question"))).alias("term"))
+            found.append(bm25(asked, index, n))
+    return best_fields(found)
+
+
 def best_fields(fields: list[DataFrame]) -> DataFrame:
     """The best score of any field for each (query, chunk)."""
     out = fields[0]
@@ -117,42 +215,45 @@ def disambiguate(scored: DataFrame, threshold: float = 0.75, margin: float = 0.1
     return ranked.filter("_n = 1").select("query_id", F.when(sure, F.col("option")).alias("option"), "score")
 
 
-#: Tiers of the context budget: least priority of the tier, its share of the budget. Fixed values.
-TIERS = ((9, 0.40), (7, 0.35), (5, 0.10), (0, 1.00))
+#: Tiers of the context budget: their chunk types (the last has all others) and their share of what mandatory chunks leave. Fixed values.
+TIERS = (
+    (("BUSINESS_RULE", "FK_MAP", "WORKFLOW"), 0.40), (("TABLE", "VIEW", "STATUS"), 0.35), (("GLOSSARY", "FEW_SHOT"), 0.10), ((), 1.00),
+)
 MAX_CHUNKS = 14
-PROTECTED = ("TABLE", "VIEW", "FK_MAP", "WORKFLOW", "BUSINESS_RULE")
+PROTECTED = ("FK_MAP", "WORKFLOW", "BUSINESS_RULE")
 
 
 def fill_budget(rows: list[dict], budget: int, most: int = MAX_CHUNKS) -> list[dict]:
-    """Chooses chunks of one query: mandatory ones first, then by priority and score, each tier within its quota and all
-    within ``budget``; what a quota deferred is tried once more; beyond ``most`` chunks unprotected ones go.
+    """Chooses chunks of one query: mandatory ones always; then by priority and score, each tier within its share of what these
+    leave and all within it; what a tier's share deferred is tried once more. Beyond ``most`` chunks the least of those that are neither mandatory nor
+    ``PROTECTED`` go. Types of priority 8 or more come first. Mandatory chunks that fill the budget stand alone.
 
     Greedy and dependent on order: a chunk that doesn't fit is skipped, and the next may fit.
     rows: chunk_id, chunk_type, score, tokens, mandatory.
     """
     rank = lambda r: (-PRIORITY.get(r["chunk_type"], 0), -r["score"], r["chunk_id"])
-    taken, total = [], 0
-    for r in sorted((r for r in rows if r["mandatory"]), key=rank):
-        taken.append(r)
-        total += r["tokens"]
-    spent, deferred = [0] * len(TIERS), []
+    taken = sorted((r for r in rows if r["mandatory"]), key=rank)
+    free = budget - sum(r["tokens"] for r in taken)
+    if free <= 0:
+        return taken
+    spent, total, deferred = [0] * len(TIERS), 0, []
     for r in sorted((r for r in rows if not r["mandatory"]), key=rank):
-        tier = next(i for i, (least, _) in enumerate(TIERS) if PRIORITY.get(r["chunk_type"], 0) >= least)
-        if total + r["tokens"] <= budget and spent[tier] + r["tokens"] <= TIERS[tier][1] * budget:
+        tier = next((i for i, (kinds, _) in enumerate(TIERS) if r["chunk_type"] in kinds), len(TIERS) - 1)
+        if total + r["tokens"] <= free and spent[tier] + r["tokens"] <= int(TIERS[tier][1] * free):
             taken.append(r)
             spent[tier] += r["tokens"]
             total += r["tokens"]
         else:
             deferred.append(r)
     for r in deferred:
-        if total + r["tokens"] <= budget:
+        if total + r["tokens"] <= free:
             taken.append(r)
             total += r["tokens"]
     if len(taken) > most:
         safe = [r for r in taken if r["mandatory"] or r["chunk_type"] in PROTECTED]
         rest = sorted((r for r in taken if not (r["mandatory"] or r["chunk_type"] in PROTECTED)), key=rank)
         taken = safe + rest[: max(0, most - len(safe))]
-    return sorted(taken, key=lambda r: (PRIORITY.get(r["chunk_type"], 0) < 8, not r["mandatory"], *rank(r)))
+    return sorted(taken, key=lambda r: PRIORITY.get(r["chunk_type"], 0) < 8)
 
 
 def context_budget(hits: DataFrame, budget: int = 7000) -> DataFrame:

@@ -82,7 +82,7 @@ def sensitive_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT * without the sensitive columns, which stay usable in predicates."""
     from ..guard.secure import SecureViews
 
-    secure = SecureViews(spark, driver_catalog(), tenant=None, load=lambda t: table(spark, sf_dir, t))
+    secure = SecureViews(spark, driver_catalog(), tenant=None, load=lambda t: table(spark, sf_dir, t), all_tenants=True)
     return secure.sql("SELECT * FROM supplier WHERE s_acctbal > 5000")
 
 

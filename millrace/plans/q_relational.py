@@ -140,17 +140,17 @@ SELECT l_returnflag, bool_and(l_quantity > 0) AS positive, bool_or(l_discount >
     # R70 - R73
     "win_rank": """
 SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn,
-       rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS dr FROM orders""",
+       rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr FROM orders""",
     "win_lag_lead": """
 SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, lead(event_type, 1, 'none') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events""",
     "win_rows_frame": """
 SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders""",
     "win_range_frame": """
-SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM events""",
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '100' HOUR PRECEDING AND CURRENT ROW) AS n FROM events""",
     "win_named": """
 SELECT o_orderkey, first_value(o_orderkey) OVER w AS first, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "win_groups_frame": """
-SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders""",
+SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders""",
     # R80 - R82
     "topk_nulls": """
 SELECT k, n FROM (SELECT NULLIF(o_orderpriority, '5-LOW') AS k, count(*) AS n FROM orders GROUP BY 1) t ORDER BY k DESC LIMIT 3""",
@@ -164,6 +164,20 @@ SELECT c_nationkey AS k, 'c' AS src FROM customer WHERE c_acctbal > 9000 UNION A
     "cte_chain": """
 WITH big(custkey, total) AS (SELECT o_custkey, sum(o_totalprice) FROM orders GROUP BY 1), top AS (SELECT custkey FROM big WHERE total > 1000000)
 SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT custkey FROM top) GROUP BY c_mktsegment""",
+    "set_union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
+    "set_intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
+    "set_except": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
+    # What the queries above leave out
+    "like_escape": r"SELECT p_partkey FROM part WHERE p_brand NOT LIKE 'Brand!_%' ESCAPE '!' AND p_brand LIKE 'Brand!#1%' ESCAPE '!'",
+    "tilde_operators": "SELECT p_partkey FROM part WHERE p_brand ~~ 'Brand#1%' AND p_type !~~ '%TIN' AND p_type ~~* '%a%' AND p_type !~~* '%zz%'",
+    "json_paths": """
+SELECT event_id, props -> 'k' ->> 'none' AS deep, props #>> '{k}' AS k, (props #> '{k}')::TEXT AS k2 FROM events WHERE event_id % 7 = 0""",
+    "json_any_all_keys": "SELECT event_id FROM events WHERE props ?| ARRAY['x', 'k'] AND NOT props ?& ARRAY['k', 'x'] AND event_id % 5 = 0",
+    "json_path_exists": "SELECT event_id FROM events WHERE props @? '$.k' AND NOT props @? '$.other' AND event_id % 3 = 0",
+    "agg_arrays": """
+SELECT n_regionkey, cardinality(array_agg(n_name ORDER BY n_name)) AS n, (array_agg(n_name ORDER BY n_name))[1] AS first FROM nation GROUP BY n_regionkey""",
+    "agg_json": "SELECT r_regionkey, json_array_length(json_agg(n_name)::TEXT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey",
+    "agg_mode": "SELECT l_linestatus, mode() WITHIN GROUP (ORDER BY l_returnflag) AS flag FROM lineitem GROUP BY l_linestatus",
     # dates
     "date_rolling_vs_calendar": """
 SELECT count(*) FILTER (WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01') AS calendar,
@@ -187,6 +201,12 @@ SELECT vec_id, n, embedding[n] AS x FROM embeddings, range(1, 65) AS t(n)""",
     "regex_similar_like_any": """
 SELECT p_partkey, p_brand, p_type FROM part
 WHERE regexp_matches(p_brand, '[0-4]$') AND NOT regexp_matches(p_type, '(?i)tin') AND regexp_matches(p_brand, '^Brand#[123]') AND p_size > 5""",
+    "tilde_operators": "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' AND p_type NOT LIKE '%TIN' AND p_type ILIKE '%a%' AND p_type NOT ILIKE '%zz%'",
+    "json_paths": "SELECT event_id, NULL::VARCHAR AS deep, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS k2 FROM events WHERE event_id % 7 = 0",
+    "json_any_all_keys": "SELECT event_id FROM events WHERE list_has_any(json_keys(props), ['x', 'k']) AND NOT list_has_all(json_keys(props), ['k', 'x']) AND event_id % 5 = 0",
+    "json_path_exists": "SELECT event_id FROM events WHERE json_exists(props, '$.k') AND NOT json_exists(props, '$.other') AND event_id % 3 = 0",
+    "agg_arrays": "SELECT n_regionkey, count(*) AS n, min(n_name) AS first FROM nation GROUP BY n_regionkey",
+    "agg_json": "SELECT n_regionkey AS r_regionkey, count(*) AS n FROM nation GROUP BY 1",
     "fetch_with_ties": "SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size) AS r FROM part) WHERE r <= 5",
     "date_trunc_month": "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1",
     "topk_nulls": """

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embed
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..sources import ddl, knowledge
+from ..sources.staging import shared_dir, stage
 from .tables import postgres, table
 
+_DDL = """
+CREATE TABLE customer (c_custkey bigint PRIMARY KEY, c_name varchar(40) UNIQUE, c_mktsegment varchar(10) CHECK (c_mktsegment IN ('BUILDING', 'MACHINERY')));
+CREATE TABLE orders (o_orderkey bigint NOT NULL, o_custkey bigint REFERENCES customer (c_custkey), o_orderstatus char(1), PRIMARY KEY (o_orderkey));
+"""
+
 _SEARCH = """
 SELECT doc_id FROM documents WHERE to_tsvector(text) @@ to_tsquery('the & with & thor')"""
 
@@ -39,22 +48,47 @@ def few_shot_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark items as questions against themselves and each other, by the share of their words."""
+    """The benchmark items as questions: the ten best by their rarest terms (BM25), ranked anew by the share of the question's words."""
     items = table(spark, sf_dir, "benchmark")
-    questions = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     chunks = items.select(F.col("item_id").alias("chunk_id"), "text")
-    hits = questions.select("query_id").crossJoin(F.broadcast(chunks.select("chunk_id")))  # the candidates of each query; the table is small and bounded
-    ranked = R.rerank_overlap(questions, hits, chunks, 2)
+    index = stage(R.postings(chunks, T.tokens(F.col("text"))), "postings")
+    found = R.bm25(R.rare_terms(index, F.lit(True), 8, 1), index, chunks.count()).withColumn("score", F.round("score", 6))
+    ranked = R.rerank_overlap(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), R.top_k(found, 10), chunks, 2)
     return ranked.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def knowledge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glossary files of both forms, of one content made of the benchmark: a record a line, and one list."""
+    items = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("term"), F.substring("text", 1, 40).alias("definition"), F.array(F.lit("benchmark")).alias("related_tables")
+    )
+    folder = f"{shared_dir(spark)}/knowledge-{uuid.uuid4().hex}"
+    items.coalesce(1).write.json(f"{folder}/lines")
+    listed = items.agg(F.concat(F.lit("[\n"), F.array_join(F.transform(F.collect_list(F.struct("*")), lambda r: F.to_json(r)), ",\n"), F.lit("\n]")).alias("value"))
+    listed.coalesce(1).write.text(f"{folder}/list")  # a file of a benchmark's size: a list is one record by its nature
+    made = [knowledge.load(spark, f"{folder}/{form}", "GLOSSARY").withColumn("form", F.lit(form)) for form in ("lines", "list")]
+    return made[0].unionByName(made[1]).groupBy("form", "chunk_type").agg(
+        F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"), F.min("text").alias("first"), F.sum(F.size("referenced_tables")).alias("refs")
+    )
+
+
+def ddl_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog read from DDL: its columns by family, keys and vocabularies, and orphans of its foreign key in the data."""
+    c = ddl.parse(_DDL)
+    rows = [(t.name, len(t.columns), len(t.primary_key), len(t.foreign_keys), sum(x.allowed is not None for x in t.columns.values()), len(t.unique_sets())) for t in c.tables.values()]
+    made = spark.createDataFrame(rows, "table_name string, columns int, pk int, fks int, vocabularies int, unique_sets int")
+    k = c.foreign_keys[0]
+    lost = table(spark, sf_dir, k.from_table).join(table(spark, sf_dir, k.to_table).select(F.col(k.to_columns[0]).alias(k.from_columns[0])), k.from_columns[0], "left_anti")
+    return made.crossJoin(F.broadcast(lost.agg(F.count("*").alias("orphans"))))  # one row
+
+
 def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit length of the stand-in embeddings of all benchmark items, and the words they are made of."""
     items = table(spark, sf_dir, "benchmark").select("item_id", embed.embed(F.col("text")).alias("v"), T.tokens(F.col("text")).alias("t"))
     return items.select("item_id", F.round(T.dot(F.col("v"), F.col("v")), 6).alias("norm"), F.size("v").alias("dimensions"), F.size("t").alias("words"))
 
 
-QUERIES = {f.__name__: f for f in (store_upsert, store_delete, few_shot_retrieval, rerank_overlap, embedding_norms)} | {"text_search": postgres(_SEARCH)}
+QUERIES = {f.__name__: f for f in (store_upsert, store_delete, few_shot_retrieval, rerank_overlap, embedding_norms, knowledge_files, ddl_catalog)} | {"text_search": postgres(_SEARCH)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
 
@@ -66,8 +100,19 @@ list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embed
 / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) DESC, v.vec_id) - 1 AS rank
 FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.label % 2 = 0) WHERE rank < 3""",
     "rerank_overlap": f"""WITH i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
-s AS (SELECT q.item_id AS query_id, c.item_id AS chunk_id, len(list_intersect(list_distinct(q.w), c.w))::DOUBLE / len(list_distinct(q.w)) AS score FROM i q, i c)
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM i),
+post AS (SELECT item_id, dl, term, count(*) AS tf FROM (SELECT item_id, len(w) AS dl, unnest(w) AS term FROM i) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+q AS (SELECT query_id, term FROM (SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS r FROM post JOIN df USING (term)) WHERE r <= 8),
+bm AS (SELECT query_id, item_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
+  FROM post JOIN q USING (term) JOIN df USING (term), st GROUP BY query_id, item_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM bm),
+s AS (SELECT t.query_id, t.chunk_id, len(list_intersect(list_distinct(q.w), c.w))::DOUBLE / len(list_distinct(q.w)) AS score FROM t JOIN i q ON q.item_id = query_id JOIN i c ON c.item_id = chunk_id WHERE r <= 10)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM s) WHERE rank < 2""",
-    "embedding_norms": f"SELECT item_id, 1.0::DOUBLE AS norm, 384 AS dimensions, len({_WORDS.format('text')}) AS words FROM benchmark",
+    "knowledge_files": """SELECT form, 'GLOSSARY' AS chunk_type, count(*) AS n, count(DISTINCT item_id) AS ids, min('item ' || item_id || ': ' || substr(text, 1, 40)) AS first, count(*) AS refs
+FROM benchmark, (VALUES ('lines'), ('list')) AS f(form) WHERE text IS NOT NULL GROUP BY form""",
+    "ddl_catalog": """SELECT *, (SELECT count(*) FROM orders WHERE o_custkey IS NULL OR o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphans
+FROM (VALUES ('customer', 3, 1, 0, 1, 2), ('orders', 3, 1, 1, 0, 1)) AS t(table_name, columns, pk, fks, vocabularies, unique_sets)""",
+    "embedding_norms": f"SELECT item_id, CASE WHEN len({_WORDS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, 384 AS dimensions, len({_WORDS.format('text')}) AS words FROM benchmark",
     "text_search": f"SELECT doc_id FROM documents WHERE list_has_all({_WORDS.format('text')}, ['the', 'with', 'thor'])",
 }

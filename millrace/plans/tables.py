@@ -32,3 +32,19 @@ def postgres(sql: str):
         return spark.sql(translate(sql))
 
     return run
+
+
+def catalog_sql() -> str:
+    """The driver tables' catalog as common table expressions for an oracle: tabs, cols and fks, in declared order."""
+    from ..catalog import driver_catalog
+
+    c = driver_catalog()
+    tabs = ", ".join(f"({i}, '{t}')" for i, t in enumerate(c.tables))
+    cols = ", ".join(
+        f"({i}, '{t.name}', '{x.name}', '{x.type}', '{x.family}', {str(x.primary).lower()}, '{', '.join(sorted(x.allowed or ()))}')" for t in c.tables.values() for i, x in enumerate(t.columns.values())
+    )
+    fks = ", ".join(f"({i}, '{k.from_table}', '{k.from_columns[0]}', '{k.to_table}', '{k.to_columns[0]}')" for i, k in enumerate(c.foreign_keys))
+    return (
+        f"tabs(ord, table_name) AS (VALUES {tabs}), cols(ord, table_name, column_name, type, family, pk, allowed) AS (VALUES {cols}), "
+        f"fks(ord, from_table, from_column, to_table, to_column) AS (VALUES {fks})"
+    )

@@ -14,8 +14,12 @@ SCHEMAS = {
 
 
 def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """chunk_id, chunk_type, text, nl_question, expected_sql, referenced_tables; records without their main field are left out."""
-    raw = spark.read.schema(SCHEMAS[kind]).option("multiLine", True).json(path)
+    """chunk_id, chunk_type, text, nl_question, expected_sql, referenced_tables; records without their main field are left out.
+
+    A file whose first mark is [ is one list, any other has a record a line.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("v")).first()  # of the first partition: the file's beginning
+    raw = spark.read.schema(SCHEMAS[kind]).option("multiLine", bool(first) and first["v"].startswith("[")).json(path)
     if kind == "GLOSSARY":
         made = raw.filter("term is not null").select(
             F.concat_ws(": ", "term", "definition").alias("text"), F.lit(None).cast("string").alias("nl_question"), F.lit(None).cast("string").alias("expected_sql"), F.coalesce("related_tables", F.array().cast("array<string>")).alias("referenced_tables")

@@ -14,7 +14,7 @@ CREATE TABLE audit_log (id bigint PRIMARY KEY, note text);
 
 
 def test_run_log_gold_and_comparison(spark, sf):
-    engine = Engine(spark, driver_catalog(), lambda t: spark.read.parquet(f"{sf}/{t}.parquet"))
+    engine = Engine(spark, driver_catalog(), lambda t: spark.read.parquet(f"{sf}/{t}.parquet"), all_tenants=True)
 
     class Offline(SqlProvider):
         def complete(self, parsed, catalog, error=""):
@@ -29,6 +29,7 @@ def test_run_log_gold_and_comparison(spark, sf):
     assert got[1].exec_status == "correct" and got[3].exec_status == "wrong_rows" and got[3].suspicious_success and got[2].exec_status == "no_generated_sql"
     down = batch.run_batch(Assistant(engine, Offline()), asked)
     assert {r.result for r in down.collect()} == {"ProviderError", "Error"}
+    assert rows[2].error.startswith("(semantic) ambiguous") or "ambiguous" in rows[2].error
     assert batch.compare_runs(spark, runs, down)["verdict"] == "WORSE"
 
 

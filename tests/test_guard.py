@@ -53,6 +53,8 @@ CATALOG = Catalog(
             "academic_unit_relationship", "id* bigint, from_unit_id bigint, to_unit_id bigint, relationship_type! varchar",
             ["from_unit_id>academic_unit.id", "to_unit_id>academic_unit.id", "relationship_type>relationship_type_config.relationship_type"],
         ),
+        table("script", "id* bigint, evaluation_status varchar"),
+        table("script_assignment", "id* bigint, script_id bigint", ["script_id>script.id"]),
         table("result", "id* bigint, script_id bigint, published_at timestamptz"),
         table("result_history", "id* bigint, result_id! bigint", ["result_id>result.id"]),
     ]
@@ -94,7 +96,9 @@ REFUSED = {
     "aliases": ["SELECT z.id FROM board b"],
     "tables": ["SELECT * FROM ghosts"],
     "safety": ["DELETE FROM board", "UPDATE board SET status = 'OPEN'", "CREATE TABLE x AS SELECT 1", "TRUNCATE TABLE board", "SET x = 1"],
-    "denied_functions": ["SELECT pg_read_file('/etc/passwd')", "SELECT id FROM board WHERE set_config('a', 'b', false) = 'c'"],
+    "denied_functions": ["SELECT pg_read_file('/etc/passwd')", "SELECT id FROM board WHERE set_config('a', 'b', false) = 'c'", "SELECT aes_decrypt(status, 'k') FROM board", "SELECT current_user()", "SELECT * FROM range(1000000000000)", "SELECT spark_catalog.default.f(1)"],
+    "window_over_group": ["SELECT status, COUNT(*), RANK() OVER (ORDER BY COUNT(*)) FROM board GROUP BY status"],
+    "unmet_status": ["SELECT s.id FROM script s JOIN script_assignment a ON a.script_id = s.id WHERE s.evaluation_status = 'NOT_ASSIGNED'"],
     "system_catalogs": ["SELECT * FROM pg_catalog.pg_tables", "SELECT * FROM pg_user", "SELECT * FROM json.`/tmp/x`"],
     "placeholder": ["SELECT * FROM board WHERE id = $1", "SELECT * FROM board WHERE id = :id"],
     "tautology": ["SELECT * FROM board b WHERE b.id = b.id", "SELECT e.marks - e.marks FROM evaluation_attempt e"],
@@ -135,6 +139,10 @@ PASSES = [
     "SELECT r.id FROM result r LEFT JOIN result_history h ON h.result_id = r.id WHERE h.id IS NULL OR h.id > 5",
     "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 5) SELECT n FROM t",
     "SELECT id FROM board UNION SELECT id FROM result",
+    "SELECT status, n, RANK() OVER (ORDER BY n) FROM (SELECT status, COUNT(*) AS n FROM board GROUP BY status) t",
+    "SELECT s.id FROM script s LEFT JOIN script_assignment a ON a.script_id = s.id WHERE s.evaluation_status = 'NOT_ASSIGNED'",
+    "SELECT s.id FROM script s JOIN script_assignment a ON a.script_id = s.id WHERE s.evaluation_status IN ('NOT_ASSIGNED', 'ASSIGNED')",
+    "SELECT order.id FROM board AS order WHERE order.exam_id = 4", "SELECT x.id FROM result x JOIN result_history x ON x.result_id = 5 AND x.id IS NOT NULL",
     "SELECT b.id FROM board b, LATERAL (SELECT e.marks FROM evaluation_attempt e WHERE e.board_id = b.id ORDER BY e.marks LIMIT 1) x",
 ]
 
@@ -159,6 +167,58 @@ def test_questions(spark):
     assert ask("SELECT COUNT(*) FROM board", "what percentage is open").step == "question_percent"
     assert ask("SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY marks) FROM evaluation_attempt", "the 90th percentile of marks").passed
     assert ask("SELECT b.id FROM board b JOIN result r ON r.script_id = b.exam_id", "boards without results").advice
+    assert ask("SELECT * FROM board WHERE id = 17", "board 18").step == "question_ids" and ask("SELECT * FROM board WHERE id = 18", "board 18").passed
+    spent = "SELECT AVG(frozen_at - started_at) FROM evaluation_attempt"
+    assert ask(spent, "the average time of an attempt").step == "average_duration" and ask(spent.replace("frozen_at - started_at", "EXTRACT(EPOCH FROM (frozen_at - started_at))"), "the average time of an attempt").passed
+
+
+def test_rules_of_ones_own(spark):
+    from millrace.guard import rules
+
+    before = list(rules.RULES)
+    try:
+        rules.add_rule("no_board", lambda s, c: "no boards" if "board" in s.sql else None, before="types")
+        assert check(spark, "SELECT id FROM board", CATALOG).step == "no_board" and check(spark, "SELECT id FROM result", CATALOG).passed
+        rules.add_rule("no_board", lambda s, c: None)
+        assert check(spark, "SELECT id FROM board", CATALOG).passed
+        rules.remove_rule("no_board")
+        assert [r[0] for r in rules.RULES] == [r[0] for r in before]
+        for bad in (lambda: rules.remove_rule("safety"), lambda: rules.add_rule("x", lambda s, c: None, before="none"), lambda: rules.add_rule("", None)):
+            with pytest.raises(ValueError):
+                bad()
+    finally:
+        rules.RULES[:] = before
+
+
+def test_tenants_dont_see_each_other(spark, sf):
+    """Statements of several tenants at once: each sees its own rows, as each has views of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from millrace.catalog import driver_catalog
+    from millrace.sqlx.execute import Engine
+
+    engine = Engine(spark, driver_catalog(), lambda t: spark.read.parquet(f"{sf}/{t}.parquet"))
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda t: (t, {r["c_nationkey"] for r in engine.execute_query("SELECT c_nationkey FROM customer", t).rows}), [k % 5 for k in range(20)]))
+    assert all(seen <= {t} for t, seen in got) and any(seen for _, seen in got)
+    assert engine.execute_query("SELECT c_name FROM customer").verdict.step == "tenant" and not spark.catalog.tableExists("customer")
+    assert engine.execute_query("SELECT nothing FROM nation").verdict.step == "columns"
+
+
+def test_a_renamed_or_constant_column_stays_sensitive(spark):
+    """What counts is the catalog's column, wherever its values come from."""
+    from pyspark.sql import functions as F
+
+    from millrace.catalog import driver_catalog
+    from millrace.guard.secure import Refused, SecureViews
+
+    base = spark.createDataFrame([(1, "a", 3, 5.0)], "s_suppkey long, s_name string, s_nationkey int, bal double")
+    for df in (base.withColumnRenamed("bal", "s_acctbal"), base.drop("bal").withColumn("s_acctbal", F.lit(7.0))):
+        views = SecureViews(spark, driver_catalog(), None, lambda t, df=df: df)
+        assert views.sql("SELECT * FROM supplier").columns == ["s_suppkey", "s_name", "s_nationkey"]
+        for bad in ("SELECT s_acctbal AS s_x FROM supplier", "SELECT to_json(struct(*)) FROM supplier", "SELECT s_nationkey FROM supplier UNION ALL SELECT s_acctbal FROM supplier"):
+            with pytest.raises(Refused):
+                views.sql(bad)
 
 
 def test_secured_views(spark, sf):
@@ -167,7 +227,7 @@ def test_secured_views(spark, sf):
     from millrace.sqlx.execute import Engine
 
     load = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    everyone, three = (SecureViews(spark, driver_catalog(), t, load) for t in (None, 3))
+    everyone, three = SecureViews(spark, driver_catalog(), None, load, all_tenants=True), SecureViews(spark, driver_catalog(), 3, load)
     # Twice in one scope, in a subquery and in a union: each reading is filtered.
     sql = "SELECT count(*) AS n FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey <> 3)"
     assert three.sql(sql).first().n == 0 and everyone.sql(sql).first().n > 0
@@ -175,7 +235,7 @@ def test_secured_views(spark, sf):
     with pytest.raises(Refused):
         SecureViews(spark, driver_catalog(), "3 OR 1=1", load)
     with pytest.raises(Refused):
-        SecureViews(spark, driver_catalog(), None, load, all_tenants=False)
+        SecureViews(spark, driver_catalog(), None, load).sql("SELECT c_name FROM customer")
     assert everyone.sql("SELECT * FROM supplier").columns == ["s_suppkey", "s_name", "s_nationkey"]
     for bad in ("SELECT s_acctbal FROM supplier", "SELECT s_name, s_acctbal * 2 AS x FROM supplier", "WITH t AS (SELECT s_acctbal AS y FROM supplier) SELECT y + 1 AS z FROM t"):
         with pytest.raises(Refused):

@@ -72,3 +72,7 @@ def test_without_llm(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""})
     n, ops, pipeline = out.stdout.split()[-3:]
     assert int(n) > 90 and ops == "0" and pipeline == "False", out.stderr
+    (tmp_path / "millrace" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave behind
+    shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    again = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""})
+    assert again.stdout.split()[-3:] == [n, "0", "False"], again.stderr
