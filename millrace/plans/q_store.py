@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import driver_catalog
 from ..functions import embed
 from ..functions import text as T
+from ..operators import chunks, corpus
 from ..operators import retrieval as R
-from ..sources import ddl, knowledge
+from ..sources import ddl, jsonl, knowledge
+from ..sources.failures import FailureStore
 from ..sources.staging import shared_dir, stage
+from ..sqlx.execute import Engine
+from ..tools import ToolClient, ToolError, Tools, ToolServer
 from .tables import postgres, table
 
 _DDL = """
@@ -88,7 +95,94 @@ def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", F.round(T.dot(F.col("v"), F.col("v")), 6).alias("norm"), F.size("v").alias("dimensions"), F.size("t").alias("words"))
 
 
-QUERIES = {f.__name__: f for f in (store_upsert, store_delete, few_shot_retrieval, rerank_overlap, embedding_norms, knowledge_files, ddl_catalog)} | {"text_search": postgres(_SEARCH)}
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON lines, and read again beside a part of broken lines, which are left out."""
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    jsonl.write_runs(e, folder, "a")
+    spark.createDataFrame([("{broken",), ("",)], "value string").coalesce(1).write.mode("append").text(f"{folder}/run_id=a")
+    return jsonl.read(spark, f"{folder}/run_id=a", "event_id long, event_type string, value double").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def failure_store_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures logged, two corrected (one twice), an unknown one asked for, and the corrected ones exported as pairs."""
+    folder = f"{shared_dir(spark)}/failures-{uuid.uuid4().hex}"
+    store = FailureStore(spark, f"{folder}/store")
+    names = [r.r_name for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]  # five rows
+    keys = [store.log(f"how many in {n}", f"SELEC {n}", "syntax") for n in names]
+    store.save_correction(keys[0], "SELECT 1")
+    store.save_correction(keys[1], "SELECT 2")
+    store.save_correction(keys[1], "SELECT 3")
+    lost = not store.save_correction("nowhere", "SELECT 4") and store.get("nowhere") is None
+    store.export(f"{folder}/out")
+    return spark.read.json(f"{folder}/out").select("nl_query", "sql", "source", F.lit(store.list(corrected=False).count()).alias("open"), F.lit(lost).alias("lost"))
+
+
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model-free token count of all documents, by language."""
+    d = table(spark, sf_dir, "documents").select("lang", T.estimated_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return d.groupBy("lang").agg(F.sum("t").alias("tokens"), F.min("t").alias("least"), F.max("t").alias("most"))
+
+
+def manifest_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a build's manifest still holds: nothing changed, another configuration, another input."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own inputs; no executor reads them
+        path = Path(folder, "pairs.jsonl")
+        path.write_text("".join(f"{r.n_name}\n" for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()))
+        m = corpus.manifest([str(path)], {"min_words": 4}, {"read": 25})
+        rows = [(0, corpus.is_fresh(m, [str(path)], {"min_words": 4}), m["inputs"][str(path)], m["rows"]["read"]), (1, corpus.is_fresh(m, [str(path)], {"min_words": 5}), "", 0)]
+        path.write_text("other")
+        rows.append((2, corpus.is_fresh(m, [str(path)], {"min_words": 4}), "", 0))
+    return spark.createDataFrame(rows, "id int, fresh boolean, digest string, n int")
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools over HTTP: rows of a token's tenant, refusals without one and with a wrong one, unknown tools and wrong arguments."""
+    engine = Engine(spark, driver_catalog(), lambda t: table(spark, sf_dir, t))
+    sql, rows = "SELECT count(*) AS n FROM customer", []
+    with ToolServer(Tools(engine), tenants={"three": 3}) as server:
+        for i, (token, name, arguments) in enumerate(
+            (("three", "execute_query", {"sql": sql}), ("", "execute_query", {"sql": sql}), ("four", "execute_query", {"sql": sql}), ("three", "no_such", {}), ("three", "execute_query", {"query": sql}),
+             ("", "execute_query", {"sql": "SELECT count(*) AS n FROM nation"}), ("three", "execute_query", {"sql": sql, "tenant": 4}), ("", "health_check", {}))
+        ):
+            try:
+                r = ToolClient(server.url, token).call(name, arguments)
+                rows.append((i, r["rows"][0]["n"] if "rows" in r else int(r["healthy"]), ""))
+            except ToolError as e:
+                rows.append((i, -1, e.step or e.message.split(":")[0]))
+    return spark.createDataFrame(rows, "id int, n int, refused string")
+
+
+_COMMENTED = """
+CREATE TABLE a_log (id bigint PRIMARY KEY);
+CREATE TABLE course_history (id bigint PRIMARY KEY);
+CREATE TABLE catalogue (id bigint PRIMARY KEY);
+CREATE TABLE script (id bigint PRIMARY KEY, scan_status varchar, evaluation_status varchar);
+CREATE TABLE hold (id bigint PRIMARY KEY, status varchar);
+CREATE TABLE attempt (id bigint PRIMARY KEY, kind varchar);
+CREATE TABLE marks (id bigint PRIMARY KEY);
+CREATE TABLE plain (id bigint PRIMARY KEY, audit_note varchar);
+CREATE TABLE moves (id bigint PRIMARY KEY, from_state varchar, to_state varchar);
+COMMENT ON COLUMN hold.status IS 'goes from pending to released';
+COMMENT ON COLUMN attempt.kind IS 'PRIMARY | REVIEW | REVAL';
+COMMENT ON TABLE marks IS 'partitioned by exam';
+COMMENT ON COLUMN plain.audit_note IS 'by hand @chunk:audit';
+"""
+
+
+def chunk_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names, states, comments and annotations make of a table."""
+    made = chunks.generate(spark, ddl.parse(_COMMENTED)).filter("chunk_type NOT IN ('TABLE', 'FK_MAP')")
+    return made.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_list("chunk_type")), ",").alias("kinds"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        store_upsert, store_delete, few_shot_retrieval, rerank_overlap, embedding_norms, knowledge_files, ddl_catalog, json_lines, failure_store_cycle, token_estimates, manifest_freshness, tool_calls,
+        chunk_predicates,
+    )
+} | {"text_search": postgres(_SEARCH)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
 
@@ -113,6 +207,14 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_nu
 FROM benchmark, (VALUES ('lines'), ('list')) AS f(form) WHERE text IS NOT NULL GROUP BY form""",
     "ddl_catalog": """SELECT *, (SELECT count(*) FROM orders WHERE o_custkey IS NULL OR o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphans
 FROM (VALUES ('customer', 3, 1, 0, 1, 2), ('orders', 3, 1, 1, 0, 1)) AS t(table_name, columns, pk, fks, vocabularies, unique_sets)""",
+    "json_lines": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type",
+    "failure_store_cycle": """SELECT 'how many in ' || r_name AS nl_query, CASE r_regionkey WHEN 0 THEN 'SELECT 1' ELSE 'SELECT 3' END AS sql, 'failures' AS source, (SELECT count(*) - 2 FROM region) AS open, true AS lost
+FROM region WHERE r_regionkey < 2""",
+    "token_estimates": """SELECT lang, sum(t)::BIGINT AS tokens, min(t) AS least, max(t) AS most FROM (SELECT lang, greatest(1, length(coalesce(text, '')) // 4) AS t FROM documents) GROUP BY lang""",
+    "manifest_freshness": "SELECT 0 AS id, true AS fresh, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS digest, count(*)::INTEGER AS n FROM nation UNION ALL SELECT 1, false, '', 0 UNION ALL SELECT 2, false, '', 0",
+    "tool_calls": """SELECT 0 AS id, count(*)::INTEGER AS n, '' AS refused FROM customer WHERE c_nationkey = 3 UNION ALL SELECT * FROM (VALUES (1, -1, 'tenant'), (2, -1, 'unknown token'), (3, -1, 'there is no tool no_such'),
+(4, -1, 'wrong arguments'), (6, -1, 'arguments are an object, and the tenant isn''t one of them'), (7, 1, '')) AS t(id, n, refused) UNION ALL SELECT 5, count(*)::INTEGER, '' FROM nation""",
+    "chunk_predicates": """SELECT * FROM (VALUES ('a_log', 'AUDIT'), ('course_history', 'AUDIT'), ('script', 'WORKFLOW'), ('hold', 'WORKFLOW'), ('attempt', 'STATUS'), ('marks', 'PARTITION'), ('plain', 'AUDIT'), ('moves', 'WORKFLOW')) AS t(table_name, kinds)""",
     "embedding_norms": f"SELECT item_id, CASE WHEN len({_WORDS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, 384 AS dimensions, len({_WORDS.format('text')}) AS words FROM benchmark",
     "text_search": f"SELECT doc_id FROM documents WHERE list_has_all({_WORDS.format('text')}, ['the', 'with', 'thor'])",
 }
