@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import release, shared_dir, stage  # noqa: F401
+
 #: Words of the word-based operators: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,42 +26,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where there is none, a local session (one machine, as in
-    tests) gets a folder of its own; a cluster is refused, as its executors wouldn't see each other's files."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not found.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    Unlike a cached block the files outlive any executor, and numbering made by
-    ``monotonically_increasing_id`` is fixed once it is written.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(*staged: DataFrame) -> None:
-    """Deletes the files of staged tables (:func:`stage`) that nothing reads any more: call it when what was made of them is written."""
-    for df in staged:
-        session = df.sparkSession
-        folder = f"{shared_dir(session)}/"
-        jvm = session.sparkContext._jvm
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()):
-                path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def ranges(docs: DataFrame, target: int) -> int:
     """How many ranges give each about ``target`` bytes of text, by a count over all of them; at least ``spark.sql.shuffle.partitions``."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -14,20 +14,19 @@ Walks and samples are repeated until edited copies of the items themselves, at t
 largest distance allowed, are found with ``RECALL``; the windows that meet an item are verified by
 exact edit distance. Where the tables' bound is reached first, all counted windows of that group are verified (``Group.exact``).
 
-Windows begin at every word. Before any walk they are counted: a stretch within k edits of an item
+Windows begin at every word. Before any walk they are counted, item by item: a stretch within k edits of an item
 with r rare words (those that few items have) holds at least r - k of them, so windows with fewer
-are no match of any item of that size. This loses nothing.
+are no match of that item. This loses nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ SAMPLED = 2  # notes in a hash
 WALKS, MOST_TABLES = 6, 32  # walks, and samples of each at most
 CHUNK = 64  # words from one walk's start to the next in long items
 TRIALS, TRIAL_WORDS = 4000, 2_000_000  # edited copies that recall is measured on, and words of these, at most
-SPELT = 7  # letters of a word that may be misspelt
+SPELT = 5  # letters of a word that may be misspelt
 RARE = 0.02  # share of the items that may have a word for it to count as rare
 #: Items are searched for in blocks of so many words, so that what the executors get is bounded.
 BLOCK_WORDS = 2_000_000
@@ -80,35 +79,48 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Spelling(dict):
+class Spelling:
     """Ids of words: of the vocabulary, and of words one letter's edit from exactly one of its words; 0 for others.
 
-    Words with one letter left out are kept as sorted hashes; what they propose is compared letter by letter. A table of marks, made anew
-    in every process, tells at once that most words propose nothing. Answers are remembered, with a bound.
+    Words with one letter left out are kept as sorted hashes. All new words of a batch are hashed at once, whole and with each letter left
+    out; a table of marks tells that most propose nothing, and what is proposed is compared letter by letter. Answers are remembered, with a bound.
     """
 
     MOST = 300_000
-    MARKS = 1 << 16, 1 << 26  # least and greatest size of the table of marks
+    MARKS = 16, 26  # bits of the least and greatest table of marks
+    WIDE = 40  # letters of a word that is looked at, besides the vocabulary's own
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, vocab: dict[bytes, int]):
-        super().__init__(vocab)
-        self.vocab, self.names = vocab, [b"", *vocab]
-        long = [w for w in vocab if len(w) >= SPELT]
-        variants = [(v, vocab[w]) for w in long for v in (w, *self._shorter(w))]
-        size = min(max(self.MARKS[0], 1 << (256 * len(variants)).bit_length()), self.MARKS[1])
-        self.marks, self.mask = bytearray(size), size - 1
-        for v, _ in variants:
-            self.marks[hash(v) & self.mask] = 1
-        made = [(xxhash.xxh64_intdigest(v), k) for v, k in variants]
-        made = np.array(sorted(set(made)), dtype=np.uint64).reshape(-1, 2)
-        self.hashes, self.ids = made[:, 0].copy(), made[:, 1].astype(np.int32)
+        self.vocab, self.names, self.known = vocab, [b"", *vocab], dict(vocab)
+        self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.WIDE, self._BASE)]), dtype=np.uint64)
+        self.back = np.uint64(pow(int(self._BASE), -1, 1 << 64))
+        long = [w for w in vocab if SPELT <= len(w) <= self.WIDE]
+        hashes, owner = self._hashes(long)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.ids = hashes[order], np.array([vocab[w] for w in long], dtype=np.int32)[owner[order]]
+        self.bits = np.uint64(64 - min(max(self.MARKS[0], (256 * len(hashes)).bit_length()), self.MARKS[1]))
+        self.marks = np.zeros(1 << int(64 - self.bits), dtype=bool)
+        self.marks[self.hashes >> self.bits] = True
 
     def __reduce__(self) -> tuple:
         return Spelling, (self.vocab,)
 
-    @staticmethod
-    def _shorter(w: bytes) -> list[bytes]:
-        return [w[:i] + w[i + 1 :] for i in range(len(w))]
+    def _hashes(self, words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place of its word) of every word and of every word without each of its letters. A hash is a polynomial in the letters."""
+        sizes = np.array(list(map(len, words_)), dtype=np.int64)
+        if not len(sizes):
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        place = np.arange(sizes.max())[None, :]
+        inside = place < sizes[:, None]
+        letters = np.zeros(inside.shape, dtype=np.uint64)
+        letters[inside] = np.frombuffer(b"".join(words_), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        terms = letters * self.powers[: inside.shape[1]]
+        upto = np.cumsum(terms, axis=1, dtype=np.uint64)  # with each letter
+        whole = upto[:, -1]
+        without = upto - terms + (whole[:, None] - upto) * self.back
+        owner = np.arange(len(words_))
+        return _scramble(np.concatenate([whole, without[inside]])), np.concatenate([owner, np.repeat(owner, sizes)])
 
     @staticmethod
     def one_edit(a: bytes, b: bytes) -> bool:
@@ -121,25 +133,33 @@ class Spelling(dict):
         x, y = a[same:], b[same:]
         return x[1:] == y[1:] or x[1:] == y or x == y[1:] or x[:2] == y[:2][::-1] and x[2:] == y[2:]
 
-    def __missing__(self, word: bytes) -> int:
-        found = 0
-        if SPELT - 1 <= len(word) <= 64:
-            marks, mask = self.marks, self.mask
-            asked = [v for i in range(len(word)) if marks[hash(v := word[:i] + word[i + 1 :]) & mask]]
-            if marks[hash(word) & mask]:
-                asked.append(word)
-            near: set[int] = set()
-            for v in asked:
-                h = np.uint64(xxhash.xxh64_intdigest(v))
-                low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-                near.update(self.ids[low:high].tolist())
-            near = [i for i in near if self.one_edit(word, self.names[i])]
-            found = near[0] if len(near) == 1 else 0
-        if len(self) > len(self.vocab) + self.MOST:
-            self.clear()
-            self.update(self.vocab)
-        self[word] = found
-        return found
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.known) + len(new) > len(self.vocab) + self.MOST:
+            self.known = dict(self.vocab)
+        self.known.update(dict.fromkeys(new, 0))
+        new = [w for w in new if SPELT - 1 <= len(w) <= self.WIDE]
+        for first in range(0, len(new), 50_000):
+            some = new[first : first + 50_000]
+            hashes, owner = self._hashes(some)
+            marked = np.flatnonzero(self.marks[hashes >> self.bits])
+            low, high = (np.searchsorted(self.hashes, hashes[marked], side) for side in ("left", "right"))
+            near: dict[int, set[int]] = {}
+            for k in np.flatnonzero(high > low).tolist():
+                near.setdefault(int(owner[marked[k]]), set()).update(self.ids[low[k] : high[k]].tolist())
+            for k, ids in near.items():
+                found = [i for i in ids if self.one_edit(some[k], self.names[i])]
+                if len(found) == 1:
+                    self.known[some[k]] = found[0]
+
+    def __call__(self, words_: list[bytes]) -> np.ndarray:
+        """The id of each word."""
+        out = np.fromiter(map(self.known.get, words_, repeat(-1)), dtype=np.int32, count=len(words_))
+        new = out < 0
+        if new.any():
+            rest = list(compress(words_, new.tolist()))
+            self._learn(list(set(rest)))
+            out[new] = np.fromiter(map(self.known.__getitem__, rest), dtype=np.int32, count=len(rest))
+        return out
 
 
 @dataclass
@@ -152,6 +172,10 @@ class Group:
     need: int  # marked words that any match holds
     steps: int
     members: np.ndarray
+    words: np.ndarray  # counted words, ascending
+    first: np.ndarray  # where the holders of each begin in ``holders``
+    holders: np.ndarray  # places among the members
+    least: np.ndarray  # counted words that any match of each member holds
     tables: list = field(default_factory=list)  # (walk, sampled steps, sorted keys, item of each key, word of the item where its walk starts)
     recall: float = 0.0  # of edited copies
     exact: bool = False  # the recall wasn't reached: all counted windows are verified
@@ -188,7 +212,13 @@ class Index:
             members = np.array(sorted(m for x in own for m in kinds[kind, x]))
             need = min(len(self.counted[k]) - edits_allowed(len(self.items[k]), similarity) for k in members)
             # Beyond 63 groups the last ones share a mark, which only makes the count less strict.
-            g = Group(low, own[-1], min(len(self.groups), 63), max(1, need), max(SAMPLED, int(1.5 * min(low, CHUNK))), members)
+            least = np.maximum(1, [len(self.counted[k]) - edits_allowed(len(self.items[k]), similarity) for k in members])
+            sets = [np.unique(self.counted[k]) for k in members]
+            flat, holder = np.concatenate(sets), np.repeat(np.arange(len(members)), list(map(len, sets)))
+            order = np.argsort(flat, kind="stable")
+            held_by, first = np.unique(flat[order], return_index=True)
+            steps = max(SAMPLED, int(1.5 * min(low, CHUNK)))
+            g = Group(low, own[-1], min(len(self.groups), 63), max(1, need), steps, members, held_by, np.append(first, len(flat)), holder[order], least)
             self.marks[np.concatenate([self.counted[k] for k in members])] |= np.uint64(1 << g.bit)
             self.groups.append(g)
             self._build(g, recall, rng)
@@ -288,7 +318,7 @@ class Index:
         leaks into it, by its best match. The texts of a batch are searched as one sequence; matches keep to one text."""
         split = [words(t) for t in texts]
         lengths = list(map(len, split))
-        ids = np.fromiter(map(self.spelling.__getitem__, chain.from_iterable(split)), dtype=np.int32, count=sum(lengths))
+        ids = self.spelling(list(chain.from_iterable(split)))
         bounds = np.cumsum([0, *lengths])  # where each text begins among the words
         padded = self.padded(ids)
         best: list[dict] = [{} for _ in texts]
@@ -301,19 +331,45 @@ class Index:
             pos = marked[(marks >> np.uint64(g.bit)) & np.uint64(1) == 1]
             if len(pos) < g.need:
                 continue
-            first, last = pos[: len(pos) - g.need + 1], pos[g.need - 1 :]
-            near = last - first < width
-            if near.any():
+            first, last = self._runs(g, pos, ids[pos], len(ids), width)
+            if len(first):
                 # Windows from last - width + 1 to first hold all of these; walks over long items also start further on in them.
                 reach = 0 if g.high < 2 * CHUNK or g.exact else g.high
                 edge = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.add.at(edge, np.maximum(last[near] - width + 1, 0), 1)
-                np.add.at(edge, np.minimum(first[near] + reach + 1, len(ids)), -1)
+                np.add.at(edge, np.maximum(last - width + 1, 0), 1)
+                np.add.at(edge, np.minimum(first + reach + 1, len(ids)), -1)
                 starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 pairs = self._counted(g, ids, bounds, starts, width) if g.exact else self._met(g, padded, starts, turned)
                 self._verify(g, ids, bounds, pairs, width, best)
         return [[(self.ids[k], d, len(self.items[k]), e) for k, (d, e) in sorted(b.items())] for b in best]
 
+    @staticmethod
+    def _runs(g: Group, pos: np.ndarray, ids: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) place of each run of marked words ``ids`` at ``pos`` that holds enough words of one and the same member within ``width``.
+
+        Where words have very many holders, runs of enough words of any members are given, which are a superset."""
+        near = np.flatnonzero(pos[g.need - 1 :] - pos[: len(pos) - g.need + 1] < width)
+        if not len(near):
+            return pos[:0], pos[:0]
+        # Only words of such runs can be in a run of one member.
+        edge = np.zeros(len(pos) + 1, dtype=np.int64)
+        np.add.at(edge, near, 1)
+        np.add.at(edge, near + g.need, -1)
+        some = np.cumsum(edge[:-1]) > 0
+        kept, found = pos[some], np.searchsorted(g.words, ids[some])
+        known = g.words[np.minimum(found, len(g.words) - 1)] == ids[some]  # beyond 63 groups, marks are shared
+        kept, found = kept[known], found[known]
+        n = g.first[found + 1] - g.first[found]
+        if n.sum() > 16 * len(pos):
+            return pos[near], pos[near + g.need - 1]
+        which = np.repeat(g.first[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        stride = size + width + 1
+        keys = np.sort(g.holders[which].astype(np.int64) * stride + np.repeat(kept, n))
+        end = np.arange(len(keys)) + g.least[keys // stride] - 1
+        ok = np.flatnonzero(end < len(keys))
+        ok = ok[keys[end[ok]] - keys[ok] < width]
+        return keys[ok] % stride, keys[end[ok]] % stride
+
     def _met(self, g: Group, padded: np.ndarray, starts: np.ndarray, turned: dict[int, np.ndarray]) -> np.ndarray:
         """(item, word where it would begin, word where a walk met it) by the tables. ``turned`` keeps the words' turns of each walk."""
         by_walk: dict[int, list] = {}

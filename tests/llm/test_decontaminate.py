@@ -41,15 +41,17 @@ def respelt(words, vocab, made=None):
     return [made.get(w, w) for w in words]
 
 
-def test_spelling_against_brute_force():
+def test_spelling_against_brute_force(monkeypatch):
     rng = random.Random(8)
     word = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
     vocab = {word(rng.randint(3, 9)) for _ in range(300)}
     spelling = dc.Spelling({w: k + 1 for k, w in enumerate(sorted(vocab))})
-    for _ in range(1500):
-        w = word(rng.randint(1, 10))
-        want = respelt([w], vocab)[0]
-        assert spelling[w] == (spelling.vocab.get(want, 0)), (w, want)
+    asked = [word(rng.randint(1, 10)) for _ in range(1500)] + [w[:-1] for w in vocab] + [w + b"a" for w in vocab] + [b"x" * 100, b"a" * 41]
+    for some in (asked, asked[::-1]):  # the second time from memory
+        got = spelling(some)
+        assert got.tolist() == [spelling.vocab.get(respelt([w], vocab)[0], 0) for w in some]
+    monkeypatch.setattr(dc.Spelling, "MOST", 100)
+    assert spelling(asked).tolist() == got[::-1].tolist() == dc.Spelling(spelling.vocab)(asked).tolist()
 
 
 def test_letters_edited_in_most_words_are_found():
@@ -88,6 +90,13 @@ def test_recall_at_every_length(n):
     assert np.mean([any(f[0] == i for f in own) for (i, _), own in zip(items, found, strict=True)]) >= 0.97
 
 
+def test_typing_errors_in_a_sentence():
+    item = "the quick brown foxes jumped over lazy sleeping dogs beside rivers flowing under bridges"
+    index = dc.Index([(1, item.encode()), (2, b"an entirely different question about mountains and valleys of another country")])
+    found = index.search([b"so: The quikc bronw foxes jmuped over lzay slepeing dogs besdie rivres flowing undre brigdes, they say", b"the quick brown answer to mountains beside rivers"])
+    assert [[f[0] for f in own] for own in found] == [[1], []]
+
+
 def test_the_index_is_small_and_soon_made():
     rng = np.random.default_rng(2)
     items = [(i, " ".join(f"v{x}" for x in (20000 * rng.random(1000) ** 2).astype(int)).encode()) for i in range(1000)]
