@@ -79,6 +79,31 @@ def aggregate_intent(question: Column) -> Column:
     )
 
 
+#: Words before a number, and the comparison that they ask for. Fixed values.
+COMPARISONS = {
+    ">=": "at least|no less than|not less than|minimum of", "<=": "at most|no more than|not more than|up to|maximum of", ">": "more than|greater than|over|above|exceeding|higher than|after|longer than",
+    "<": "less than|fewer than|under|below|lower than|before|shorter than", "=": "exactly|equal to|equals",
+}
+
+
+def comparisons(question: Column) -> Column:
+    """array<struct<op, value>>: the numbers that a question compares with; both ends of "between x and y"."""
+    number = r"(?:\s+than)?\s+(?:of\s+)?(?:\$\s*)?(-?\d+(?:\.\d+)?)(?![\w.]*\w)"
+    q, rest, found = F.lower(question), F.lower(question), []
+
+    def tagged(values: Column, op: str) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(op).alias("op"), x.cast("double").alias("value")))
+
+    for op, words in COMPARISONS.items():  # the longer phrases first, which are then taken out
+        each = F.regexp_extract_all(rest, F.lit(rf"\b(?:{words}){number}"), F.lit(1))
+        found.append(tagged(each, op))
+        rest = F.regexp_replace(rest, rf"\b(?:{words}){number}", " ")
+    for op, group in ((">=", 1), ("<=", 2)):
+        ends = F.regexp_extract_all(q, F.lit(r"\bbetween\s+(-?\d+(?:\.\d+)?)\s+and\s+(-?\d+(?:\.\d+)?)"), F.lit(group))
+        found.append(tagged(ends, op))
+    return F.concat(*found)
+
+
 def requirements(question: Column) -> Column:
     """What a question asks for, as one struct."""
     numbers = F.transform(F.regexp_extract_all(question, F.lit(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])"), F.lit(1)), lambda x: x.cast("double"))
@@ -92,6 +117,7 @@ def requirements(question: Column) -> Column:
         F.nullif(grouping(question), F.lit("")).alias("grouping"),
         quantifiers(question).alias("quantifiers"),
         numbers.alias("numbers"),
+        comparisons(question).alias("comparisons"),
         F.regexp_extract_all(question, F.lit(r"'([^']*)'"), F.lit(1)).alias("literals"),
         F.filter(outputs, lambda x: (x != "") & (F.size(F.split(x, " ")) <= 6)).alias("outputs"),
     )

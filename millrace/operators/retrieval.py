@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 
@@ -57,6 +58,100 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 20, where: Column | No
     return top_k(out, k)
 
 
+#: Vectors that lists are fitted on at most; rounds of the fit; share of true neighbours that the number of probed lists is chosen for.
+IVF_SAMPLE, IVF_ROUNDS, IVF_RECALL = 20_000, 8, 0.97
+
+
+def ivf_fit(chunks: DataFrame, lists: int | None = None, k: int = 10, recall: float = IVF_RECALL, seed: int = 7) -> tuple[np.ndarray, int]:
+    """(centres of the lists, lists to probe) for :func:`dense_ivf`, fitted on the vectors of the least hashes, ``IVF_SAMPLE`` at most.
+
+    Centres are of unit vectors, by rounds of nearest centre and mean. Of the sample's own vectors as queries, so many lists are probed that
+    ``recall`` of their true neighbours in the sample are found. There are as many lists as the root of the number of chunks, unless told otherwise.
+    """
+    rows = chunks.filter("vector is not null").select(F.xxhash64("chunk_id", F.lit(seed)).alias("h"), F.col("vector").cast("array<double>").alias("v"))
+    sample = _unit(rows.orderBy("h").limit(IVF_SAMPLE).select("v").toArrow().column("v"))
+    sample = sample[(sample != 0).any(axis=1)]
+    if not len(sample):
+        return np.zeros((1, 1)), 1
+    n = lists or int(chunks.count() ** 0.5)
+    n, rng = max(1, min(n, len(sample) // 4 or 1)), np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), n, replace=False)].copy()
+    for _ in range(IVF_ROUNDS):
+        own = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
+    own, asked = (sample @ centres.T).argmax(axis=1), sample[rng.choice(len(sample), min(len(sample), 500), replace=False)]
+    true = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, :k]
+    rank = np.empty((len(asked), n), dtype=np.int64)  # the place at which each list is probed
+    np.put_along_axis(rank, np.argsort(-(asked @ centres.T), axis=1, kind="stable"), np.arange(n)[None, :], axis=1)
+    needed = np.sort(np.take_along_axis(rank, own[true], axis=1).ravel())
+    return centres, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
+def ivf_index(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``chunks`` (chunk_id, vector, ..) with ``list``, the nearest centre; null without a vector. Every row is indexed; meant to be stored."""
+    held = chunks.sparkSession.sparkContext.broadcast(centres)
+    columns, schema = chunks.columns, StructType([*chunks.schema.fields, StructField("list", IntegerType())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _unit(pa.chunked_array([batch.column(columns.index("vector"))]))
+            if not len(m):
+                continue
+            ok = (m != 0).any(axis=1) if m.shape[1] == held.value.shape[1] else np.zeros(len(m), dtype=bool)
+            own = np.zeros(len(m), dtype=np.int32)
+            own[ok] = (m[ok] @ held.value.T).argmax(axis=1)
+            yield batch.append_column("list", pa.array(own, pa.int32(), mask=~ok))
+
+    return chunks.mapInArrow(assign, schema)
+
+
+def dense_ivf(queries: DataFrame, index: DataFrame, centres: np.ndarray, probes: int, k: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As :func:`dense`, of the ``probes`` lists nearest to each query alone: work is the share of lists that are probed, and neighbours in
+    other lists are missed. With as many probes as lists nothing is."""
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    blocks = max(1, -(-n * 8 * width // block_bytes))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(index.dtypes)['chunk_id']}, score double"
+    pool, out = index.filter("list is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("v"), "list"), None
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        unit = _unit(rows.column("v"))
+        live = (unit != 0).any(axis=1)
+        near = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes] if unit.shape[1] == centres.shape[1] else np.empty((len(unit), 0), dtype=np.int64)
+        of_list = [np.flatnonzero((near == x).any(axis=1) & live) for x in range(len(centres))]
+        block = queries.sparkSession.sparkContext.broadcast((rows.column("query_id").combine_chunks(), unit, of_list))
+        made = pool.mapInArrow(lambda batches, block=block: _probed(batches, *block.value, k), schema)
+        out = made if out is None else out.unionByName(made)
+    return top_k(out, k)
+
+
+def _probed(batches: Iterator[pa.RecordBatch], ids: pa.Array, asked: np.ndarray, of_list: list[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of a batch for each query of a block that probes their list."""
+    for batch in batches:
+        if not batch.num_rows or not len(asked):
+            continue
+        chunk, m, lists = np.array(batch.column(0).to_pylist()), _unit(pa.chunked_array([batch.column(1)])), batch.column(2).to_numpy(zero_copy_only=False)
+        q, c, s = [], [], []
+        for x in np.unique(lists):
+            rows, own = np.flatnonzero(lists == x), of_list[int(x)]
+            if len(own):
+                scores = np.einsum("ij,kj->ik", asked[own], m[rows])
+                q.append(np.repeat(own, len(rows)))
+                c.append(np.tile(rows, len(own)))
+                s.append(scores.ravel())
+        if q:
+            q, c, s = np.concatenate(q), np.concatenate(c), np.concatenate(s)
+            order = np.lexsort((chunk[c], -s, q))
+            q, c, s = q[order], c[order], s[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q) < k
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(q[best])), pa.array(chunk[c[best]], batch.schema.field(0).type), pa.array(s[best])], names=["query_id", "chunk_id", "score"]
+            )
+
+
 def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
     """Vectors of length 1, one a row; zeros where there is no vector or no direction. All have one width."""
     width = max((len(v) for v in vectors.to_pylist() if v is not None), default=0)

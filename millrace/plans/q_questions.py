@@ -18,6 +18,7 @@ QUESTIONS = [
 TERMS = [("customer", "customer"), ("customers", "customer"), ("order", "orders"), ("orders", "orders"), ("line item", "lineitem"), ("supplier", "supplier"), ("suppliers", "supplier"), ("part", "part"), ("parts", "part"), ("region", "region"), ("item", "benchmark"), ("customer orders", "orders")]
 
 
+WORDINGS = ["parts of more than #", "sizes under # please", "at least # of them, and not more than 99.5", "between # and 70", "exactly # parts", "the # largest parts", "no more than # parts"]
 MISSPELT = [
     (1, "how many custmers per regoin"), (2, "the suplier of every line itm"), (3, "customer ordrs and parts"), (4, "weather of tomorrow"), (5, "suppliers of suplliers in regions"), (6, "odrer by cutsomer and supplir, part, item, regoin"),
 ]
@@ -69,6 +70,15 @@ def nl_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("query_id", "r.aggregate", "r.grouping", F.array_join(F.transform("r.numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.array_join("r.literals", ",").alias("literals"))
 
 
+def nl_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that questions compare with: of every part's size in five wordings, and between two of its values."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("s"))
+    said = F.element_at(F.array(*[F.lit(w) for w in WORDINGS]), (F.col("p_partkey") % len(WORDINGS) + 1).cast("int"))
+    asked = p.select("p_partkey", F.replace(said, F.lit("#"), F.col("s")).alias("question"))
+    made = asked.select("p_partkey", F.explode(Q.comparisons(F.col("question"))).alias("c"))
+    return made.select("p_partkey", "c.op", "c.value")
+
+
 def fuzzy_code_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of questions against part types, by similarity of 85 or more."""
     asked = spark.createDataFrame([(1, "all medum and larg things"), (2, "the economi kind, not promoo")], "query_id int, question string")
@@ -124,7 +134,7 @@ def error_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nl_expand, nl_intent, nl_intent_conversations, nl_entities_exact, nl_entities_fuzzy, label_filters, answers_parsed, ambiguity_routing, nl_status_codes, nl_quantifiers, nl_requirements, fuzzy_code_match,
+        nl_expand, nl_intent, nl_intent_conversations, nl_entities_exact, nl_entities_fuzzy, label_filters, answers_parsed, ambiguity_routing, nl_status_codes, nl_quantifiers, nl_requirements, nl_comparisons, fuzzy_code_match,
         glossary_expansion, schema_vocabulary, error_tables,
     )
 }
@@ -147,6 +157,9 @@ SELECT *, greatest({', '.join(Q.INTENTS)}) AS best FROM (SELECT {_SCORES} FROM c
     "nl_quantifiers": "SELECT * FROM (VALUES (1, '', false), (2, 'all,any', true), (3, 'all', false), (4, '', false), (5, '', false), (6, '', false), (7, '', false), (8, 'most', false)) AS t(query_id, quantifiers, negative)",
     "nl_requirements": """SELECT * FROM (VALUES (1, 'count', 'customer', '', ''), (2, NULL, NULL, '', ''), (3, NULL, NULL, '', ''), (4, 'sum', NULL, '', ''), (5, NULL, NULL, '', 'closed'),
 (6, NULL, 'region', '100.5', ''), (7, 'percent', NULL, '', ''), (8, 'count', NULL, '', '')) AS t(query_id, aggregate, grouping, numbers, literals)""",
+    "nl_comparisons": """WITH w AS (SELECT p_partkey, p_partkey % 7 AS k, p_size::DOUBLE AS s FROM part)
+SELECT p_partkey, '>' AS op, s AS value FROM w WHERE k = 0 UNION ALL SELECT p_partkey, '<', s FROM w WHERE k = 1 UNION ALL SELECT p_partkey, '>=', s FROM w WHERE k = 2 UNION ALL SELECT p_partkey, '<=', 99.5 FROM w WHERE k = 2
+UNION ALL SELECT p_partkey, '>=', s FROM w WHERE k = 3 UNION ALL SELECT p_partkey, '<=', 70 FROM w WHERE k = 3 UNION ALL SELECT p_partkey, '=', s FROM w WHERE k = 4 UNION ALL SELECT p_partkey, '<=', s FROM w WHERE k = 6""",
     "fuzzy_code_match": """WITH words(query_id, token) AS (VALUES (1, 'medum'), (1, 'larg'), (1, 'things'), (2, 'economi'), (2, 'kind'), (2, 'promoo')),
 codes AS (SELECT DISTINCT lower(p_type) AS code FROM part UNION VALUES ('economy'), ('promo'), ('large')),
 p AS (SELECT query_id, token, code, 100.0::DOUBLE * (1 - levenshtein(token, code) / greatest(length(token), length(code))::DOUBLE) AS score FROM words, codes)

@@ -36,6 +36,18 @@ def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def dense_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted-list index against the exact search: how many queries, whether 90% of their ten neighbours are found, and whether probing all lists loses none."""
+    v, q = _vectors(spark, sf_dir).select("chunk_id", "vector"), _queries(spark, sf_dir)
+    centres, probes = R.ivf_fit(v)
+    index = stage(R.ivf_index(v, centres), "ivf")
+    true = stage(R.dense(q, v, 10).select("query_id", "chunk_id"), "true")
+    found = lambda n: R.dense_ivf(q, index, centres, n, 10).select("query_id", "chunk_id").join(true, ["query_id", "chunk_id"]).groupBy().agg(F.count("*").alias("n"))
+    some, every = (found(n).select(F.col("n").alias(name)) for n, name in ((probes, "some"), (len(centres), "every")))
+    sizes = true.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("all"))
+    return sizes.crossJoin(some).crossJoin(every).select("queries", (F.col("some") >= 0.9 * F.col("all")).alias("enough"), (F.col("every") == F.col("all")).alias("lossless"), F.lit(probes < len(centres)).alias("fewer"))  # one row each
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
@@ -138,7 +150,7 @@ def mandatory_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_cosine_topk, dense_filtered, bm25_topk, bm25_two_analyzers, bm25_fields, postings_store, rrf_fuse, score_floor, topk_margin_disambiguation, context_budget,
+        dense_cosine_topk, dense_filtered, dense_ivf_recall, bm25_topk, bm25_two_analyzers, bm25_fields, postings_store, rrf_fuse, score_floor, topk_margin_disambiguation, context_budget,
         chunk_generation, chunk_counts, graph_expansion, mandatory_chunks,
     )
 }
@@ -192,6 +204,7 @@ made AS (
 ORACLE_SQL = {
     "dense_cosine_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_TOP} cos) WHERE rank < 20",
     "dense_filtered": f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_TOP} cos WHERE label = 1) WHERE rank < 3",
+    "dense_ivf_recall": "SELECT count(*) AS queries, true AS enough, true AS lossless, true AS fewer FROM embeddings WHERE vec_id % 20 = 0",
     "bm25_topk": f"WITH {_LOWER} SELECT query_id, chunk_id, score, rank FROM ({_TOP} abm) WHERE rank < 20",
     "bm25_two_analyzers": f"""WITH {_LOWER}, {_RAW}
 SELECT query_id, chunk_id, score, rank FROM ({_TOP} (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM abm UNION ALL SELECT * FROM bbm) GROUP BY ALL)) WHERE rank < 20""",

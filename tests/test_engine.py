@@ -331,3 +331,52 @@ def _edits(a, b):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
     return row[-1]
+
+
+def test_inverted_lists(spark):
+    """Recall by the lists that the fit chooses, nothing lost with all of them, every row indexed, string ids, odd vectors."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 3
+    rows = [(f"c{i:04d}", (centres[i % 12] + rng.normal(size=8)).tolist()) for i in range(900)] + [("z0", [0.0] * 8), ("z1", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, vector array<double>").repartition(4)
+    asked = df.filter("chunk_id like 'c%0'").select(F.col("chunk_id").alias("query_id"), "vector")
+    fitted, probes = R.ivf_fit(df, 16)
+    index = R.ivf_index(df, fitted)
+    assert index.count() == len(rows) and index.filter("list is null").count() == 2 and index.columns == ["chunk_id", "vector", "list"]
+    true = {(r.query_id, r.chunk_id) for r in R.dense(asked, df, 10).collect()}
+    some = {(r.query_id, r.chunk_id) for r in R.dense_ivf(asked, index, fitted, probes, 10).collect()}
+    every = {(r.query_id, r.chunk_id) for r in R.dense_ivf(asked, index, fitted, len(fitted), 10).collect()}
+    assert probes < len(fitted) and len(some & true) >= 0.9 * len(true) and every == true
+    none = df.limit(0)
+    fitted, probes = R.ivf_fit(none)
+    assert R.dense_ivf(asked, R.ivf_index(none, fitted), fitted, probes).count() == 0
+
+
+def test_comparisons(spark):
+    from pyspark.sql import functions as F
+
+    ask = ["more than 5 and no more than 9", "between 3 and 4.5", "over 100 orders, under -2", "5 orders", "at least 7 or exactly 8", None]
+    got = [None if r.c is None else sorted((x.op, x.value) for x in r.c) for r in spark.createDataFrame([(i, q) for i, q in enumerate(ask)], "i int, q string").orderBy("i").select(Q.comparisons(F.col("q")).alias("c")).collect()]
+    assert got[:5] == [[("<=", 9.0), (">", 5.0)], [("<=", 4.5), (">=", 3.0)], [("<", -2.0), (">", 100.0)], [], [("=", 8.0), (">=", 7.0)]]
+
+
+def test_tools():
+    from millrace.tools import ToolClient, ToolError, Tools, ToolServer, plain
+
+    assert plain({"a": [1 << 60, 1.5, None, True]}) == {"a": [str(1 << 60), 1.5, None, True]}
+    tools = Tools()
+    tools.named["twice"] = lambda tenant, x: {"x": 2 * x, "tenant": tenant}
+    tools.named["broken"] = lambda tenant: 1 / 0
+    with ToolServer(tools, tenants={"key": 7}) as server:
+        client = ToolClient(server.url, "key")
+        assert client.twice(x=4) == {"x": 8, "tenant": 7} and ToolClient(server.url).twice(x=1)["tenant"] is None
+        for call, text in ((lambda: client.none(), "no tool"), (lambda: client.twice(y=1), "wrong arguments"), (lambda: client.broken(), "ZeroDivisionError"), (lambda: ToolClient(server.url, "bad").twice(x=1), "unknown token")):
+            with pytest.raises(ToolError, match=text):
+                call()
+        url = server.url
+    with pytest.raises(ToolError, match="no answer") as e:
+        ToolClient(url, timeout=1, tries=2).twice(x=1)
+    assert e.value.retryable
