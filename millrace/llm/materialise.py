@@ -35,7 +35,7 @@ ROUNDS = 6
 #: Bytes of text that a range gets on average; there are at least ``spark.sql.shuffle.partitions`` ranges.
 RANGE_BYTES = 256 << 20
 #: What the compression's dictionary is trained on: so many texts at most, so many characters of each. It bears on sizes alone, never on results.
-SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 4096, 65536
+SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 1000, 4096, 1 << 18, 5
 
 
 def default_path() -> str:
@@ -108,7 +108,7 @@ class Packer:
 
     def __init__(self, dictionary: bytes):
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self.pack = zstandard.ZstdCompressor(level=6, dict_data=known).compress
+        self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=known).compress
         self.unpack = zstandard.ZstdDecompressor(dict_data=known).decompress
 
 
