@@ -8,7 +8,7 @@ Slots are range-partitioned into shards of fixed-stride records, so that record
 order is at a known byte of a known shard, and a reader can resume anywhere.
 
 The stream's order is that of a hash of doc_id and text, so slots depend on the data and the key alone, and rows
-without an id spread like others; rows that agree in both share one range. Token ids are shuffled twice, compressed with a
+without an id spread like others, and so do very many rows that agree in both. Token ids are shuffled twice, compressed with a
 dictionary: once into hash ranges, to number the stream, and once, as whole sequences, into slots. The number of ranges comes from
 the counted bytes of the texts.
 """
@@ -34,6 +34,8 @@ END = 50256
 ROUNDS = 6
 #: Bytes of text that a range gets on average; there are at least ``spark.sql.shuffle.partitions`` ranges.
 RANGE_BYTES = 256 << 20
+#: Rows of one doc_id and text that share one place in the stream at most.
+REPEATS = 10_000
 #: What the compression's dictionary is trained on: so many texts at most, so many characters of each. It bears on sizes alone, never on results.
 SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 1000, 4096, 1 << 18, 5
 
@@ -145,6 +147,28 @@ def tokenised(
     return common.per_text(docs, keep, "text", pa.schema([("n", pa.int64()), ("ids", pa.binary())]), score)
 
 
+def _keyed_tokens(docs: DataFrame, path: str, end: int, kind: str, known: bytes) -> DataFrame:
+    """doc_id, h, th, n, ids of every row; h is its place in the stream, th its text's hash.
+
+    Rows that agree in doc_id and text have one place, unless there are more than ``REPEATS`` of them: these are counted, tokenised once,
+    and their copies spread by a running number, so that no range gets them all.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    place = lambda *more: F.shiftrightunsigned(F.xxhash64("doc_id", "th", *more), 1).alias("h")
+    many = rows.groupBy("doc_id", "th").agg(F.count("*").alias("copies")).filter(F.col("copies") > REPEATS)
+    many = common.stage(many.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "copies"), "order-repeats")  # one row for each REPEATS rows at most
+    single = lambda df: tokenised(df.select("doc_id", "text", "th", place()), ["doc_id", "h", "th"], path, end, kind, known)
+    if many.isEmpty():
+        return single(rows)
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t"))
+    one = rows.join(many, same).groupBy("doc_id", "th", "copies").agg(F.min("text").alias("text"))
+    made = tokenised(one, ["doc_id", "th", "copies"], path, end, kind, known)
+    pieces = made.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / REPEATS)))).repartition("doc_id", "th", "__b")
+    ends = F.least(F.col("copies"), (F.col("__b") + 1) * REPEATS)
+    spread = pieces.withColumn("k", F.explode(F.sequence(F.col("__b") * REPEATS + 1, ends))).select("doc_id", place("k"), "th", "n", "ids")
+    return single(rows.join(many, same, "left_anti")).unionByName(spread)
+
+
 def training_order(
     docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None, end: int = END
 ) -> DataFrame:
@@ -161,9 +185,7 @@ def training_order(
     width = np.dtype(kind).itemsize
     known = dictionary(docs, path, kind, end)
     parts = common.ranges(docs, RANGE_BYTES)
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    marked = marked.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "th"), 1))
-    tokens = tokenised(marked, ["doc_id", "h", "th"], path, end, kind, known)
+    tokens = _keyed_tokens(docs, path, end, kind, known)
     ranges = F.shiftright(F.shiftright("h", 31) * F.lit(parts), 32)
     dealt = tokens.withColumn("p", ranges.cast("int")).repartitionById(parts, F.col("p"))
     # All columns are used, so that this and the rows below read one and the same exchange.

@@ -86,3 +86,18 @@ def test_ids_over_two_bytes_take_four(odd, tmp_path):
     assert materialise.id_type(materialise.default_path(), end) == "<u4" and materialise.id_type(materialise.default_path()) == "<u2"
     got = materialise.read_slots(uri, 0, len(rows), length, 3, "<u4")
     assert [x.tobytes() for x in got] == [bytes(r.record) for r in rows]
+
+
+def test_very_many_rows_of_one_text_are_spread(spark, docs, monkeypatch):
+    """The same records in every layout, all rows among them, and the copies in many ranges."""
+    monkeypatch.setattr(materialise, "REPEATS", 20)
+    same = spark.createDataFrame([(None, "a text that is there very often", "en", "a", 1)] * 90 + [(5000, None, "en", "a", 0)] * 41 + [(5001, "one more", "en", "a", 0)] * 20, docs.schema)
+    df = docs.unionByName(same)
+    made = [{r.slot: bytes(r.record) for r in materialise.training_order(d, 64, 4).collect()} for d in (df, df.repartition(7))]
+    assert made[0] == made[1]
+    ids = np.concatenate([np.frombuffer(x, "<u2") for _, x in sorted(made[0].items())])
+    assert abs(int((ids == materialise.END).sum()) - df.count()) < 64  # the last record is filled up
+    kind = materialise.id_type(materialise.default_path())
+    keys = materialise._keyed_tokens(df, materialise.default_path(), materialise.END, kind, b"").select("doc_id", "h").collect()
+    assert len(keys) == df.count() and len({r.h for r in keys if r.doc_id is None}) == 90 and len({r.h for r in keys if r.doc_id == 5000}) == 41
+    assert len({r.h for r in keys if r.doc_id == 5001}) == 1
