@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,6 +47,7 @@ def per_text(
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(score.__module__)
         for batch in batches:
             texts = [x or b"" for x in batch.column(len(keep)).cast(pa.binary()).to_pylist()]
             made = score(texts)
@@ -92,12 +94,32 @@ def numbered(df: DataFrame, order: list[str], name: str, label: str) -> DataFram
     return at.join(F.broadcast(offsets), "__part").withColumn(name, place).drop("__part", "__at", "__before")
 
 
+_remembering: list[weakref.ref] = []
+_owner: list[str] = []
+
+
+def remembers(thing: object) -> None:
+    """Says that ``thing`` remembers much in this process, which its ``clear`` gives back."""
+    _remembering[:] = [r for r in _remembering if r() is not None]
+    _remembering.append(weakref.ref(thing))
+
+
+def only(owner: str) -> None:
+    """Has what other operators remember given back: a Python worker serves one stage after the other."""
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        for r in _remembering:
+            if (thing := r()) is not None:
+                thing.clear()
+
+
 class Memo(dict):
     """What ``make`` gives for a chunk of text, remembered for chunks of at most 64 bytes; emptied when full."""
 
     def __init__(self, make: Callable[[bytes], object], most: int = 400_000):
         super().__init__()
         self.make, self.most = make, most
+        remembers(self)
 
     def __missing__(self, chunk: bytes) -> object:
         value = self.make(chunk)

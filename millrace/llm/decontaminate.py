@@ -86,13 +86,14 @@ class Spelling:
     out; a table of marks tells that most propose nothing, and what is proposed is compared letter by letter. Answers are remembered, with a bound.
     """
 
-    MOST = 300_000
+    MOST = 150_000
     MARKS = 16, 26  # bits of the least and greatest table of marks
     WIDE = 40  # letters of a word that is looked at, besides the vocabulary's own
     _BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, vocab: dict[bytes, int]):
         self.vocab, self.names, self.known = vocab, [b"", *vocab], dict(vocab)
+        common.remembers(self)
         self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.WIDE, self._BASE)]), dtype=np.uint64)
         self.back = np.uint64(pow(int(self._BASE), -1, 1 << 64))
         long = [w for w in vocab if SPELT <= len(w) <= self.WIDE]
@@ -106,6 +107,10 @@ class Spelling:
     def __reduce__(self) -> tuple:
         return Spelling, (self.vocab,)
 
+    def clear(self) -> None:
+        """Forgets all but the vocabulary."""
+        self.known = dict(self.vocab)
+
     def _hashes(self, words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hash, place of its word) of every word and of every word without each of its letters. A hash is a polynomial in the letters."""
         sizes = np.array(list(map(len, words_)), dtype=np.int64)
@@ -135,11 +140,11 @@ class Spelling:
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.known) + len(new) > len(self.vocab) + self.MOST:
-            self.known = dict(self.vocab)
+            self.clear()
         self.known.update(dict.fromkeys(new, 0))
         new = [w for w in new if SPELT - 1 <= len(w) <= self.WIDE]
-        for first in range(0, len(new), 50_000):
-            some = new[first : first + 50_000]
+        for first in range(0, len(new), 8192):
+            some = new[first : first + 8192]
             hashes, owner = self._hashes(some)
             marked = np.flatnonzero(self.marks[hashes >> self.bits])
             low, high = (np.searchsorted(self.hashes, hashes[marked], side) for side in ("left", "right"))

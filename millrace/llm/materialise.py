@@ -19,7 +19,7 @@ import base64
 import io
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +169,10 @@ def _keyed_tokens(docs: DataFrame, path: str, end: int, kind: str, known: bytes)
     return single(rows.join(many, same, "left_anti")).unionByName(spread)
 
 
+Batches = Iterator[pa.RecordBatch]
+_RECORDS = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, doc_tokens array<int>, record binary"
+
+
 def training_order(
     docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None, end: int = END
 ) -> DataFrame:
@@ -180,7 +184,12 @@ def training_order(
     Null doc_ids stay null; null and empty texts are one end id; very long texts go on over many sequences; repeated rows are all
     written; an empty table has no sequences. Columns besides doc_id and text are not read.
     """
-    path = path or default_path()
+    pieces, join = _in_order(docs, length, per_shard, key, path or default_path(), end)
+    return pieces.mapInArrow(join, _RECORDS)
+
+
+def _in_order(docs: DataFrame, length: int, per_shard: int, key: int, path: str, end: int) -> tuple[DataFrame, Callable[[Batches], Batches]]:
+    """(the pieces of all sequences, in range partitions of whole shards and in slot order; what makes records of a partition's batches)."""
     kind = id_type(path, end)
     width = np.dtype(kind).itemsize
     known = dictionary(docs, path, kind, end)
@@ -255,7 +264,7 @@ def training_order(
     target = F.floor(F.floor(F.col("slot") / F.lit(per_shard)) * F.lit(parts) / shards).cast("int")
     ranged = cuts.repartitionById(parts, target).sortWithinPartitions("slot", "start").select("slot", "doc_ids", "doc_tokens", "body")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Batches) -> Batches:
         packer, types = _packer(known), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 
         def row(slot: int, held: list) -> tuple:
@@ -283,9 +292,7 @@ def training_order(
         if held:
             yield table([row(slot, held)])
 
-    return ranged.mapInArrow(
-        join, "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, doc_tokens array<int>, record binary"
-    )
+    return ranged, join
 
 
 class ShardWriter:
@@ -366,15 +373,18 @@ def written_order(
     stride = length * np.dtype(id_type(path, end)).itemsize
     index = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, doc_tokens array<int>"
 
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pieces, join = _in_order(docs, length, per_shard, key, path, end)
+
+    def save(batches: Batches) -> Batches:
+        """Joins and writes in one Python worker, so that the records don't pass the JVM in between."""
         writer = ShardWriter(uri)
-        for batch in batches:
+        for batch in join(batches):
             for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 6)), strict=True):
                 writer.add(*row)
             yield batch.drop_columns(["record"])
         writer.close()
 
-    rows = common.stage(training_order(docs, length, per_shard, key, path, end).mapInArrow(save, index), "shards-index")
+    rows = common.stage(pieces.mapInArrow(save, index), "shards-index")
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs

@@ -32,3 +32,15 @@ def test_run(spark, sf):
     import corpus_pipeline as cp
 
     assert cp.run(spark, sf).count() > 0 and cp.ORACLE_SQL is None
+
+
+def test_a_worker_keeps_the_memory_of_one_operator():
+    from millrace.llm import decontaminate, quality
+
+    words, spelling = quality._Words(), decontaminate.Spelling({b"benchmark": 1})
+    common.only("a")
+    assert words.memo[b"word"] and spelling([b"benchmrak", b"word"]).tolist() == [1, 0]
+    common.only("a")
+    assert len(words.memo) == 1 and len(spelling.known) == 3
+    common.only("b")
+    assert not words.memo and spelling.known == {b"benchmark": 1}
