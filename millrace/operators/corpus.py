@@ -17,6 +17,9 @@ from ..sqlx import tokens
 LEAK = 0.85
 #: Words of a question and of a statement. Fixed values.
 MIN_WORDS, MIN_SQL, MAX_SQL = 4, 10, 800
+#: Templates of broken joins; wordings that ask for every one of something, and those that don't ask for all; wordings of an average duration. Fixed values.
+GARBAGE_JOIN = r"(?i)SELECT\s+\w+\.\*\s*,\s*\w+\.\*"
+EACH, NOT_ALL, DURATION = r" per | for each |including those with none", r" with | that have | assigned to ", "(average|avg) (duration|time)"
 #: Prompt styles that are trained on. Fixed values.
 CATEGORIES = ("Business Question → SQL", "")
 PAIR = ("nl_query", "sql", "reasoning", "source", "category", "line_no")
@@ -92,7 +95,7 @@ def gate(df: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
         F.when(~F.coalesce("category", F.lit("")).isin(*categories), "off_task_category")
         .when(F.col("_raw") == "", "empty_sql")
         .when(~begins.startswith("select") & ~begins.startswith("with"), "prose_no_sql")
-        .when(F.col("_raw").rlike(r"(?i)SELECT\s+\w+\.\*\s*,\s*\w+\.\*"), "garbage_join")
+        .when(F.col("_raw").rlike(GARBAGE_JOIN), "garbage_join")
         .when(F.col("_b.status").startswith("reject"), F.col("_b.status"))
         .when(nl == "", "empty_nl")
         .when(count(nl) < MIN_WORDS, "short_nl")
@@ -107,9 +110,9 @@ def gate(df: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
 def contract_broken(nl: Column, sql: Column) -> Column:
     """Whether a pair breaks what the guard asks of an answer: "per" or "for each" over inner joins alone, an average duration without EPOCH."""
     q, s = F.concat(F.lit(" "), F.lower(nl), F.lit(" ")), F.lower(sql)
-    per = q.rlike(r" per | for each |including those with none") & ~q.rlike(r" with | that have | assigned to ")
+    per = q.rlike(EACH) & ~q.rlike(NOT_ALL)
     inner = s.rlike(r"\bjoin\b") & ~s.rlike(r"\b(?:left|right|full)\s+(?:outer\s+)?join\b")
-    duration = q.rlike("(average|avg) (duration|time)") & ~s.rlike(r"extract ?\(epoch")
+    duration = q.rlike(DURATION) & ~s.rlike(r"extract ?\(epoch")
     return (per & s.rlike(r"\b(count|sum|avg|min|max)\s*\(") & inner) | duration
 
 
