@@ -15,6 +15,8 @@ pairs. Those go another, linear and exact way: see :func:`_dense_links`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,8 +32,9 @@ SEGMENT = 0xFFFFFFFF
 DENSE = 512
 #: Similar texts: Jaccard of word shingles, proposed by bands of min-hashes (a pair at 0.8 is missed by all 16 once in 96,000).
 LEAST, WIDE_SHINGLE, BANDS, PER_BAND = 0.8, 5, 16, 3
-#: In bands shared by more distinct texts than this, each is compared with two hubs and a hashed group of about ``GROUP``.
-CROWD, GROUP = 64, 8
+#: In bands shared by more distinct texts than this, each is compared with two hubs and a hashed group of about ``GROUP`` first; what
+#: that leaves apart goes to :func:`crowd_links`, in shares of ``SHARE`` texts, by parities of ``SKETCH`` words of 64 bits.
+CROWD, GROUP, SHARE, SKETCH = 64, 8, 512, 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -195,16 +198,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def similar_links(rows: DataFrame, texts: DataFrame, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
+def band_keys(rows: DataFrame) -> DataFrame:
+    """(h, f, key), staged: the bands of every text of other words. rows: __h (hash of the text), fp, words (hash of its lower-cased words), bands."""
+    one = rows.filter("size(bands) > 0").groupBy("words").agg(F.min(F.struct("__h", "fp", "bands")).alias("t"))
+    return common.stage(one.select(F.col("t.__h").alias("h"), F.col("t.fp").alias("f"), F.explode("t.bands").alias("key")), "similar-keys")
+
+
+def similar_links(keys: DataFrame, texts: DataFrame, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) between fingerprints over ``RADIUS`` apart of texts whose ``WIDE_SHINGLE``-shingles have Jaccard ``least`` or more.
 
-    rows: __h (hash of the text), fp, words (hash of its lower-cased words), bands. texts: __h, text. Texts of the same words are one.
-    Every pair that shares a band is verified on the complete sets. In a band of more than ``crowd`` texts every text is
-    verified against two hubs and a group of about ``GROUP``, others in each band, so that near copies of one text make no square of
-    pairs. Such a crowd hangs together by many random links; a text with very few similar ones among its crowd may be missed.
+    keys: see :func:`band_keys`. texts: __h, text. Every pair that shares a band is verified on the complete sets. In a band of more than
+    ``crowd`` texts every text is verified against two hubs and a group of about ``GROUP``, others in each band, so that near copies
+    of one text make no square of pairs. That joins most of such a crowd; the pairs of what it leaves apart are :func:`crowd_links`.
     """
-    one = rows.filter("size(bands) > 0").groupBy("words").agg(F.min(F.struct("__h", "fp", "bands")).alias("t"))
-    keys = common.stage(one.select(F.col("t.__h").alias("h"), F.col("t.fp").alias("f"), F.explode("t.bands").alias("key")), "similar-keys")
     mixed = F.struct(F.xxhash64("h", "key").alias("o"), "h", "f")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(mixed).alias("x"), F.max(mixed).alias("y")).filter("n > 1")
     sizes = common.stage(sizes, "similar-bands")
@@ -216,6 +222,55 @@ def similar_links(rows: DataFrame, texts: DataFrame, least: float = LEAST, crowd
     many = sizes.filter(F.col("n") > crowd).select("key", F.explode(F.array("x", "y")).alias("z"))
     starred = keys.join(many, "key").select(F.col("h").alias("ha"), F.col("f").alias("fa"), F.col("z.h").alias("hb"), F.col("z.f").alias("fb"))
     pairs = pairs.unionByName(starred.filter("ha <> hb")).filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) > RADIUS)
+    return _verified(pairs, texts, least)
+
+
+def crowd_links(keys: DataFrame, texts: DataFrame, labels: DataFrame, least: float = LEAST, crowd: int = CROWD, share: int = SHARE) -> DataFrame | None:
+    """Further edges (a, b), so that no pair that shares a band of more than ``crowd`` texts is left undecided; None where there are none.
+
+    labels: (node, root) of the components found so far. Pairs within one component need no edge. Of a pair of two, one at least isn't
+    of the band's largest component: these stragglers meet all texts of the band, dealt in shares. Sets of Jaccard ``least`` differ
+    in (1 - least) / (1 + least) of the sum of their sizes at most, and in as many hashed parities; who doesn't is dropped in the join, the others are verified on the complete sets.
+    """
+    many = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd)
+    members = keys.join(many, "key").join(labels.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    members = common.stage(members, "crowd")
+    roots = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    mixed = common.stage(members.join(roots.filter("roots > 1").select("key", "most"), "key").withColumn("lone", F.col("root") != F.col("most")), "crowd-mixed")
+    common.release(members)
+    if mixed.isEmpty():
+        return None
+    wanted = mixed.select(F.col("h").alias("__h")).distinct()
+    chosen = texts.join(wanted, "__h", "left_semi").groupBy("__h").agg(F.min("text").alias("text"))
+    names = [f"s{k}" for k in range(SKETCH)]
+
+    def score(batch: list[bytes]) -> list[list]:
+        sets = [np.unique(shingles(t, WIDE_SHINGLE)) for t in batch]
+        odd = [np.bincount((x >> np.uint64(64 - (64 * SKETCH - 1).bit_length())).astype(np.int64), minlength=64 * SKETCH) & 1 for x in sets]
+        bits = np.packbits(np.array(odd, dtype=np.uint8).reshape(len(sets), 64 * SKETCH), axis=1).view(np.int64)
+        return [[len(x) for x in sets], *bits.T.tolist()]
+
+    fields = pa.schema([("size", pa.int32()), *((x, pa.int64()) for x in names)])
+    sketched = common.stage(common.per_text(chosen, ["__h"], "text", fields, score).withColumnRenamed("__h", "h"), "crowd-sketches")
+    full = mixed.join(sketched, "h")
+    shares = F.ceil(F.col("n") / share)
+    lone = full.filter("lone").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    every = full.withColumn("g", F.pmod(F.xxhash64("h", "key", F.lit(2)), shares))
+    apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in names), F.lit(0))
+    meets = (
+        (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.g") == F.col("b.g"))
+        & (F.col("a.root") != F.col("b.root"))
+        & (~F.col("b.lone") | (F.col("a.h") < F.col("b.h")))
+        & (F.least("a.size", "b.size") >= F.lit(least) * F.greatest("a.size", "b.size") - 1e-9)
+        & (apart <= F.lit((1 - least) / (1 + least)) * (F.col("a.size") + F.col("b.size")) + 1e-6)
+    )
+    near = lone.alias("a").join(every.alias("b"), meets)
+    return _verified(near.select(*(F.col(f"{x}.{y}").alias(f"{y}{x}") for x in "ab" for y in "hf")), texts, least)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between the fingerprints of those pairs (ha, fa, hb, fb) whose complete sets have Jaccard ``least`` or more."""
     pairs = common.stage(pairs.distinct(), "similar-pairs")
     wanted = pairs.select(F.col("ha").alias("__h")).unionByName(pairs.select(F.col("hb").alias("__h"))).distinct()
     chosen = texts.join(wanted, "__h", "left_semi").groupBy("__h").agg(F.min("text").alias("text"))
@@ -236,16 +291,22 @@ def similar_links(rows: DataFrame, texts: DataFrame, least: float = LEAST, crowd
     return both.mapInArrow(verify, "fa long, fb long").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
 
 
-def classes(rows: DataFrame, best: Column, dense: int = DENSE, more: DataFrame | None = None) -> DataFrame:
+def classes(rows: DataFrame, best: Column, dense: int = DENSE, more: DataFrame | None = None, rest: Callable[[DataFrame], DataFrame | None] | None = None) -> DataFrame:
     """(fp, best): for every fingerprint of ``rows``, the least ``best`` of all rows of its component; ``more`` are further edges.
 
     ``best`` is reduced to one value for each fingerprint first, by a partial aggregate; all joins are of
-    distinct fingerprints, so a group of copies, however large, is one row in them.
+    distinct fingerprints, so a group of copies, however large, is one row in them. ``rest`` is given the components and gives the edges
+    that are still missing, if any.
     """
     distinct = common.stage(rows.groupBy("fp").agg(F.min(best).alias("best")), "simhash-fps")
     edges = links(distinct.select("fp"), dense)
     edges = common.stage(edges if more is None else edges.unionByName(more), "simhash-links")
-    roots = components(edges).withColumnRenamed("node", "fp")
+    roots = components(edges)
+    if rest is not None and (last := rest(roots)) is not None:
+        last = common.stage(last, "simhash-rest")
+        if not last.isEmpty():  # stars of what is known, and what was missing
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last))
+    roots = roots.withColumnRenamed("node", "fp")
     tagged = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = tagged.groupBy("root").agg(F.min("best").alias("best"))
     return tagged.drop("best").join(least, "root").select("fp", "best")
@@ -267,7 +328,7 @@ def near_dup_components(docs: DataFrame, dense: int = DENSE) -> DataFrame:
 def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """The rows of ``docs``, one of each component: its least doc_id (null last), then its least text hash.
 
-    Components are of links by fingerprint (``RADIUS``) and by similarity (``LEAST``), see :func:`similar_links`.
+    Components are of links by fingerprint (``RADIUS``) and by similarity (``LEAST``), see :func:`similar_links` and :func:`crowd_links`.
     All columns come back as they were. Repeated rows of the kept document are reduced to one, in every partition before they are
     shuffled. Null and empty texts have fingerprint 0 and are one group; an empty table stays empty.
     """
@@ -281,9 +342,10 @@ def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
 
     fields = pa.schema([("fp", pa.int64()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
     rows = common.stage(common.per_text(marked, ["doc_id", "__h"], "text", fields, score), "simhash")
-    more = similar_links(rows, marked.select("__h", "text"))
+    keys, texts = band_keys(rows), marked.select("__h", "text")
+    more = similar_links(keys, texts)
     best = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))
-    chosen = classes(rows, best, dense, more).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__kh")).distinct()
+    chosen = classes(rows, best, dense, more, lambda roots: crowd_links(keys, texts, roots)).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__kh")).distinct()
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kh"))
     others = [F.col(f"`{c}`").asc_nulls_last() for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double") and c != "text"]
     first = Window.partitionBy("doc_id", "__h").orderBy(*(others or [F.lit(0)]))

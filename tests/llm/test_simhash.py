@@ -141,3 +141,20 @@ def test_keep_one_of_a_crowd(spark):
     alike = lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     want = set(roots(range(len(rows)), alike).values())
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_keep_one_finds_the_only_partner_in_a_crowd(spark):
+    """Texts that share most words, so that bands are crowds, each with one similar text among them: every pair is found."""
+    rng = random.Random(6)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(220)], []
+    for k in range(0, 400, 2):
+        both = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+        for j in (k, k + 1):
+            rows.append((j, " ".join(base + both + [f"q{rng.randrange(10**6)}" for _ in range(20)])))
+    assert plain_jaccard(rows[0][1], rows[1][1]) >= 0.8 and plain_jaccard(rows[0][1], rows[2][1]) < 0.7
+    sets = [frozenset(simhash.shingles(t.encode(), 5).tolist()) for _, t in rows]
+    fps = [plain_fp(t) for _, t in rows]
+    alike = lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = set(roots(range(len(rows)), alike).values())
+    assert len(want) > 120
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
