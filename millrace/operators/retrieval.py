@@ -27,6 +27,8 @@ PRIORITY = {
 }
 #: Bytes of query vectors that are sent out and compared at once.
 BLOCK_BYTES = 32 << 20
+#: Scores of a matrix product that are held at once.
+SCORES = 1 << 20
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", tie: str = "chunk_id") -> DataFrame:
@@ -78,12 +80,12 @@ def ivf_fit(chunks: DataFrame, lists: int | None = None, k: int = 10, recall: fl
     n, rng = max(1, min(n, len(sample) // 4 or 1)), np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), n, replace=False)].copy()
     for _ in range(IVF_ROUNDS):
-        own = (sample @ centres.T).argmax(axis=1)
+        own = _closest(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
         norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
-    own, asked = (sample @ centres.T).argmax(axis=1), sample[rng.choice(len(sample), min(len(sample), 500), replace=False)]
+    own, asked = _closest(sample, centres), sample[rng.choice(len(sample), min(len(sample), 500), replace=False)]
     true = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, :k]
     rank = np.empty((len(asked), n), dtype=np.int64)  # the place at which each list is probed
     np.put_along_axis(rank, np.argsort(-(asked @ centres.T), axis=1, kind="stable"), np.arange(n)[None, :], axis=1)
@@ -91,6 +93,12 @@ def ivf_fit(chunks: DataFrame, lists: int | None = None, k: int = 10, recall: fl
     return centres, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
 
 
+def _closest(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of every row, in pieces of bounded size."""
+    step = max(1, SCORES // len(centres))
+    return np.concatenate([(m[i : i + step] @ centres.T).argmax(axis=1) for i in range(0, len(m), step)] or [np.empty(0, dtype=np.int64)])
+
+
 def ivf_index(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     """``chunks`` (chunk_id, vector, ..) with ``list``, the nearest centre; null without a vector. Every row is indexed; meant to be stored."""
     held = chunks.sparkSession.sparkContext.broadcast(centres)
@@ -103,7 +111,7 @@ def ivf_index(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
                 continue
             ok = (m != 0).any(axis=1) if m.shape[1] == held.value.shape[1] else np.zeros(len(m), dtype=bool)
             own = np.zeros(len(m), dtype=np.int32)
-            own[ok] = (m[ok] @ held.value.T).argmax(axis=1)
+            own[ok] = _closest(m[ok], held.value)
             yield batch.append_column("list", pa.array(own, pa.int32(), mask=~ok))
 
     return chunks.mapInArrow(assign, schema)
@@ -114,65 +122,64 @@ def dense_ivf(queries: DataFrame, index: DataFrame, centres: np.ndarray, probes:
     other lists are missed. With as many probes as lists nothing is."""
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"))
     n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    blocks = max(1, -(-n * 8 * width // block_bytes))
+    probes = min(probes, len(centres))
+    blocks = max(1, -(-n * (8 * width + (4 * probes if probes < len(centres) else 0)) // block_bytes))
     schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(index.dtypes)['chunk_id']}, score double"
     pool, out = index.filter("list is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("v"), "list"), None
     for b in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         unit = _unit(rows.column("v"))
-        live = (unit != 0).any(axis=1)
-        near = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes] if unit.shape[1] == centres.shape[1] else np.empty((len(unit), 0), dtype=np.int64)
-        of_list = [np.flatnonzero((near == x).any(axis=1) & live) for x in range(len(centres))]
-        block = queries.sparkSession.sparkContext.broadcast((rows.column("query_id").combine_chunks(), unit, of_list))
-        made = pool.mapInArrow(lambda batches, block=block: _probed(batches, *block.value, k), schema)
+        block = queries.sparkSession.sparkContext.broadcast((rows.column("query_id").combine_chunks(), unit, _askers(unit, centres, probes)))
+        made = pool.mapInArrow(lambda batches, block=block: _nearest(batches, *block.value[:2], k, block.value[2]), schema)
         out = made if out is None else out.unionByName(made)
     return top_k(out, k)
 
 
-def _probed(batches: Iterator[pa.RecordBatch], ids: pa.Array, asked: np.ndarray, of_list: list[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best chunks of a batch for each query of a block that probes their list."""
-    for batch in batches:
-        if not batch.num_rows or not len(asked):
-            continue
-        chunk, m, lists = np.array(batch.column(0).to_pylist()), _unit(pa.chunked_array([batch.column(1)])), batch.column(2).to_numpy(zero_copy_only=False)
-        q, c, s = [], [], []
-        for x in np.unique(lists):
-            rows, own = np.flatnonzero(lists == x), of_list[int(x)]
-            if len(own):
-                scores = np.einsum("ij,kj->ik", asked[own], m[rows])
-                q.append(np.repeat(own, len(rows)))
-                c.append(np.tile(rows, len(own)))
-                s.append(scores.ravel())
-        if q:
-            q, c, s = np.concatenate(q), np.concatenate(c), np.concatenate(s)
-            order = np.lexsort((chunk[c], -s, q))
-            q, c, s = q[order], c[order], s[order]
-            best = np.arange(len(q)) - np.searchsorted(q, q) < k
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(q[best])), pa.array(chunk[c[best]], batch.schema.field(0).type), pa.array(s[best])], names=["query_id", "chunk_id", "score"]
-            )
+def _askers(unit: np.ndarray, centres: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(queries, where each list's begin): the queries with a direction that probe a list, list by list; None if all probe all."""
+    if unit.shape[1] != centres.shape[1]:
+        return np.empty(0, dtype=np.int32), np.zeros(len(centres) + 1, dtype=np.int64)
+    if probes >= len(centres):
+        return None
+    live, step = np.flatnonzero((unit != 0).any(axis=1)).astype(np.int32), max(1, SCORES // len(centres))
+    near = [np.argsort(-(unit[live[i : i + step]] @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32) for i in range(0, len(live), step)]
+    lists = np.concatenate(near or [np.empty((0, probes), dtype=np.int32)]).ravel()
+    order = np.argsort(lists, kind="stable")
+    return live[order // probes], np.concatenate([[0], np.cumsum(np.bincount(lists, minlength=len(centres)))])
 
 
 def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
     """Vectors of length 1, one a row; zeros where there is no vector or no direction. All have one width."""
-    width = max((len(v) for v in vectors.to_pylist() if v is not None), default=0)
-    m = np.array([v if v is not None else [0.0] * width for v in vectors.to_pylist()], dtype=np.float64).reshape(len(vectors), width)
+    flat, widths = pc.list_flatten(vectors), pc.min_max(pc.list_value_length(vectors)).as_py()
+    if not vectors.null_count and not flat.null_count and widths["min"] == widths["max"] and widths["max"]:
+        m = flat.to_numpy().astype(np.float64).reshape(len(vectors), -1)
+    else:
+        width = max((len(v) for v in vectors.to_pylist() if v is not None), default=0)
+        m = np.array([v if v is not None else [0.0] * width for v in vectors.to_pylist()], dtype=np.float64).reshape(len(vectors), width)
     norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], ids: pa.Array, asked: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best chunks of a partition for each query of a block, ties by chunk_id."""
+def _nearest(batches: Iterator[pa.RecordBatch], ids: pa.Array, asked: np.ndarray, k: int, askers: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of a partition for each query of a block, ties by chunk_id; with ``askers`` (:func:`_askers`) only among those that ask a chunk's list.
+
+    ``SCORES`` scores are held at once, and what may still be among the k best: what scores below a query's k best so far is dropped.
+    """
     best: list = []  # (query, chunk_id, score) of what may still be among them
-    live = (asked != 0).any(axis=1)
-    kind = None
+    held, kind = 0, None
+    live = np.flatnonzero((asked != 0).any(axis=1))
+    floor = np.full(len(asked), -np.inf)
 
-    def cut(parts: list) -> list:
-        q, c, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    def cut() -> None:
+        nonlocal held
+        q, c, s = (np.concatenate([p[i] for p in best]) for i in range(3))
         order = np.lexsort((c, -s, q))
         q, c, s = q[order], c[order], s[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
-        return [(q[place < k], c[place < k], s[place < k])]
+        last = place == k - 1
+        floor[q[last]] = np.maximum(floor[q[last]], s[last] - 1e-9)
+        best[:] = [(q[place < k], c[place < k], s[place < k])]
+        held = len(best[0][0])
 
     for batch in batches:
         if not batch.num_rows:
@@ -180,20 +187,31 @@ def _nearest(batches: Iterator[pa.RecordBatch], ids: pa.Array, asked: np.ndarray
         kind = batch.schema.field(0).type
         chunk, m = np.array(batch.column(0).to_pylist()), _unit(pa.chunked_array([batch.column(1)]))
         some = (m != 0).any(axis=1)
-        chunk, m = chunk[some], m[some]
-        if not len(m) or m.shape[1] != asked.shape[1]:
+        if not some.any() or m.shape[1] != asked.shape[1]:
             continue
-        scores = asked @ m.T
-        scores[~live] = -np.inf
-        least = np.partition(scores, -k, axis=1)[:, -k][:, None] if len(m) > k else np.full((len(asked), 1), -np.inf)
-        # The product's last digits depend on its blocking: all that come near the k-th are scored anew, each by itself.
-        q, c = np.nonzero((scores >= least - 1e-9) & np.isfinite(scores))
-        exact = np.concatenate([np.einsum("ij,ij->i", asked[q[i : i + 65536]], m[c[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.empty(0)])
-        best.append((q, chunk[c], exact))
-        if sum(len(p[0]) for p in best) > 4 * k * max(1, len(asked)):
-            best = cut(best)
-    if best:
-        for q, c, s in cut(best):
+        if askers is None:
+            groups = [(np.flatnonzero(some), live)]
+        else:
+            lists = batch.column(2).to_numpy(zero_copy_only=False)
+            groups = [(np.flatnonzero((lists == x) & some), askers[0][askers[1][x] : askers[1][x + 1]]) for x in np.unique(lists[some]).astype(int)]
+        for rows, own in groups:
+            of, step = m[rows].T, max(1, SCORES // max(1, len(rows)))
+            for i in range(0, len(own), step):
+                o = own[i : i + step]
+                scores = asked[o] @ of
+                # The product's last digits depend on its blocking: all that come near the k-th are scored anew, each by itself.
+                if len(rows) > k and np.isinf(floor[o]).any():
+                    floor[o] = np.maximum(floor[o], np.partition(scores, -k, axis=1)[:, -k] - 1e-9)
+                q, c = np.nonzero(scores >= floor[o][:, None])
+                q, c = o[q], rows[c]
+                exact = np.concatenate([np.einsum("ij,ij->i", asked[q[j : j + 65536]], m[c[j : j + 65536]]) for j in range(0, len(q), 65536)] or [np.empty(0)])
+                best.append((q, chunk[c], exact))
+                held += len(q)
+                if held > max(4 * k * len(asked), SCORES):
+                    cut()
+    if held:
+        cut()
+        for q, c, s in best:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(c, kind), pa.array(s)], names=["query_id", "chunk_id", "score"])
 
 

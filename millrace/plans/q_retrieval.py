@@ -40,7 +40,7 @@ def dense_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted-list index against the exact search: how many queries, whether 90% of their ten neighbours are found, and whether probing all lists loses none."""
     v, q = _vectors(spark, sf_dir).select("chunk_id", "vector"), _queries(spark, sf_dir)
     centres, probes = R.ivf_fit(v)
-    index = stage(R.ivf_index(v, centres), "ivf")
+    index = stage(R.ivf_index(v, centres).sortWithinPartitions("list"), "ivf")
     true = stage(R.dense(q, v, 10).select("query_id", "chunk_id"), "true")
     found = lambda n: R.dense_ivf(q, index, centres, n, 10).select("query_id", "chunk_id").join(true, ["query_id", "chunk_id"]).groupBy().agg(F.count("*").alias("n"))
     some, every = (found(n).select(F.col("n").alias(name)) for n, name in ((probes, "some"), (len(centres), "every")))

@@ -355,6 +355,38 @@ def test_inverted_lists(spark):
     assert R.dense_ivf(asked, R.ivf_index(none, fitted), fitted, probes).count() == 0
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_dense_search_holds_few_scores(whole):
+    """Many queries and chunks in one batch: what a worker holds doesn't grow with their product, and nothing is lost."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.operators import retrieval as R
+
+    rng = np.random.default_rng(5)
+    asked, m = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(3000, 8)), rng.normal(size=(4000, 8))))
+    m[7] = m[5]
+    centres = m[:10]
+    near = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    probes = 10 if whole else 4
+    own = (m @ centres.T).argmax(axis=1)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(m.tolist()), pa.array(own.astype(np.int32))], names=["chunk_id", "v", "list"])
+    tracemalloc.start()
+    out = list(R._nearest([batch, batch.slice(0, 0)], pa.array(np.arange(3000)), asked, 10, R._askers(asked, centres, probes)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for q, c in zip(*(np.concatenate([b.column(i).to_numpy() for b in out]) for i in (0, 1)), strict=True):
+        got.setdefault(q, set()).add(c)
+    for q in range(0, 3000, 50):
+        may = np.flatnonzero(np.isin(own, near[q, :probes]))
+        scores = np.einsum("ij,ij->i", np.repeat(asked[q : q + 1], len(may), axis=0), m[may])
+        assert got[q] == set(may[np.lexsort((may, -scores))[:10]].tolist())
+    assert peak < 120 << 20
+
+
 def test_comparisons(spark):
     from pyspark.sql import functions as F
 
