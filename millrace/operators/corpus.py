@@ -5,13 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staging import stage
 from ..sqlx import tokens
 
 LEAK = 0.85
@@ -71,6 +75,191 @@ def near_leaks(left: DataFrame, right: DataFrame, threshold: float = LEAK) -> Da
     return scored.select("id", "match_id", T.jaccard(F.col("x"), F.col("y")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
+#: Words whose hashes a worker remembers; bits of a hash that words are counted by; parities of a set by hash, as words of 64 bits; bits of :func:`_told`.
+_MEMO, _COUNTED, _PARITIES, _BITS = 100_000, 20, 4, 1 << 23
+#: Sizes of two sets together from which their pair is looked at by 256 counts of a byte as well.
+_LARGE = 1200
+_WORDS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+class _Hashes(dict):
+    """64-bit hashes of words; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest())
+        if len(self) >= _MEMO:
+            self.clear()
+        self[word] = value
+        return value
+
+
+def _small_batches(df: DataFrame) -> None:
+    """Bounds what an Arrow batch may hold, as long texts and pairs of large sets would fill a Python worker; smaller bounds of the session are kept."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        have = conf.get(f"spark.sql.execution.arrow.{name}")
+        if not have.isdigit() or not 0 < int(have) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def word_sets(df: DataFrame) -> DataFrame:
+    """(id, key, words) of (id, text) rows, read once: a digest of the normalised text (empty for none), the sorted 64-bit hashes of its distinct words."""
+    _small_batches(df)
+    kind = dict(df.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            keys, sets = [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                words = (text or b"").translate(_WORDS).split()
+                keys.append(b"" if text is None else hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                own = set(words)
+                sets.append(np.unique(np.fromiter(map(known.__getitem__, own), np.uint64, len(own))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["id", "key", "words"])
+
+    return df.select("id", F.lower("text").alias("text")).mapInArrow(run, f"id {kind}, key binary, words binary")
+
+
+def repeats(sets: DataFrame) -> DataFrame:
+    """(key, id, n): the rows of :func:`word_sets` but the first of each normalised text, null ids last; n where they repeat."""
+    each = sets.groupBy("key", "id").agg(F.count("*").alias("c"))
+    least = F.min(F.struct(F.col("id").isNull().alias("z"), "id")).alias("f")
+    first = each.groupBy("key").agg(least, F.sum("c").alias("m")).filter("m > 1").select("key", F.col("f.id").alias("first"))
+    left = F.col("c") - F.col("id").eqNullSafe(F.col("first")).cast("long")
+    return each.join(first, "key").select("key", "id", left.alias("n"), F.col("id").eqNullSafe(F.col("first")).alias("leads"))
+
+
+def _told(rows: DataFrame, some: DataFrame, on: list[str], kept: bool) -> DataFrame:
+    """Where ``kept``, the rows whose ``on`` is among ``some``, else the others. A bitmap of ``_BITS`` bits tells most rows at once; only the rest is shuffled and joined."""
+    at, names = F.pmod(F.xxhash64(*on), F.lit(_BITS)).cast("int").alias("_at"), rows.columns
+    words = some.select(at).groupBy(F.shiftright("_at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, _at & 63)")).alias("b")).toArrow()
+    bits = np.zeros(_BITS >> 6, dtype=np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def those(may: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column(len(names)).to_numpy()
+                yield batch.filter(pa.array(((held.value[x >> 6] >> (x & 63).astype(np.int64)) & 1).astype(bool) == may)).select(names)
+
+        return rows.select(*names, at).mapInArrow(run, rows.schema)
+
+    if kept:
+        return those(True).join(some, on, "left_semi")
+    return those(False).unionByName(those(True).join(some, on, "left_anti").select(*names))
+
+
+def nearest_before(sets: DataFrame, again: DataFrame, threshold: float = LEAK) -> DataFrame:
+    """(id, jaccard): for each row of staged (id, key, words), see :func:`word_sets`, but the (key, id) of ``again``, the greatest Jaccard with a row of lesser id, where that is ``threshold`` or more.
+
+    Of two sets that match, the longer one's first n - ceil(t * n) + 1 and the shorter one's first n - ceil(2t / (1 + t) * n) + 1 words in
+    one order of all words have the first common word: they meet there if sizes, what can follow that word, and parities of words by hash
+    allow it (sets differ in as many words as parities, at least). The order is by counts of hash buckets, rare ones first; it bears on the
+    work alone. Parities bound a pair's Jaccard from above: of each row's pairs the one with the greatest bound is verified on the complete sets, then those
+    whose bound is above what that gave. Of large sets counts by hash are compared before.
+    """
+    _small_batches(sets)
+    spark, kind, share = sets.sparkSession, dict(sets.dtypes)["id"], threshold / (1 + threshold)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << _COUNTED, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                n[(np.frombuffer(x, np.uint64) >> np.uint64(64 - _COUNTED)).astype(np.int64)] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["at", "n"])
+
+    rows = sets.select("words").mapInArrow(counted, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << _COUNTED, dtype=np.int64)
+    often[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    held = spark.sparkContext.broadcast(often)
+    names, firsts = [f"s{k}" for k in range(_PARITIES)], _told(sets.filter("id is not null").select("id", "key", "words"), again, ["key", "id"], False)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = np.uint64(64 * _PARITIES - 1)
+        for batch in batches:
+            words, sizes, inner, odd, at, lengths = [], [], [], [], [], []
+            for k, x in enumerate(batch.column(1).to_pylist()):
+                h = np.frombuffer(x, np.uint64)
+                if not len(h):
+                    continue
+                first = np.lexsort((h, held.value[(h >> np.uint64(64 - _COUNTED)).astype(np.int64)]))[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]
+                words.append(h[first])
+                lengths.append(len(first))
+                sizes.append(len(h))
+                inner.append(len(h) - int(np.ceil(2 * share * len(h) - 1e-9)) + 1)
+                odd.append(np.bincount((h & many).astype(np.int64), minlength=64 * _PARITIES) & 1)
+                at.append(k)
+            if not at:
+                continue
+            bits = np.packbits(np.array(odd, dtype=np.uint8), axis=1).view(np.int64)
+            pos = np.concatenate([np.arange(n) for n in lengths])
+            own = np.repeat(np.arange(len(at)), lengths)
+            columns = [batch.column(0).take(pa.array(np.array(at)[own])), pa.array(np.concatenate(words).view(np.int64)), pa.array(np.array(sizes, dtype=np.int32)[own]), pa.array(pos.astype(np.int32)), pa.array(pos < np.array(inner)[own])]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(bits[own, j]) for j in range(_PARITIES)], names=["id", "t", "n", "pos", "inner", *names])
+
+    schema = f"id {kind}, t long, n int, pos int, inner boolean, " + ", ".join(f"{x} long" for x in names)
+    entries = stage(firsts.select("id", "words").mapInArrow(prefixes, schema), "set-prefixes")
+    a, b = entries.alias("a"), entries.filter("inner").alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in names), F.lit(0))
+    meets = (
+        (F.col("a.t") == F.col("b.t"))
+        & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") > F.col("b.id"))))
+        & (F.col("a.id") != F.col("b.id"))
+        & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
+        & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= F.lit(share) * both - 1e-6)
+        & (apart <= F.lit(1 - 2 * share) * both + 1e-6)
+    )
+    found = a.join(b, meets).select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("match_id"), both.alias("size"), apart.alias("apart"))
+    found = stage(found, "set-met")  # a pair as often as it meets
+    ids = lambda df: df.select("id").unionByName(df.select(F.col("match_id").alias("id"))).distinct()
+    of = lambda df: _told(_told(sets, ids(df), ["id"], True).select("id", "key", "words"), again, ["key", "id"], False).select("id", "words")
+    large = found.filter(F.col("size") >= _LARGE).distinct()
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.minimum(np.bincount(np.frombuffer(x, np.uint64).view(np.uint8)[::8], minlength=256), 255).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "x"])
+
+    def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for k in (4, 5))
+            fine = np.maximum(np.abs(x - y).sum(axis=1), batch.column(3).to_numpy()).astype(np.int32)
+            ok = pa.array(fine <= (1 - 2 * share) * batch.column(2).to_numpy() + 1e-6)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fine)], names=["id", "match_id", "size", "apart"]).filter(ok)
+
+    counts = stage(of(large).mapInArrow(finer, f"id {kind}, x binary"), "set-counts")
+    pairs = large.join(counts, "id").join(counts.select(F.col("id").alias("match_id"), F.col("x").alias("y")), "match_id").select("id", "match_id", "size", "apart", "x", "y")
+    pairs = pairs.mapInArrow(nearer, f"id {kind}, match_id {kind}, size int, apart int").unionByName(found.filter(F.col("size") < _LARGE))
+    pairs = stage(pairs.select("id", "match_id", ((F.col("size") - F.col("apart")) / (F.col("size") + F.col("apart"))).alias("most")), "set-pairs")
+    held_sets = stage(of(pairs), "set-words")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            js = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                js.append(shared / ((len(x) + len(y)) // 8 - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(js, pa.float64())], names=["id", "match_id", "jaccard"])
+
+    def scored(some: DataFrame) -> DataFrame:
+        x, y = held_sets.withColumnRenamed("words", "x"), held_sets.select(F.col("id").alias("match_id"), F.col("words").alias("y"))
+        return some.join(x, "id").join(y, "match_id").select("id", "match_id", "x", "y").mapInArrow(verify, f"id {kind}, match_id {kind}, jaccard double")
+
+    best = stage(pairs.groupBy("id").agg(F.max(F.struct("most", "match_id")).alias("m")).select("id", "m.match_id", "m.most"), "set-best")
+    first = stage(scored(best), "set-first")
+    # A bound that is met can't be passed by the row's other pairs.
+    below = stage(first.join(best.select("id", "most"), "id").filter("most > jaccard + 1e-12").select("id", F.col("match_id").alias("tried"), "jaccard"), "set-below")
+    left = _told(pairs, below.select("id"), ["id"], True).join(below, "id").filter("most > jaccard + 1e-12 and match_id <> tried").select("id", "match_id").distinct()
+    every = first.unionByName(scored(left)).filter(F.col("jaccard") >= threshold)
+    return every.groupBy("id").agg(F.max("jaccard").alias("jaccard"))
+
+
 def deleak(train: DataFrame, test: DataFrame, threshold: float = LEAK) -> DataFrame:
     """``train`` (id, text) with ``reason``: exact, jaccard=0.xxx, or null where nothing leaks. An exact match comes first."""
     keys = test.select(T.normalise(F.col("text")).alias("_norm")).distinct().withColumn("_exact", F.lit(True))

@@ -46,13 +46,14 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deleak_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that repeat one of lesser id: exactly once normalised, or with Jaccard 0.85 or more; and why.
 
-    Copies are told by their normalised text alone; only the first of each text is compared with others.
+    Copies are told by a digest of their normalised text; only the first of each text is compared with others.
     """
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", T.normalise(F.col("text")).alias("norm"))
-    firsts = d.groupBy("norm").agg(F.min_by(F.struct("id", "text"), "id").alias("f")).select("f.id", "f.text")
-    near = corpus.near_leaks(firsts, firsts).filter("id > match_id").groupBy("id").agg(F.max("jaccard").alias("j"))
-    copies = d.select("id").join(firsts.select("id"), "id", "left_anti").select("id", F.lit("exact").alias("reason"))
-    return copies.unionByName(near.select("id", F.format_string("jaccard=%.3f", "j").alias("reason")))
+    sets = stage(corpus.word_sets(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), "word-sets")
+    again = stage(corpus.repeats(sets), "word-repeats")
+    near = corpus.nearest_before(sets, again.filter("not leads").select("key", "id"))
+    copies = again.filter("n > 0").select("id", F.explode(F.array_repeat(F.lit("exact"), F.col("n").cast("int"))).alias("reason"))
+    said = F.pandas_udf(lambda j: j.map("jaccard={:.3f}".format), "string")  # of the double's exact value; Spark's own format rounds its shortest digits
+    return copies.unionByName(near.select("id", said("jaccard").alias("reason")))
 
 
 def deleak_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
